@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.lexicon import Lexicon
+from shelfscope.sources.tables import spread
 
 POSITIVE = {
     "design": ["lyea", "ouat", "nlye", "erie", "ntho", "étio", "étion"],
@@ -109,6 +110,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    return spread(table(spark, sf, name), key)
+
+
 def offers(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as products on offer; all line item columns together order the rows."""
     items, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
@@ -150,7 +155,7 @@ CATALOGUE_SQL = """catalogue AS (
 
 def reviews(spark: SparkSession, sf: str, brand: str = "source") -> DataFrame:
     """Documents as reviews; images come from the labels of some of them."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = texts(spark, sf, "documents", "doc_id"), table(spark, sf, "labels")
     flags = labels.select(
         F.col("doc_id").alias("labelled"), F.when(F.col("quality") == 1, "Y").otherwise("N").alias("has_image")
     )
@@ -187,7 +192,7 @@ BRAND_REVIEWS_SQL = _reviews_sql("reviews", "'Brand#' || CAST(d.doc_id % 25 + 1
 
 def threads(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as reviews: several pages per product."""
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations", "conv_id").select(
         F.col("conv_id").cast("string").alias("product_id"), F.col("turn").alias("page_number"),
         F.col("role").alias("brand"), "text",
     )

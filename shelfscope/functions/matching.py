@@ -11,12 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.lexicon import Lexicon, unique
 
-ENTRY_TYPE = "struct<ord:int,category:string,keyword:string>"
+ENTRY_TYPE = "struct<category:string,keyword:string>"
 
 
 def _prefix_pattern(words: Sequence[str]) -> str:
@@ -25,15 +25,20 @@ def _prefix_pattern(words: Sequence[str]) -> str:
         if word:
             tails.setdefault(word[0], []).append(word[1:])
     branches = [re.escape(head) + _prefix_pattern(rest) for head, rest in tails.items()]
-    if not branches:
-        return ""
-    return "(?:" + "|".join(branches) + ")" + ("?" if "" in words else "")
+    if len(branches) < 2 and "" not in words:
+        return "".join(branches)
+    return "(?:" + "|".join(branches) + ")" + ("?" if "" in words else "") if branches else ""
 
 
 def keyword_pattern(keywords: Iterable[str]) -> str:
-    """Regular expression whose group 1 is the longest keyword starting at a position."""
+    """Regular expression whose group 1 is the longest keyword starting at a position. A guard on
+    the first characters rejects most positions before any keyword is tried."""
     words = unique(k for k in keywords if k)
-    return f"(?=({_prefix_pattern(words)}))"
+    depth = min(3, *(len(w) for w in words), 3)
+    guard = "".join(
+        "[" + "".join(sorted({re.escape(w[i]) for w in words})) + "]" for i in range(depth)
+    )
+    return f"(?={guard})(?=({_prefix_pattern(words)}))"
 
 
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
@@ -66,62 +71,64 @@ def occurrence_hits(text: Column, keywords: Sequence[str]) -> Column:
     return F.concat(*hits)
 
 
-def occurrence_weight(hit: Column, keywords: Sequence[str], counted: Sequence[str]) -> Column:
-    """How many of the counted keywords one occurrence hit (over ``keywords``) stands for."""
-    weights = {}
-    for key in keywords:
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def occurrence_weight(keywords: Sequence[str], counted: Sequence[str], hit: str = "keyword") -> str:
+    """SQL: how many of the counted keywords one occurrence hit (over ``keywords``) stands for."""
+    hits: dict[int, list[str]] = {}
+    for key in unique(keywords):
         if overlaps_itself(key):
-            weights[key] = sum(c == key for c in counted)
+            weight = sum(c == key for c in counted)
         else:
-            weights[key] = sum(key.startswith(c) and not overlaps_itself(c) for c in counted)
-    pairs = [F.lit(v) for key, weight in weights.items() if weight for v in (key, weight)]
-    return F.coalesce(F.create_map(*pairs)[hit], F.lit(0)) if pairs else F.lit(0)
-
-
-def _lookup(keywords: Sequence[str], values: dict[str, list[Column]], element: str) -> Column:
-    empty = F.array().cast(f"array<{element}>")
-    pairs: list[Column] = []
-    for key in keywords:
-        found = [v for k, vs in values.items() if key.startswith(k) for v in vs]
-        pairs += [F.lit(key), F.array(*found).cast(f"array<{element}>") if found else empty]
-    return F.create_map(*pairs)
-
-
-def entries_of(hits: Column, keywords: Sequence[str], lexicon: Lexicon) -> Column:
-    """Lexicon entries standing behind the hits, once each, in lexicon order."""
-    if not keywords or not lexicon.entries:
-        return F.array().cast(f"array<{ENTRY_TYPE}>")
-    values: dict[str, list[Column]] = {}
-    for i, (category, keyword) in enumerate(lexicon.entries):
-        entry = F.struct(
-            F.lit(i).alias("ord"), F.lit(category).alias("category"), F.lit(keyword).alias("keyword")
-        )
-        values.setdefault(keyword, []).append(entry)
-    lookup = _lookup(keywords, values, ENTRY_TYPE)
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: lookup[h]))))
-
-
-def categories_of(hits: Column, keywords: Sequence[str], lexicon: Lexicon) -> Column:
-    """Names of the categories with at least one keyword among the hits."""
-    if not keywords or not lexicon.entries:
-        return F.array().cast("array<string>")
-    values: dict[str, list[Column]] = {}
-    for category, keyword in lexicon.entries:
-        values.setdefault(keyword, []).append(F.lit(category))
-    lookup = _lookup(keywords, values, "string")
-    return F.array_distinct(F.flatten(F.transform(hits, lambda h: lookup[h])))
+            weight = sum(key.startswith(c) and not overlaps_itself(c) for c in counted)
+        if weight:
+            hits.setdefault(weight, []).append(quoted(key))
+    whens = [f"WHEN {hit} IN ({', '.join(keys)}) THEN {weight}" for weight, keys in hits.items()]
+    return f"CASE {' '.join(whens)} ELSE 0 END" if whens else "0"
+
+
+def present(
+    keywords: Sequence[str], items: Sequence[tuple[Sequence[str], str]], dtype: str, hits: str = "_hits"
+) -> Column:
+    """Array of the items (SQL) any of whose keywords is among the hits, in the given order. A
+    longer keyword among the hits stands for the keywords it starts with.
+
+    A concatenation of conditional arrays is compiled into the stage, while a lambda over a literal
+    array would be interpreted element by element. It is written as SQL text, for one expression
+    per keyword built through the Column API takes seconds of driver time.
+    """
+    none = f"cast(array() AS array<{dtype}>)"
+    if not items:
+        return F.expr(none)
+    parts = []
+    for wanted, item in items:
+        longer = [k for k in unique(keywords) if any(k.startswith(w) for w in wanted)]
+        holds = " OR ".join(f"array_contains({hits}, {quoted(k)})" for k in longer) or "false"
+        parts.append(f"if({holds}, array({item}), {none})")
+    return F.expr(f"if(size({hits}) > 0, concat({', '.join(parts)}), {none})")
+
+
+def entries_of(keywords: Sequence[str], lexicon: Lexicon) -> Column:
+    """Lexicon entries standing behind the hits of the row, once each, in lexicon order."""
+    items = [
+        ([k], f"named_struct('category', {quoted(c)}, 'keyword', {quoted(k)})")
+        for c, k in lexicon.entries
+    ]
+    return present(keywords, items, ENTRY_TYPE)
 
 
-def matched_entries(text: Column, lexicon: Lexicon) -> Column:
-    """All lexicon entries present in the text (presence, not count), in lexicon order."""
-    keywords = lexicon.keywords
-    return entries_of(F.array_distinct(keyword_hits(text, keywords)), keywords, lexicon)
+def categories_of(keywords: Sequence[str], lexicon: Lexicon) -> Column:
+    """Names of the categories with at least one keyword among the hits, in lexicon order."""
+    return present(keywords, [(counted, quoted(c)) for c, counted in lexicon.categories], "string")
 
 
-def matched_categories(text: Column, lexicon: Lexicon) -> Column:
-    """Categories of which the text holds any keyword."""
-    keywords = lexicon.keywords
-    return categories_of(F.array_distinct(keyword_hits(text, keywords)), keywords, lexicon)
+def with_hits(df: DataFrame, keywords: Sequence[str], name: str = "_hits") -> DataFrame:
+    """Adds the distinct keyword hits of the text as a column, so that several expressions can be
+    derived from one walk over the text."""
+    return df.withColumn(name, F.array_distinct(keyword_hits(F.col("text"), keywords)))
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:

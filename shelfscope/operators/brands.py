@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
-from shelfscope.functions.matching import categories_of, occurrence_hits
+from shelfscope.functions.matching import occurrence_hits, with_hits
 from shelfscope.functions.values import percent_format
 from shelfscope.lexicon import AGE, BODY, FACTOR, NEGATIVE, POSITION, POSITIVE, Lexicon, unique
 from shelfscope.operators.insights import category_examples
@@ -88,9 +88,9 @@ def purchase_factors(reviews: DataFrame, lexicon: Lexicon = FACTOR, by: str = "b
     """Reviews mentioning a factor, their share of the brand's reviews, and rank; factors not
     mentioned are absent, and as a review may mention several the shares can pass 100 together."""
     keywords = lexicon.keywords
-    found = categories_of(F.array_distinct(F.col("_hits")), keywords, lexicon)
-    cells = F.concat(one("all"), category_cells("factor", found))
-    rows = reviews.select(by, occurrence_hits(F.col("text"), keywords).alias("_hits"))
+    factors = category_cells("factor", keywords, lexicon)
+    cells = F.concat(one("all"), factors)
+    rows = with_hits(reviews.select(by, "text"), keywords)
     wide = profile(
         rows, [by], cells, {"reviews": total("all"), "factors": presences("factor", lexicon)}
     )
@@ -250,9 +250,11 @@ def brand_overview(
     counted = unique([*words.position.keywords, *words.age.keywords, *words.body.keywords])
     keywords = unique([*counted, *words.factor.keywords])
     rows = reviews if scored is not None else score_sentiment(reviews, words.positive, words.negative)
-    rows = rows.withColumn("_hits", occurrence_hits(F.col("text"), keywords))
-    factors = categories_of(F.array_distinct(F.col("_hits")), keywords, words.factor)
-    cells = [one("review"), hit_cells("hit", F.col("_hits")), category_cells("factor", factors)]
+    rows = rows.withColumn("_found", occurrence_hits(F.col("text"), keywords)).withColumn(
+        "_hits", F.array_distinct("_found")
+    )
+    factors = category_cells("factor", keywords, words.factor)
+    cells = [one("review"), hit_cells("hit", F.col("_found")), factors]
     aggregates = {
         "reviews": total("review"),
         "positions": occurrence_scores("hit", keywords, words.position),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
-from shelfscope.functions.matching import contains_any, matched_categories
+from shelfscope.functions.matching import categories_of, contains_any, with_hits
 from shelfscope.functions.values import extract_keywords, percent_format
 from shelfscope.lexicon import IMPROVEMENT, Lexicon
 from shelfscope.operators.ordering import first_n_per_group
@@ -100,9 +100,10 @@ def improvement_topics(
     """Topics of negative reviews: number and share of the negative reviews holding any keyword of
     the topic, topics that do not occur left out."""
     keys = _keys(by)
-    cells = F.concat(one("all"), category_cells("topic", matched_categories(F.col("text"), lexicon)))
+    negative = with_hits(scored.filter(F.col("sentiment") == "negative"), lexicon.keywords)
+    topics = category_cells("topic", lexicon.keywords, lexicon)
     wide = profile(
-        scored.filter(F.col("sentiment") == "negative"), keys, cells,
+        negative, keys, F.concat(one("all"), topics),
         {"total": total("all"), "topics": presences("topic", lexicon)},
     )
     return wide.select(*keys, "total", F.posexplode("topics").alias("pos", "t")).select(
@@ -129,8 +130,8 @@ def category_examples(
     df: DataFrame, keys: Sequence[str], key: Sequence[str], lexicon: Lexicon, n: int, chars: int
 ) -> DataFrame:
     """First n text beginnings per group and category; texts are cut before anything is shuffled."""
-    found = matched_categories(F.col("text"), lexicon)
-    rows = df.select(
+    found = categories_of(lexicon.keywords, lexicon)
+    rows = with_hits(df, lexicon.keywords).select(
         *keys, *[c for c in key if c not in keys],
         F.substring("text", 1, chars).alias("text"), F.explode(found).alias("category"),
     )

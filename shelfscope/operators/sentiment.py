@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.matching import entries_of, keyword_hits
+from shelfscope.functions.matching import entries_of, with_hits
 from shelfscope.lexicon import NEGATIVE, POSITIVE, Lexicon, unique
 
 SENTIMENTS = ["positive", "negative", "neutral"]
@@ -41,17 +41,15 @@ def score_sentiment(
     the first ``max_reasons`` entries in lexicon order (None keeps them all). Narrow: no shuffle.
     """
     keywords = unique([*positive.keywords, *negative.keywords])
-    hits = F.array_distinct(keyword_hits(F.col("text"), keywords))
     scored = (
-        reviews.withColumn("_hits", hits)
-        .withColumn("_pos", entries_of(F.col("_hits"), keywords, positive))
-        .withColumn("_neg", entries_of(F.col("_hits"), keywords, negative))
+        with_hits(reviews, keywords)
+        .withColumn("_pos", entries_of(keywords, positive))
+        .withColumn("_neg", entries_of(keywords, negative))
     )
     pos, neg = F.size("_pos"), F.size("_neg")
 
     def reasons(entries: str) -> Column:
-        kept = F.col(entries) if max_reasons is None else F.slice(entries, 1, max_reasons)
-        return F.transform(kept, lambda e: F.struct(e["category"], e["keyword"]))
+        return F.col(entries) if max_reasons is None else F.slice(entries, 1, max_reasons)
 
     sentiment = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
     return scored.withColumns(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.matching import matched_entries
+from shelfscope.functions.matching import entries_of, with_hits
 from shelfscope.lexicon import COLOR, STYLE, STYLE_FULL, Lexicon
 
 
@@ -18,9 +18,9 @@ def keyword_hits_by_category(
     product with two keywords of one category counts twice. Largest first."""
     column = column or ("style_text" if "style_text" in products.columns else "name")
     names = lexicon.names
-    found = F.transform(matched_entries(F.col(column), lexicon), lambda e: e["category"])
+    texts = with_hits(products.select(F.col(column).alias("text")), lexicon.keywords)
     counted = (
-        products.select(F.explode(found).alias("category"))
+        texts.select(F.inline(entries_of(lexicon.keywords, lexicon)))
         .groupBy("category")
         .agg(F.count("*").alias("hits"))
         .agg(*[

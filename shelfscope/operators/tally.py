@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.matching import occurrence_weight
+from shelfscope.functions.matching import occurrence_weight, present, quoted
 from shelfscope.lexicon import Lexicon
 
-CELL_TYPE = "array<struct<section:string,category:string,keyword:string>>"
+CELL = "struct<section:string,category:string,keyword:string>"
+CELL_TYPE = f"array<{CELL}>"
 
 
 def cell(section: str, category: Column | None = None, keyword: Column | None = None) -> Column:
@@ -36,8 +37,13 @@ def hit_cells(section: str, hits: Column) -> Column:
     return F.transform(hits, lambda h: cell(section, keyword=h))
 
 
-def category_cells(section: str, categories: Column) -> Column:
-    return F.transform(categories, lambda c: cell(section, category=c))
+def category_cells(section: str, keywords: Sequence[str], lexicon: Lexicon) -> Column:
+    """One cell per category mentioned by the hits of the row."""
+    items = [
+        (counted, f"named_struct('section', '{section}', 'category', {quoted(c)}, 'keyword', '')")
+        for c, counted in lexicon.categories
+    ]
+    return present(keywords, items, CELL)
 
 
 def reason_cells(polarity: str) -> Column:
@@ -78,27 +84,20 @@ def reasons(polarity: str, n: int | None = None) -> Column:
 
 def presences(section: str, lexicon: Lexicon) -> Column:
     """Categories that occur, by number of reviews (descending), then lexicon order."""
-    if not lexicon.names:
-        item = F.struct((-F.col("n")).alias("order"), F.lit(0).alias("cat_ord"), "category", F.col("n"))
-    else:
-        ords = F.create_map(*[F.lit(v) for i, c in enumerate(lexicon.names) for v in (c, i)])
-        item = F.struct(
-            (-F.col("n")).alias("order"), ords[F.col("category")].alias("cat_ord"), "category", "n"
-        )
+    cat_ord = F.lit(len(lexicon.names))
+    for i, category in enumerate(lexicon.names):
+        cat_ord = F.when(F.col("category") == category, i).otherwise(cat_ord)
+    item = F.struct((-F.col("n")).alias("order"), cat_ord.alias("cat_ord"), "category", "n")
     return F.array_sort(F.collect_list(F.when(F.col("section") == section, item)))
 
 
 def occurrence_scores(section: str, keywords: Sequence[str], lexicon: Lexicon) -> Column:
     """All categories by number of occurrences (descending), then lexicon order."""
-    hit = F.col("section") == section
     items = []
     for i, (category, counted) in enumerate(lexicon.categories):
-        weight = occurrence_weight(F.col("keyword"), keywords, counted)
-        score = F.coalesce(F.sum(F.when(hit, F.col("n") * weight)), F.lit(0))
+        weight = occurrence_weight(keywords, counted)
+        score = f"coalesce(sum(CASE WHEN section = '{section}' THEN n * ({weight}) END), 0)"
         items.append(
-            F.struct(
-                (-score).alias("order"), F.lit(i).alias("cat_ord"), F.lit(category).alias("category"),
-                score.alias("score"),
-            )
+            f"named_struct('order', -{score}, 'cat_ord', {i}, 'category', {quoted(category)}, 'score', {score})"
         )
-    return F.array_sort(F.array(*items))
+    return F.expr(f"array_sort(array({', '.join(items)}))")
