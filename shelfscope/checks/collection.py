@@ -189,6 +189,6 @@ def ingest_stream(spark, sf):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     run = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     query = ingest_cards_stream(
-        spark, f"{sf}/pages.parquet", f"{run}/out", f"{run}/state", rules=ANY_ANCHOR)
+        spark, sf, f"{run}/out", f"{run}/state", rules=ANY_ANCHOR, file_name="pages.parquet")
     query.awaitTermination()
     return spark.read.parquet(f"{run}/out").select("link")

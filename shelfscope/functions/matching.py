@@ -125,10 +125,19 @@ def categories_of(keywords: Sequence[str], lexicon: Lexicon) -> Column:
     return present(keywords, [(counted, quoted(c)) for c, counted in lexicon.categories], "string")
 
 
-def with_hits(df: DataFrame, keywords: Sequence[str], name: str = "_hits") -> DataFrame:
-    """Adds the distinct keyword hits of the text as a column, so that several expressions can be
-    derived from one walk over the text."""
-    return df.withColumn(name, F.array_distinct(keyword_hits(F.col("text"), keywords)))
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a one-row generator.
+
+    The optimizer copies projected expressions into the filters and expressions that use them. For
+    a walk over the text that would mean one walk per use, while nothing is copied past a generator.
+    """
+    values = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
+
+
+def with_hits(df: DataFrame, keywords: Sequence[str]) -> DataFrame:
+    """Adds the distinct keyword hits of the text as ``_hits``."""
+    return computed_once(df, _hits=F.array_distinct(keyword_hits(F.col("text"), keywords)))
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:

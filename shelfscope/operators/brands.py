@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
-from shelfscope.functions.matching import occurrence_hits, with_hits
+from shelfscope.functions.matching import computed_once, occurrence_hits, with_hits
 from shelfscope.functions.values import percent_format
 from shelfscope.lexicon import AGE, BODY, FACTOR, NEGATIVE, POSITION, POSITIVE, Lexicon, unique
 from shelfscope.operators.insights import category_examples
@@ -250,9 +250,8 @@ def brand_overview(
     counted = unique([*words.position.keywords, *words.age.keywords, *words.body.keywords])
     keywords = unique([*counted, *words.factor.keywords])
     rows = reviews if scored is not None else score_sentiment(reviews, words.positive, words.negative)
-    rows = rows.withColumn("_found", occurrence_hits(F.col("text"), keywords)).withColumn(
-        "_hits", F.array_distinct("_found")
-    )
+    rows = computed_once(rows, _found=occurrence_hits(F.col("text"), keywords))
+    rows = computed_once(rows, _hits=F.array_distinct("_found"))
     factors = category_cells("factor", keywords, words.factor)
     cells = [one("review"), hit_cells("hit", F.col("_found")), factors]
     aggregates = {

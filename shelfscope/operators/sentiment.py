@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.matching import entries_of, with_hits
+from shelfscope.functions.matching import computed_once, entries_of, with_hits
 from shelfscope.lexicon import NEGATIVE, POSITIVE, Lexicon, unique
 
 SENTIMENTS = ["positive", "negative", "neutral"]
@@ -41,10 +41,10 @@ def score_sentiment(
     the first ``max_reasons`` entries in lexicon order (None keeps them all). Narrow: no shuffle.
     """
     keywords = unique([*positive.keywords, *negative.keywords])
-    scored = (
-        with_hits(reviews, keywords)
-        .withColumn("_pos", entries_of(keywords, positive))
-        .withColumn("_neg", entries_of(keywords, negative))
+    scored = computed_once(
+        with_hits(reviews, keywords),
+        _pos=entries_of(keywords, positive),
+        _neg=entries_of(keywords, negative),
     )
     pos, neg = F.size("_pos"), F.size("_neg")
 

@@ -41,15 +41,18 @@ def ingest_cards_stream(
     max_files_per_trigger: int | None = None,
     event_time: str | None = None,
     horizon: str = "30 days",
+    file_name: str | None = None,
 ) -> StreamingQuery:
     """Process the page files that arrived since the last run and append new products.
 
     The checkpoint keeps read files and seen links, so a restart neither repeats nor loses a
-    product. Runs through everything available, then stops.
+    product. Runs through everything available, then stops. ``file_name`` (a glob) picks files.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if file_name:
+        reader = reader.option("pathGlobFilter", file_name)
     cards = new_cards(reader.parquet(in_dir), rules, host, event_time, horizon)
     cards = cards.withColumn("collected_at", F.current_timestamp())
     return (
