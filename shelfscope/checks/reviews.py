@@ -229,7 +229,7 @@ THEMES = {"stop_words": v.STOP, "pattern": v.THEME_PATTERN}
 
 @check("tok_common_themes", SCORED + _words("true") + " ORDER BY n DESC, keyword LIMIT 20")
 def common_themes(spark, sf):
-    return insights.common_themes(scored(spark, sf), **THEMES)
+    return insights.common_themes(v.reviews(spark, sf), **THEMES)
 
 
 @check("tok_negative_themes", SCORED + _words("sentiment = 'negative'") + " ORDER BY n DESC, keyword LIMIT 20")

@@ -142,6 +142,7 @@ def with_hits(df: DataFrame, keywords: Sequence[str]) -> DataFrame:
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
     """Whether the text holds any of the keywords; missing text holds none."""
-    if not keywords:
-        return F.lit(False)
-    return F.coalesce(F.rlike(text, F.lit(_prefix_pattern(unique(keywords)))), F.lit(False))
+    found = F.lit(False)
+    for keyword in unique(keywords):
+        found = found | F.contains(text, F.lit(keyword))
+    return F.coalesce(found, F.lit(False))

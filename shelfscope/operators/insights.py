@@ -139,39 +139,42 @@ def category_examples(
     return first.select(*keys, "category", "rn", "text")
 
 
+def _words(
+    rows: DataFrame, keys: Sequence[str], stop_words: Sequence[str], pattern: str
+) -> DataFrame:
+    for name in keys:
+        rows = rows.filter(F.col(name).isNotNull())
+    return (
+        rows.select(*keys, F.explode(extract_keywords(F.col("text"), pattern)).alias("keyword"))
+        .filter(~F.col("keyword").isin(list(stop_words)))
+        .groupBy(*keys, "keyword")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def common_themes(
     scored: DataFrame,
     sentiment: str = "all",
     n: int = 20,
     stop_words: Sequence[str] = fv.STOP_WORDS,
     pattern: str = fv.THEME_PATTERN,
-    by: str | None = None,
 ) -> DataFrame:
     """Most frequent words of the reviews of one sentiment (or all), stop words removed."""
-    keys = _keys(by)
     rows = scored if sentiment == "all" else scored.filter(F.col("sentiment") == sentiment)
-    for name in keys:
-        rows = rows.filter(F.col(name).isNotNull())
-    counted = (
-        rows.select(*keys, F.explode(extract_keywords(F.col("text"), pattern)).alias("keyword"))
-        .filter(~F.col("keyword").isin(list(stop_words)))
-        .groupBy(*keys, "keyword")
-        .agg(F.count("*").alias("n"))
-    )
-    if not keys:
-        return counted.orderBy(F.desc("n"), "keyword").limit(n)
-    return first_n_per_group(counted, keys, [F.desc("n"), "keyword"], n).select(
-        *keys, "keyword", "n", "rn"
-    )
+    return _words(rows, [], stop_words, pattern).orderBy(F.desc("n"), "keyword").limit(n)
 
 
-def product_themes(scored: DataFrame, n: int = 10, **options) -> DataFrame:
+def product_themes(
+    scored: DataFrame,
+    n: int = 10,
+    stop_words: Sequence[str] = fv.STOP_WORDS,
+    pattern: str = fv.THEME_PATTERN,
+) -> DataFrame:
     """Most frequent words per product, for positive and for negative reviews."""
-    parts = []
-    for sentiment in ("positive", "negative"):
-        themes = common_themes(scored, sentiment, n, by="product_id", **options)
-        parts.append(themes.withColumn("sentiment", F.lit(sentiment)))
-    return parts[0].unionByName(parts[1])
+    keys = ["product_id", "sentiment"]
+    opinions = scored.filter(F.col("sentiment").isin("positive", "negative"))
+    counted = _words(opinions, keys, stop_words, pattern)
+    return first_n_per_group(counted, keys, [F.desc("n"), "keyword"], n)
 
 
 def customer_needs(

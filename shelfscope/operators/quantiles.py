@@ -1,9 +1,9 @@
 """Exact quantiles that no single task has to hold all values for.
 
 The built-in exact percentile keeps every distinct value of a group in one aggregation buffer. Here
-values are counted first, then spread over ordered buckets (a monotone function of the value: first
-on a logarithmic scale, then evenly inside a bucket). Only the buckets that hold a wanted rank are
-kept at each step, so the last step sorts a handful of values.
+values are counted per ordered bucket (a monotone function of the value: first on a logarithmic
+scale, then evenly inside a bucket). Only rows of the buckets that hold a wanted rank go on to the
+next step, so the input column is read three times, but never shuffled as a whole.
 """
 
 from __future__ import annotations
@@ -29,24 +29,29 @@ def _linear_bucket(value: Column, first: Column, last: Column) -> Column:
     return F.coalesce(F.floor(share * LINEAR_STEPS), F.lit(0)).cast("long")
 
 
-def _narrow(values: DataFrame, ranks: DataFrame, path: list[str], bucket: Column) -> DataFrame:
-    """Values of the buckets that hold a wanted rank, with the number of rows before the bucket
-    (``start``) and its first and last value. A path holds few wanted ranks, hence few buckets
-    survive: the broadcast sides are bounded by the number of quantiles asked for."""
+def _bucket_sums(values: DataFrame, path: list[str], bucket: Column) -> DataFrame:
+    """Rows, first and last value of each bucket, and the rows before it."""
     level = f"b{len(path)}"
-    values = values.withColumn(level, bucket)
-    sums = values.groupBy(*path, level).agg(
-        F.sum("rows").alias("rows"), F.min("start").alias("start"),
+    sums = values.withColumn(level, bucket).groupBy(*path, level).agg(
+        F.count("*").alias("rows"), F.min("start").alias("start"),
         F.min("value").alias("first"), F.max("value").alias("last"),
     )
-    running = F.sum("rows").over(Window.partitionBy(*path).orderBy(level))
-    sums = sums.withColumn("start", F.col("start") + running - F.col("rows"))
-    in_bucket = F.col("rank").between(F.col("start"), F.col("start") + F.col("rows") - 1)
+    before = F.sum("rows").over(Window.partitionBy(*path).orderBy(level)) - F.col("rows")
+    return sums.withColumn("start", F.col("start") + before)
+
+
+def _in_wanted(
+    values: DataFrame, sums: DataFrame, ranks: DataFrame, path: list[str], bucket: Column
+) -> DataFrame:
+    """Values of the buckets that hold a wanted rank. The broadcast sides are bounded by the number
+    of quantiles asked for."""
+    level = f"b{len(path)}"
+    holds = F.col("rank").between(F.col("start"), F.col("start") + F.col("rows") - 1)
     kept = sums.join(
-        F.broadcast(ranks), (sums["column"] == ranks["wanted_column"]) & in_bucket, "left_semi"
-    )
-    kept = kept.select(*path, level, "start", "first", "last")
-    return values.drop("start", "first", "last").join(F.broadcast(kept), [*path, level])
+        F.broadcast(ranks), (sums["column"] == ranks["wanted_column"]) & holds, "left_semi"
+    ).select(*path, level, "start", "first", "last")
+    placed = values.withColumn(level, bucket).drop("start", "first", "last")
+    return placed.join(F.broadcast(kept), [*path, level])
 
 
 def exact_quantiles(
@@ -57,14 +62,15 @@ def exact_quantiles(
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     )
-    counted = (
+    values = (
         df.select(F.inline(cells))
         .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("rows"))
+        .withColumn("start", F.lit(0).cast("long"))
     )
+    log = _log_bucket(F.col("value"))
+    sums = _bucket_sums(values, ["column"], log)
     wanted = (
-        counted.groupBy("column")
+        sums.groupBy("column")
         .agg(F.sum("rows").alias("total"))
         .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumn("at", F.col("p") * (F.col("total") - 1))
@@ -72,17 +78,17 @@ def exact_quantiles(
         .select(F.col("column").alias("wanted_column"), "p", "at", "rank")
     )
     ranks = wanted.select("wanted_column", "rank")
-
-    values = counted.withColumn("start", F.lit(0).cast("long"))
-    values = _narrow(values, ranks, ["column"], _log_bucket(F.col("value")))
+    values = _in_wanted(values, sums, ranks, ["column"], log)
     linear = _linear_bucket(F.col("value"), F.col("first"), F.col("last"))
-    values = _narrow(values, ranks, ["column", "b1"], linear)
+    path = ["column", "b1"]
+    values = _in_wanted(values, _bucket_sums(values, path, linear), ranks, path, linear)
 
+    counted = values.groupBy("column", "b1", "b2", "start", "value").agg(F.count("*").alias("rows"))
     upto = F.sum("rows").over(Window.partitionBy("column", "b1", "b2").orderBy("value"))
-    values = values.withColumn("start", F.col("start") + upto - F.col("rows"))
+    counted = counted.withColumn("start", F.col("start") + upto - F.col("rows"))
     holds = F.col("rank").between(F.col("start"), F.col("start") + F.col("rows") - 1)
     ends = (
-        values.join(F.broadcast(wanted), (values["column"] == wanted["wanted_column"]) & holds)
+        counted.join(F.broadcast(wanted), (counted["column"] == wanted["wanted_column"]) & holds)
         .groupBy("column", "p", "at")
         .agg(F.min("value").alias("a"), F.max("value").alias("b"))
     )

@@ -9,7 +9,7 @@ import os
 
 import duckdb
 
-SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
+SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
