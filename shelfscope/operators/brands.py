@@ -227,11 +227,12 @@ def page_distribution(reviews: DataFrame) -> DataFrame:
 
 
 def _selected(df: DataFrame, brands: Sequence[str] | DataFrame | None) -> DataFrame:
-    """Rows of the chosen brands: a list, or a frame of at most a few (a top-k)."""
+    """Rows of the chosen brands, a list or a frame. The size of a frame is not known here, so the
+    join is left to the optimizer: it broadcasts a top-k and shuffles anything large."""
     if brands is None:
         return df
     if isinstance(brands, DataFrame):
-        return df.join(F.broadcast(brands.select("brand")), "brand", "left_semi")
+        return df.join(brands.select("brand"), "brand", "left_semi")
     return df.filter(F.col("brand").isin(list(brands)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfscope import fixed_values as fv
 from shelfscope.functions.matching import contains_any
 from shelfscope.lexicon import COLOR, STYLE_FULL, Lexicon
+from shelfscope.operators.ordering import first_key
 
 
 def term_condition(df: DataFrame, term: str, literal: bool = False) -> Column:
@@ -79,7 +80,7 @@ def brand_in_filter(
 
 def default_brand_selection(products: DataFrame, key: Sequence[str], n: int = 10) -> DataFrame:
     """The n brands met first in key order."""
-    first = F.min(F.struct(*key))
+    first = F.min(first_key(key))
     return (
         products.filter(F.col("brand").isNotNull())
         .groupBy("brand")

@@ -31,6 +31,11 @@ def sort_order(by: str, key: Sequence[str]) -> list[Column]:
     return [col.asc_nulls_last() if ascending else col.desc_nulls_last(), *map(F.col, key)]
 
 
+def first_key(key: Sequence[str]) -> Column:
+    """One comparable column for a key; a plain column where possible, as it aggregates faster."""
+    return F.col(key[0]) if len(key) == 1 else F.struct(*key)
+
+
 def sort_products(products: DataFrame, by: str, key: Sequence[str]) -> DataFrame:
     """Range-partitioned sort. The key columns break ties, which also lets the range partitioner
     split a price or brand shared by very many rows."""

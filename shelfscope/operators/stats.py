@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions.values import text_or_nan
+from shelfscope.operators.ordering import first_key
 from shelfscope.operators.quantiles import exact_quantiles
 from shelfscope.operators.sentiment import pct
 
@@ -130,7 +131,7 @@ def product_directory(reviews: DataFrame, key: Sequence[str]) -> DataFrame:
     return (
         reviews.filter(F.col("product_id").isNotNull())
         .groupBy("product_id")
-        .agg(F.min_by("brand", F.struct(*key)).alias("brand"), F.count("*").alias("reviews"))
+        .agg(F.min_by("brand", first_key(key)).alias("brand"), F.count("*").alias("reviews"))
     )
 
 

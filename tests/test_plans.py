@@ -1,0 +1,34 @@
+"""Physical plans of all registered queries: what must not appear at scale."""
+
+import re
+
+import oracle
+import pytest
+
+import __spark_entry__ as contract
+
+# Element lookup in archived HTML is the one place where rows go through Python.
+IN_PYTHON = {"htm_display_cards", "htm_review_blocks", "htm_article_blocks"}
+# Runs a stream to its end when called; its plan is the plan of the written table.
+RUNS_WHEN_CALLED = {"str_ingest_cards_stream", "srt_global_numbers"}
+# Rank the few brands chosen for a comparison.
+RANKS_CHOSEN_BRANDS = {"brd_compare_brands", "brd_comparison_table"}
+
+
+@pytest.mark.parametrize("name", [n for n in contract.queries() if n not in RUNS_WHEN_CALLED])
+def test_plan(spark, name):
+    df = contract.queries()[name](spark, oracle.SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    python = re.findall(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroups|MapInArrow", plan)
+    assert bool(python) == (name in IN_PYTHON)
+    unpartitioned = re.findall(r"windowspecdefinition\([^,]*(?: ASC| DESC)", plan)
+    assert not unpartitioned or name in RANKS_CHOSEN_BRANDS
+    assert plan.count("regexp_extract_all(coalesce(text") <= 4
+
+
+def test_text_is_read_without_other_columns(spark):
+    df = contract.queries()["brd_positioning"](spark, oracle.SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [s for s in re.findall(r"ReadSchema: (struct<[^>]*>)", plan) if "text" in s]
+    assert scans == ["struct<doc_id:bigint,text:string,source:string>"]
