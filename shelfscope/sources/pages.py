@@ -12,12 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
+from shelfscope.fixed_values import (
+    BASIC_AUTHOR,
+    BASIC_DATE,
+    BASIC_OPTION,
+    BASIC_STARS,
+    BASIC_TEXT,
+    ENHANCED_AUTHOR,
+    ENHANCED_DATE,
+    ENHANCED_HELPFUL,
+    ENHANCED_IMAGE,
+    ENHANCED_OPTION,
+    ENHANCED_RATING,
+    ENHANCED_STARS,
+    ENHANCED_TEXT,
+)
 from shelfscope.functions.values import first_number, has_image, parse_rating
-from shelfscope.sources import dom
+from shelfscope.sources.dom import Element, parse
 
-# Page parsers travel to the executors with the task, so that the package need not be installed.
+# Page parsers travel to the executors by value, so that the package need not be installed there.
+# Code that runs in tasks therefore names functions and constants, never modules of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-cloudpickle.register_pickle_by_value(dom)
+cloudpickle.register_pickle_by_value(sys.modules[parse.__module__])
 
 ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")]
@@ -149,7 +165,7 @@ def extract_display_cards(pages: DataFrame, rules: DisplayRules = DisplayRules()
         return found.text(strip=False).strip() if found else ""
 
     def parse_page(html):
-        for card in dom.parse(html).select(rules.card):
+        for card in parse(html).select(rules.card):
             link, image = card.first(rules.link), card.first("img")
             brand, name = card.first(rules.brand), card.first(rules.name)
             if rules.complete and not (link and image and brand and name):
@@ -179,26 +195,26 @@ BLOCK_SCHEMA = (
 )
 
 
-def _basic_block(block: dom.Element) -> dict:
+def _basic_block(block: Element) -> dict:
     def text_of(selector: str) -> str:
         found = block.first(selector)
         return found.text() if found else ""
 
     whole = block.text(" ")
-    content = block.first(fv.BASIC_TEXT)
+    content = block.first(BASIC_TEXT)
     return {
         "text": content.text() if content else whole[:500],
-        "stars": len(block.select(fv.BASIC_STARS)),
+        "stars": len(block.select(BASIC_STARS)),
         "rating_text": whole,
-        "author": text_of(fv.BASIC_AUTHOR),
-        "date": text_of(fv.BASIC_DATE),
-        "option": text_of(fv.BASIC_OPTION),
+        "author": text_of(BASIC_AUTHOR),
+        "date": text_of(BASIC_DATE),
+        "option": text_of(BASIC_OPTION),
         "helpful_label": None,
         "images": 0,
     }
 
 
-def _enhanced_block(block: dom.Element) -> dict:
+def _enhanced_block(block: Element) -> dict:
     def first_text(selectors: list[str], longer_than: int) -> str:
         """Text of the first selector that is long enough, else of the last one that matched."""
         text = ""
@@ -210,18 +226,18 @@ def _enhanced_block(block: dom.Element) -> dict:
                     break
         return text
 
-    icons = block.select(fv.ENHANCED_STARS)
+    icons = block.select(ENHANCED_STARS)
     filled = [i for i in icons if "fill" in i.attrs.get("class", "")]
-    score, helpful = block.first(fv.ENHANCED_RATING), block.first(fv.ENHANCED_HELPFUL)
+    score, helpful = block.first(ENHANCED_RATING), block.first(ENHANCED_HELPFUL)
     return {
-        "text": first_text(fv.ENHANCED_TEXT, 10) or block.text(" ")[:500],
+        "text": first_text(ENHANCED_TEXT, 10) or block.text(" ")[:500],
         "stars": len(filled) if icons else None,
         "rating_text": score.text(strip=False) if score else "",
-        "author": first_text(fv.ENHANCED_AUTHOR, 1),
-        "date": first_text(fv.ENHANCED_DATE, 0),
-        "option": first_text(fv.ENHANCED_OPTION, 0),
+        "author": first_text(ENHANCED_AUTHOR, 1),
+        "date": first_text(ENHANCED_DATE, 0),
+        "option": first_text(ENHANCED_OPTION, 0),
         "helpful_label": helpful.text(strip=False) if helpful else None,
-        "images": len(block.select(fv.ENHANCED_IMAGE)),
+        "images": len(block.select(ENHANCED_IMAGE)),
     }
 
 
@@ -236,7 +252,7 @@ def extract_review_blocks(
     read = _enhanced_block if enhanced else _basic_block
 
     def parse_page(html):
-        tree = dom.parse(html)
+        tree = parse(html)
         return map(read, next((hits for s in selectors if (hits := tree.select(s))), []))
 
     found = _parsed(pages, parse_page, BLOCK_SCHEMA)

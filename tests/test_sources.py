@@ -185,3 +185,13 @@ def test_checkpoint_folder_is_the_clusters(spark):
     from shelfscope.session import ensure_checkpoint_dir
 
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_page_parsers_travel_by_value(spark):
+    from pyspark import cloudpickle
+
+    pages = spark.createDataFrame([(1, REVIEW)], "page_id bigint, html string")
+    for frame in (pg.extract_review_blocks(pages), pg.extract_review_blocks(pages, enhanced=False)):
+        assert "MapInPandas" in frame._jdf.queryExecution().executedPlan().toString()
+    for function in (pg._basic_block, pg._enhanced_block, dom.parse):
+        assert b"subimport" not in cloudpickle.dumps(function) or b"shelfscope.fixed_values" not in cloudpickle.dumps(function)
