@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import chat, language, mixing, sharding, token_files
+from shelfscope.llm import chat, jaccard, language, mixing, perplexity, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ FROM whole
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.filter(~held_out(F.col("doc_id"))))
@@ -84,6 +88,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", *perplexity.BASE, "base_failed", "kept", "log_perplexity"
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = utf8(F.col("text"))
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=24).select(
@@ -105,8 +115,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, CHAT_SQL),
+    "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_language_id": (op4_language_id, None),
     "op6_token_files": (op6_token_files, None),
+    "op7_perplexity": (op7_perplexity, None),
     "op9_sharding": (op9_sharding, None),
     "op10_mixing": (op10_mixing, None),
 }
