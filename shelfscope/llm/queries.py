@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import chat, jaccard, language, mixing, perplexity, sharding, token_files
+from shelfscope.llm import chat, decontamination, jaccard, language, mixing, perplexity, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that holds benchmark items, with the items and their edit distances."""
+    found = decontamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("benchmark_items") > 0).select(
+        "doc_id",
+        F.array_sort(F.col("benchmark_items.item_id")).alias("item_ids"),
+        F.array_min(F.col("benchmark_items.distance")).alias("least_distance"),
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -117,6 +127,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, CHAT_SQL),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_language_id": (op4_language_id, None),
+    "op5_decontamination": (op5_decontamination, None),
     "op6_token_files": (op6_token_files, None),
     "op7_perplexity": (op7_perplexity, None),
     "op9_sharding": (op9_sharding, None),
