@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import chat, decontamination, jaccard, language, mixing, perplexity, sharding, token_files
+from shelfscope.llm import chat, decontamination, jaccard, language, mixing, perplexity, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,15 @@ def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang").join(labels, "doc_id"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = utf8(F.col("text"))
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=24).select(
@@ -130,6 +139,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op5_decontamination": (op5_decontamination, None),
     "op6_token_files": (op6_token_files, None),
     "op7_perplexity": (op7_perplexity, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op9_sharding": (op9_sharding, None),
     "op10_mixing": (op10_mixing, None),
 }
