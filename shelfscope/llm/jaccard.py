@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.components import components
-from shelfscope.llm.storage import stored
+from shelfscope.llm.storage import free_name, stored
 from shelfscope.llm.text import U64, batches_of, mixed, shingles_of, texts_of, words_of
 
 SIZE = 5
@@ -307,9 +307,17 @@ def candidates(entries: DataFrame) -> DataFrame:
 # The whole join
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text)."""
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
+def row_key():
+    """Tells rows apart by id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, n, component, component_id) for every row of `docs` (doc_id, text).
+
+    `doc` is the row's key, `component` the key that names its component (null for empty sets).
+    """
+    docs = docs.select("doc_id", "text", row_key().alias("doc"))
     found = stored(summaries(docs), "summaries")
     rows = found.filter("chunk IS NULL")
     keyed = ["n", "one", "two"]
@@ -349,11 +357,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("component", F.coalesce("component", "doc"))
     )
     ids = by_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(by_class.join(ids, "component").select(*keyed, "component_id"), "class-components")
+    named = stored(by_class.join(ids, "component").select(*keyed, "component", "component_id"), "class-components")
     empty = F.when(F.col("n") == 0, F.col("doc_id"))
-    return rows.join(named, keyed, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", empty).alias("component_id")
+    return rows.join(named, keyed, "left").select("doc_id", "doc", "n", "component", F.coalesce("component_id", empty).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text)."""
+    return classified(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay when of every component only one does: that of the smallest id (null
+    last), then of the smallest key. Rows of empty sets stay, as they are linked with nothing."""
+    found = stored(classified(docs), "classified")
+    stays = found.filter("component IS NOT NULL").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")).alias("first")
+    ).select("component", F.col("first.doc").alias("first"))
+    gone = stored(found.join(stays, "component").filter("doc <> first").select("doc").distinct(), "gone")
+    repeated = stored(
+        found.filter("component IS NOT NULL").groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
+        .join(gone, "doc", "left_anti"), "repeated",
     )
+    key = free_name(docs, "key")
+    gone, repeated = (x.withColumnRenamed("doc", key) for x in (gone, repeated))
+    left = docs.withColumn(key, row_key()).join(bounded(gone), key, "left_anti")
+    alone = left.join(bounded(repeated), key, "left_anti")
+    if not repeated.limit(1).count():
+        return alone.select(*docs.columns)
+    once = left.join(bounded(repeated), key, "left_semi").dropDuplicates([key])
+    return alone.unionByName(once).select(*docs.columns)
 
 
 def member_pairs(docs: DataFrame, meetings: DataFrame, grouped: DataFrame, labelled: DataFrame, near: DataFrame) -> DataFrame:

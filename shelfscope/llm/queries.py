@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import chat, decontamination, jaccard, language, mixing, perplexity, sharding, token_files, toxicity
+from shelfscope.llm import chat, decontamination, jaccard, language, mixing, perplexity, pii, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,12 @@ FROM whole
 """
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in its text; in production the key comes from a secret store."""
+    rewritten = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), b"surrogates of the registered query")
+    return rewritten.select("doc_id", "text", F.size("entities").alias("n_entities"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -134,6 +140,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, CHAT_SQL),
+    "op2_pii_surrogates": (op2_pii_surrogates, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_language_id": (op4_language_id, None),
     "op5_decontamination": (op5_decontamination, None),
