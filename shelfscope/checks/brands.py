@@ -131,14 +131,14 @@ def ratios(spark, sf):
 
 
 @check("brd_basic_stats", v.with_sql(v.BRAND_REVIEWS_SQL, v.CATALOGUE_SQL,
-                                     PRODUCTS.replace("FROM catalogue", "FROM catalogue WHERE brand <> 'Brand#4'")) + """
+                                     PRODUCTS) + """
 SELECT r.brand, coalesce(products, 0) AS products, r.reviews, r.reviewed_products,
        round(coalesce(avg_price, 0), 4) AS avg_price, round(coalesce(avg_discount, 0), 4) AS avg_discount
 FROM (SELECT brand, count(*) AS reviews, count(DISTINCT product_id) AS reviewed_products FROM reviews GROUP BY brand) r
 LEFT JOIN product_stats p ON r.brand = p.brand""")
 def basic_stats(spark, sf):
-    products = v.catalogue(spark, sf).filter("brand <> 'Brand#4'")
-    return rounded(brands.brand_basic_stats(v.brand_reviews(spark, sf), products), "avg_price", "avg_discount")
+    stats = brands.brand_basic_stats(v.brand_reviews(spark, sf), v.catalogue(spark, sf))
+    return rounded(stats, "avg_price", "avg_discount")
 
 
 @check("brd_review_trends", REVIEWS + """

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from shelfscope.checks import views as v
 from shelfscope.functions import values as fn
 from shelfscope.operators import ordering
 from shelfscope.operators.collection import dedup_by_link, recent_reviews
+from shelfscope.session import shared_folder
 from shelfscope.sources import pages as pg
-from shelfscope.sources.tables import spread
 from shelfscope.streaming.ingest import ingest_cards_stream
 
 QUERIES: dict = {}
@@ -35,7 +32,7 @@ def check(name, sql=None):
 
 
 def pages(spark, sf):
-    return spread(v.table(spark, sf, "pages"), "page_id")
+    return v.table(spark, sf, "pages")
 
 
 @check("htm_page_links", LINKS + "SELECT page_id, pos, link, text FROM parts")
@@ -186,8 +183,7 @@ def dedup(spark, sf):
 @check("str_ingest_cards_stream", LINKS + "SELECT DISTINCT link FROM parts WHERE link <> ''")
 def ingest_stream(spark, sf):
     """The page table as a stream of files, run to the end; unique links as written by the sink."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    run = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    run = shared_folder(spark, "ingest")
     query = ingest_cards_stream(
         spark, sf, f"{run}/out", f"{run}/state", rules=ANY_ANCHOR, file_name="pages.parquet")
     query.awaitTermination()

@@ -424,7 +424,6 @@ def page_sentiment(spark, sf):
 
 @check("jon_image_positive_ratio", SCORED + """
 SELECT round(count(*) FILTER (sentiment = 'positive') * 100.0 / count(*), 4) AS pct FROM scored
-WHERE product_id IN (SELECT product_id FROM reviews WHERE has_image = 'Y' AND page_number < 3)""")
+WHERE product_id IN (SELECT product_id FROM reviews WHERE has_image = 'Y')""")
 def image_positive_ratio(spark, sf):
-    pictured = v.reviews(spark, sf).filter("page_number < 3")
-    return rounded(trend_ops.image_product_positive_ratio(pictured, scored(spark, sf)), "pct")
+    return rounded(trend_ops.image_product_positive_ratio(v.reviews(spark, sf), scored(spark, sf)), "pct")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.lexicon import Lexicon
-from shelfscope.sources.tables import spread
 
 POSITIVE = {
     "design": ["lyea", "ouat", "nlye", "erie", "ntho", "étio", "étion"],
@@ -111,7 +110,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    return spread(table(spark, sf, name), key)
+    return table(spark, sf, name)
 
 
 def offers(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Column expressions that find lexicon keywords in text.
 
-All keywords of a lexicon are folded into one regular expression that shares common prefixes, so
-a text is walked once whatever the size of the lexicon. The expression sits in a lookahead: every
-position is tried, hence overlapping keywords are all found. At each position it yields the longest
-keyword; shorter keywords at the same position are prefixes of it and are restored by a lookup.
+Which keywords a text holds is a filter over the literal list of them, one substring search each.
+How often they occur is read off one regular expression in a lookahead, which tries every position
+and yields the longest keyword there; shorter ones at the same position are prefixes of it.
 """
 
 from __future__ import annotations
@@ -135,9 +134,18 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(values)))
 
 
+def contained(text: Column, keywords: Sequence[str]) -> Column:
+    """Array of the keywords that the text holds, once each; missing text holds none."""
+    words = unique(k for k in keywords if k)
+    if not words:
+        return F.array().cast("array<string>")
+    known = F.expr(f"array({', '.join(map(quoted, words))})")
+    return F.filter(known, lambda k: F.coalesce(F.contains(text, k), F.lit(False)))
+
+
 def with_hits(df: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """Adds the distinct keyword hits of the text as ``_hits``."""
-    return computed_once(df, _hits=F.array_distinct(keyword_hits(F.col("text"), keywords)))
+    """Adds the keywords that the text holds as ``_hits``."""
+    return computed_once(df, _hits=contained(F.col("text"), keywords))
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
+from shelfscope.functions.matching import computed_once
 
 
 def band_of(value: Column, edges: Sequence[float]) -> Column:
@@ -55,9 +56,8 @@ def histogram(df: DataFrame, column: str, n: int) -> DataFrame:
     The greatest value belongs to the last bin, and equal values make one bin."""
     value = F.col(column).cast("double")
     values = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    least = values.agg(F.min("v")).scalar()
-    greatest = values.agg(F.max("v")).scalar()
-    ranged = values.withColumns({"least": least, "greatest": greatest})
+    bounds = values.agg(F.struct(F.min("v").alias("least"), F.max("v").alias("greatest"))).scalar()
+    ranged = computed_once(values, bounds=bounds).select("v", "bounds.*")
     width = (F.col("greatest") - F.col("least")) / n
     place = F.floor(F.try_divide(F.col("v") - F.col("least"), width)) + 1
     return (

@@ -135,7 +135,7 @@ def category_examples(
         *keys, *[c for c in key if c not in keys],
         F.substring("text", 1, chars).alias("text"), F.explode(found).alias("category"),
     )
-    first = first_n_per_group(rows, [*keys, "category"], list(key), n)
+    first = first_n_per_group(rows, [*keys, "category"], list(key), n, few_groups=not keys)
     return first.select(*keys, "category", "rn", "text")
 
 
@@ -196,5 +196,5 @@ def customer_needs(
         .select(*carried, F.posexplode(F.split("text", r"\.")).alias("sentence_no", "sentence"))
         .select(*carried, "sentence_no", "sentence", F.explode(needed).alias("keyword"))
     )
-    first = first_n_per_group(sentences, [*keys, "keyword"], [*key, "sentence_no"], n)
+    first = first_n_per_group(sentences, [*keys, "keyword"], [*key, "sentence_no"], n, few_groups=not keys)
     return first.select(*keys, "keyword", "rn", "sentence")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
-from shelfscope.session import ensure_checkpoint_dir
+from shelfscope.session import stored
 
 SORTS = {
     "price_asc": ("price", True),
@@ -20,8 +20,6 @@ SORTS = {
     "discount_desc": ("discount_pct", False),
     "brand": ("brand", True),
 }
-PAGE_ROWS_IN_ONE_TASK = 100_000
-SALTS = 64
 
 
 def sort_order(by: str, key: Sequence[str]) -> list[Column]:
@@ -45,38 +43,30 @@ def sort_products(products: DataFrame, by: str, key: Sequence[str]) -> DataFrame
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> DataFrame:
     """Rows numbered from 1 in a global order, without pulling them through one task.
 
-    The sorted rows are checkpointed, so that partition ids are settled; the rows before each
-    partition then follow from one small count per partition.
+    The sorted rows are written to the shared folder. Files follow the order, and each row knows its
+    place in its file, so a row's number needs one count per file. Writes when called.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = (
-        df.orderBy(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", 33))
-        .checkpoint()
+    ordered = stored(df.orderBy(*order), "ordered").select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index")
     )
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")
-    offsets = counts.select("_part", before.alias("_before"))
-    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("int")
+    counts = ordered.groupBy("_file").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy(part, "_file")) - F.col("_rows")
+    offsets = counts.select("_file", before.alias("_before"))
     return (
-        ordered.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + within + 1)
-        .drop("_id", "_part", "_before")
+        ordered.join(F.broadcast(offsets), "_file")
+        .withColumn(name, F.col("_before") + F.col("_index") + 1)
+        .drop("_file", "_index", "_before")
     )
 
 
 def page(df: DataFrame, n: int, order: Sequence[Column], size: int = 20) -> DataFrame:
-    """Rows of page n (from 1) in a total order.
+    """Rows of page n (from 1) in a total order: a top-k with offset, whatever the depth.
 
-    Early pages are a top-k with offset, which one task can hold; pages deeper than
-    PAGE_ROWS_IN_ONE_TASK rows are cut out of globally numbered rows instead.
+    Every task sends the rows up to the page's end, so the cost follows the depth asked for. To walk
+    through very deep pages, number the rows once (`numbered`) and filter on the number.
     """
-    first = (n - 1) * size
-    if first + size <= PAGE_ROWS_IN_ONE_TASK:
-        return df.orderBy(*order).offset(first).limit(size)
-    rows = numbered(df, order).filter(F.col("row_no").between(first + 1, first + size))
-    return rows.orderBy("row_no").drop("row_no")
+    return df.orderBy(*order).offset((n - 1) * size).limit(size)
 
 
 def page_count(df: DataFrame, size: int = 20) -> DataFrame:
@@ -85,23 +75,25 @@ def page_count(df: DataFrame, size: int = 20) -> DataFrame:
 
 
 def first_n_per_group(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rn"
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rn",
+    few_groups: bool = False, salts: int = 64,
 ) -> DataFrame:
     """First n rows of every group, numbered.
 
-    A small n is cut before the shuffle by the group limit of the window, so a group holding a
-    large part of all rows sends few. For a larger n the groups are first cut within salts: no
-    task then receives more than its share of one group, and the result is the same.
+    Groups are cut before the shuffle by the group limit of the window, so a task sends n rows of a
+    group at most. With ``few_groups`` (few groups hold all rows, whatever the table's size) those
+    still add up to tasks x n rows in one task; there the groups are first cut within salts of the
+    order columns (given by name), and the last task of a group gets salts x n rows.
     """
-    if n > 10:
+    window = Window.partitionBy(*by).orderBy(*order)
+    if few_groups:
         salted = Window.partitionBy(*by, "_salt").orderBy(*order)
         df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+            df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
             .withColumn("_rn", F.row_number().over(salted))
             .filter(F.col("_rn") <= n)
             .drop("_salt", "_rn")
         )
-    window = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
 
 
@@ -112,7 +104,7 @@ def top_discount(products: DataFrame, key: Sequence[str], n: int = 10) -> DataFr
 
 def samples_per_sentiment(scored: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
     """First n reviews of each sentiment."""
-    return first_n_per_group(scored, ["sentiment"], list(key), n)
+    return first_n_per_group(scored, ["sentiment"], list(key), n, few_groups=True)
 
 
 def priority_products(

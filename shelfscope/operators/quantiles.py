@@ -2,8 +2,10 @@
 
 The built-in exact percentile keeps every distinct value of a group in one aggregation buffer. Here
 values are counted per ordered bucket (a monotone function of the value: first on a logarithmic
-scale, then evenly inside a bucket). Only rows of the buckets that hold a wanted rank go on to the
-next step, so the input column is read three times, but never shuffled as a whole.
+scale, then twice evenly inside a bucket). Only rows of the buckets that hold a wanted rank go on to
+the next step. The input is read once: its values go to a narrow table in the shared folder, which
+is read once per step and never shuffled as a whole. What the last step groups by value are the
+distinct values of one bucket after three cuts.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfscope.session import stored
+
 LOG_STEPS = 1024
 LINEAR_STEPS = 4096
 
@@ -54,37 +58,42 @@ def _in_wanted(
     return placed.join(F.broadcast(kept), [*path, level])
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
-) -> DataFrame:
-    """Linear-interpolated quantiles: one row (column, p, value) per column and probability.
-    Missing values are skipped; a column without values yields no rows."""
+def cells_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) of the numeric columns, stored: the one reading of the input. Writes when called."""
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     )
-    values = (
-        df.select(F.inline(cells))
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .withColumn("start", F.lit(0).cast("long"))
+    return stored(df.select(F.inline(cells)), "cells")
+
+
+def exact_quantiles(cells: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Linear-interpolated quantiles of stored cells: one row (column, p, value) per column and
+    probability. Missing values are skipped; a column without values yields no rows."""
+    values = cells.filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn(
+        "start", F.lit(0).cast("long")
     )
-    log = _log_bucket(F.col("value"))
-    sums = _bucket_sums(values, ["column"], log)
-    wanted = (
+    path, bucket = ["column"], _log_bucket(F.col("value"))
+    sums = stored(_bucket_sums(values, path, bucket), "bucket-sums")
+    wanted = stored(
         sums.groupBy("column")
         .agg(F.sum("rows").alias("total"))
         .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumn("at", F.col("p") * (F.col("total") - 1))
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-        .select(F.col("column").alias("wanted_column"), "p", "at", "rank")
+        .select(F.col("column").alias("wanted_column"), "p", "at", "rank"),
+        "wanted",
     )
     ranks = wanted.select("wanted_column", "rank")
-    values = _in_wanted(values, sums, ranks, ["column"], log)
-    linear = _linear_bucket(F.col("value"), F.col("first"), F.col("last"))
-    path = ["column", "b1"]
-    values = _in_wanted(values, _bucket_sums(values, path, linear), ranks, path, linear)
-
-    counted = values.groupBy("column", "b1", "b2", "start", "value").agg(F.count("*").alias("rows"))
-    upto = F.sum("rows").over(Window.partitionBy("column", "b1", "b2").orderBy("value"))
+    for _ in range(2):
+        values = stored(_in_wanted(values, sums, ranks, path, bucket), "bucket-rows")
+        path = [*path, f"b{len(path)}"]
+        bucket = _linear_bucket(F.col("value"), F.col("first"), F.col("last"))
+        sums = stored(_bucket_sums(values, path, bucket), "bucket-sums")
+    values = _in_wanted(values, sums, ranks, path, bucket)
+    path = [*path, f"b{len(path)}"]
+
+    counted = values.groupBy(*path, "start", "value").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*path).orderBy("value"))
     counted = counted.withColumn("start", F.col("start") + upto - F.col("rows"))
     holds = F.col("rank").between(F.col("start"), F.col("start") + F.col("rows") - 1)
     ends = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions.values import text_or_nan
 from shelfscope.operators.ordering import first_key
-from shelfscope.operators.quantiles import exact_quantiles
+from shelfscope.operators.quantiles import cells_of, exact_quantiles
 from shelfscope.operators.sentiment import pct
 
 PREMIUM_PRICE = 70000
@@ -50,11 +50,11 @@ def price_positioning(
     products: DataFrame, premium: float = PREMIUM_PRICE, active: float = ACTIVE_DISCOUNT
 ) -> DataFrame:
     """Mean and exact median price, mean discount, and the two strategy flags."""
-    median = exact_quantiles(products, ["price"], [0.5]).select("value")
+    cells = cells_of(products, ["price", "discount_pct"])
+    median = exact_quantiles(cells.filter("column = 'price'"), [0.5]).select("value")
+    mean = lambda c: F.avg(F.when(F.col("column") == c, F.col("value")))
     return (
-        products.agg(
-            F.avg("price").alias("avg_price"), F.avg("discount_pct").alias("avg_discount")
-        )
+        cells.agg(mean("price").alias("avg_price"), mean("discount_pct").alias("avg_discount"))
         .withColumn("median_price", median.scalar())
         .select(
             "avg_price",
@@ -68,12 +68,9 @@ def price_positioning(
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max of numeric columns."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
+    cells = cells_of(df, columns)
     moments = (
-        df.select(F.inline(cells))
-        .groupBy("column")
+        cells.groupBy("column")
         .agg(
             F.count("value").alias("count"),
             F.avg("value").alias("mean"),
@@ -83,7 +80,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
     )
     quartiles = (
-        exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        exact_quantiles(cells, [0.25, 0.5, 0.75])
         .groupBy("column")
         .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
                for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.matching import entries_of, with_hits
+from shelfscope.functions.matching import computed_once, entries_of, with_hits
 from shelfscope.lexicon import COLOR, STYLE, STYLE_FULL, Lexicon
 
 
@@ -55,12 +55,14 @@ def color_counts(products: DataFrame, lexicon: Lexicon = COLOR) -> DataFrame:
 def value_score(products: DataFrame) -> DataFrame:
     """Price scaled to 0..1 over all products, discount as a fraction, and
     score = discount / (price + 0.1). With a single price there is no scale, hence no score."""
-    bounds = products.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = products.agg(F.struct(F.min("price").alias("lo"), F.max("price").alias("hi"))).scalar()
+    lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
     return (
-        products.withColumn("price_norm", F.try_divide(F.col("price") - lo, hi - lo))
+        computed_once(products, _bounds=bounds)
+        .withColumn("price_norm", F.try_divide(F.col("price") - lo, hi - lo))
         .withColumn("discount_norm", F.col("discount_pct") / 100)
         .withColumn("value_score", F.try_divide("discount_norm", F.col("price_norm") + 0.1))
+        .drop("_bounds")
     )
 
 

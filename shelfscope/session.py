@@ -1,10 +1,10 @@
-"""Session helpers: defaults for a new session and the shared checkpoint folder."""
+"""Session helpers: defaults for a new session, and tables in the folder all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "shelfscope", **conf: str) -> SparkSession:
@@ -29,15 +29,16 @@ def build_session(app: str = "shelfscope", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoint(): the one the cluster names, a temporary one only in local mode."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="shelfscope-checkpoint-")
-    spark.sparkContext.setCheckpointDir(named)
-    return named
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names, else beside the warehouse tables."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    )
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows computed once: written as Parquet to the shared folder and read again."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -35,8 +37,12 @@ from shelfscope.sources.dom import Element, parse
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(sys.modules[parse.__module__])
 
-ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")]
+# One step through an opening tag: a gap, a name with or without a value, or a stray sign.
+STEP = r"""(?>[\s/]++|[^\s=>/"'][^\s=>/]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|["'=])"""
+NAMED = "\n".join(f"{name}\t{chr(code)}" for name, code in {**name2codepoint, "apos": 39}.items())
+
+
+ROWS_AT_ONCE = 500
 
 
 @dataclass(frozen=True)
@@ -71,32 +77,50 @@ LOOSE_DISPLAY = DisplayRules(
 )
 
 
+def _decoded(piece: Column) -> Column:
+    """What follows an ampersand, with its entity (named or numeric) decoded."""
+    entity = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    hexadecimal = F.regexp_extract(entity, "^#[xX](.+)$", 1)
+    decimal = F.regexp_extract(entity, "^#([0-9]+)$", 1)
+    code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("int")
+    known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    named = F.element_at(F.str_to_map(F.lit(NAMED), F.lit("\n"), F.lit("\t")), entity)
+    value = F.when(code.isNull(), named).when(known, character).otherwise("\ufffd")
+    rest = F.substring(piece, F.length(entity) + 2, F.length(piece))
+    return F.coalesce(F.when(entity != "", F.concat(value, rest)), F.concat(F.lit("&"), piece))
+
+
 def unescape(text: Column) -> Column:
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Text with named and numeric entities decoded; unknown ones stay."""
+    pieces = F.split(text, "&")
+    decoded = F.transform(F.slice(pieces, 2, F.size(pieces)), _decoded)
+    return F.when(F.contains(text, F.lit("&")), F.concat(pieces[0], F.array_join(decoded, ""))).otherwise(text)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of a quoted attribute in an opening tag, NULL when absent."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    found = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']""", 0) != ""
-    value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-    return F.when(found, unescape(value))
+    """Value of an attribute, quoted or not, in an opening tag; NULL when absent. Names are looked
+    for from step to step, so never inside another value."""
+    head = rf"(?is)^(?:<\w+)?{STEP}*?{re.escape(name)}\s*+=\s*+"
+    pattern = head + r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|(?=[\s>]))"""
+    found = F.regexp_extract(tag, pattern, 0) != ""
+    return F.when(found, unescape(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """Every anchor of every page in page order: opening tag and inner HTML. Comments, scripts and
-    styles are not looked into. Built-in expressions only, one row per anchor."""
+    styles are not looked into. An anchor that is not closed ends where the next one begins. Built-in
+    expressions only, one row per anchor."""
     clean = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    found = F.regexp_extract_all(clean, F.lit(rf"(?is)<a(?=[\s>]){ATTRIBUTES}>.*?</a\s*>"), F.lit(0))
+    pieces = F.split(clean, r"(?i)<a(?=[\s>/])")
+    opened = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p.rlike(rf"(?is)^{STEP}*+>"))
     others = [c for c in pages.columns if c != "html"]
-    opening = F.regexp_extract("anchor", rf"(?is)^<a{ATTRIBUTES}>", 0)
     return (
-        pages.select(*others, F.posexplode(found).alias("pos", "anchor"))
-        .withColumn("tag", opening)
-        .withColumn("inner", F.expr("substring(anchor, length(tag) + 1, length(anchor) - length(tag) - 4)"))
-        .drop("anchor")
+        pages.select(*others, F.posexplode(opened).alias("pos", "piece"))
+        .withColumn("tag", F.regexp_extract("piece", rf"(?is)^{STEP}*+>", 0))
+        .withColumn("inner", F.split(F.expr("substring(piece, length(tag) + 1)"), r"(?i)</a(?=[\s>])", 2)[0])
+        .withColumn("tag", F.concat(F.lit("<a"), "tag"))
+        .drop("piece")
     )
 
 
@@ -117,7 +141,7 @@ def extract_product_cards(pages: DataFrame, rules: CardRules = CardRules()) -> D
     if rules.card_class is not None:
         classes = F.split(F.coalesce(attribute(tag, "class"), F.lit("")), r"\s+")
         cards = cards.filter(F.array_contains(classes, rules.card_class))
-    image = F.regexp_extract("inner", rf"(?is)<img(?=[\s>/]){ATTRIBUTES}>", 0)
+    image = F.regexp_extract("inner", rf"(?is)<img(?=[\s>/]){STEP}*+>", 0)
     source = F.coalesce(F.nullif(attribute(image, "src"), F.lit("")), attribute(image, "data-src"))
     label = F.coalesce(attribute(tag, rules.name_attribute), F.lit(""))
     fields = {
@@ -141,11 +165,15 @@ def _parsed(pages: DataFrame, parse_page: Callable[[str], Iterable[dict]], schem
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
+            names = [*(n for n, _ in kept), "pos", *parsed]
             for html, *others in batch[["html", *(n for n, _ in kept)]].itertuples(index=False):
                 for pos, row in enumerate(parse_page(html)):
                     found.append([*others, pos, *(row[c] for c in parsed)])
-            names = [*(n for n, _ in kept), "pos", *parsed]
-            yield pd.DataFrame(found, columns=names, dtype=object)
+                if len(found) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(found, columns=names, dtype=object)
+                    found = []
+            if found:
+                yield pd.DataFrame(found, columns=names, dtype=object)
 
     whole = ", ".join([*(f"`{n}` {t}" for n, t in kept), "pos int", schema])
     return pages.mapInPandas(rows, whole)
@@ -195,7 +223,7 @@ BLOCK_SCHEMA = (
 )
 
 
-def _basic_block(block: Element) -> dict:
+def _basic_block(block: Element, fallback_chars: int) -> dict:
     def text_of(selector: str) -> str:
         found = block.first(selector)
         return found.text() if found else ""
@@ -203,7 +231,7 @@ def _basic_block(block: Element) -> dict:
     whole = block.text(" ")
     content = block.first(BASIC_TEXT)
     return {
-        "text": content.text() if content else whole[:500],
+        "text": content.text() if content else whole[:fallback_chars],
         "stars": len(block.select(BASIC_STARS)),
         "rating_text": whole,
         "author": text_of(BASIC_AUTHOR),
@@ -214,7 +242,7 @@ def _basic_block(block: Element) -> dict:
     }
 
 
-def _enhanced_block(block: Element) -> dict:
+def _enhanced_block(block: Element, fallback_chars: int) -> dict:
     def first_text(selectors: list[str], longer_than: int) -> str:
         """Text of the first selector that is long enough, else of the last one that matched."""
         text = ""
@@ -230,7 +258,7 @@ def _enhanced_block(block: Element) -> dict:
     filled = [i for i in icons if "fill" in i.attrs.get("class", "")]
     score, helpful = block.first(ENHANCED_RATING), block.first(ENHANCED_HELPFUL)
     return {
-        "text": first_text(ENHANCED_TEXT, 10) or block.text(" ")[:500],
+        "text": first_text(ENHANCED_TEXT, 10) or block.text(" ")[:fallback_chars],
         "stars": len(filled) if icons else None,
         "rating_text": score.text(strip=False) if score else "",
         "author": first_text(ENHANCED_AUTHOR, 1),
@@ -242,18 +270,21 @@ def _enhanced_block(block: Element) -> dict:
 
 
 def extract_review_blocks(
-    pages: DataFrame, enhanced: bool = True, blocks: Sequence[str] | None = None
+    pages: DataFrame, enhanced: bool = True, blocks: Sequence[str] | None = None,
+    fallback_chars: int = 500,
 ) -> DataFrame:
     """Review blocks of every page in page order. The first block selector with matches on a page
     is used, and fields fall back through their selectors. Only the element lookup runs in Python;
     ratings, helpful counts and flags are expressions over its output. Columns of ``pages`` other
-    than ``html`` (product_id, brand, product_url, page_number) are kept."""
+    than ``html`` (product_id, brand, product_url, page_number) are kept. A block without a text
+    element gives the first ``fallback_chars`` characters of its whole text (asked-for behaviour)."""
     selectors = list(blocks or (fv.ENHANCED_BLOCK if enhanced else fv.BASIC_BLOCK))
     read = _enhanced_block if enhanced else _basic_block
 
     def parse_page(html):
         tree = parse(html)
-        return map(read, next((hits for s in selectors if (hits := tree.select(s))), []))
+        blocks = next((hits for s in selectors if (hits := tree.select(s))), [])
+        return (read(block, fallback_chars) for block in blocks)
 
     found = _parsed(pages, parse_page, BLOCK_SCHEMA)
     if enhanced:

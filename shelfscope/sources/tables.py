@@ -27,13 +27,19 @@ COLUMNS = {
 }
 
 
-def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_csv_text(
+    spark: SparkSession, path: str | Sequence[str], line_breaks: bool = True
+) -> DataFrame:
     """CSV with header, every column text, blank as NULL; quoted line breaks and doubled quotes
-    are understood and a byte order mark is skipped."""
+    are understood and a byte order mark is skipped.
+
+    Files that may hold quoted line breaks cannot be split: each is one task. ``line_breaks=False``
+    is for files known to hold none, which are read in splits. Large tables belong in Parquet.
+    """
     return spark.read.csv(
         path if isinstance(path, str) else list(path),
         header=True,
-        multiLine=True,
+        multiLine=line_breaks,
         quote='"',
         escape='"',
         encoding="UTF-8",
@@ -43,16 +49,6 @@ def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def spread(scan: DataFrame, *key: str) -> DataFrame:
-    """A scan whose files give fewer tasks than there are cores (few multi-line CSV files, or one
-    row group), spread over the cores before text work. A scan with enough splits, as any large
-    table has, is returned as it is and not shuffled. Looking at the splits starts no job."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *key)
-
-
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """Parquet where the path says so, else CSV."""
     name = path.rstrip("/").lower()
@@ -115,7 +111,7 @@ def read_products(
 def read_reviews(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Reviews from the first path that exists (enhanced before basic)."""
     paths = [paths] if isinstance(paths, str) else paths
-    return canonicalize(spread(_first_readable(spark, paths)), "reviews")
+    return canonicalize(_first_readable(spark, paths), "reviews")
 
 
 def read_sentiment(

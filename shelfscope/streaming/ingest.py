@@ -10,22 +10,25 @@ from shelfscope.operators.collection import with_links
 from shelfscope.sources.pages import CardRules, extract_product_cards
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
+FOR_GOOD = None
 
 
 def new_cards(
     pages: DataFrame,
     rules: CardRules = CardRules(),
     host: str | None = None,
-    event_time: str | None = None,
-    horizon: str = "30 days",
+    event_time: str = "collected_at",
+    horizon: str | None = "30 days",
 ) -> DataFrame:
-    """Streaming pages to unique products by link.
+    """Streaming pages to unique products by link; any one row of a link is kept.
 
-    With an event time column, links are remembered for the horizon only, which bounds the state;
-    without one they are remembered for good.
+    Links are remembered for ``horizon`` after the event time (when a page was collected), which
+    bounds the state: a link seen again later is new, and pages later than the horizon are lost.
+    ``horizon=FOR_GOOD`` remembers every link and needs no event time; its state grows with the
+    number of links.
     """
     cards = with_links(extract_product_cards(pages, rules), host)
-    if event_time is None:
+    if horizon is FOR_GOOD:
         return cards.dropDuplicates(["link"])
     return cards.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["link"])
 
@@ -39,22 +42,25 @@ def ingest_cards_stream(
     host: str | None = None,
     schema: str = PAGE_SCHEMA,
     max_files_per_trigger: int | None = None,
-    event_time: str | None = None,
-    horizon: str = "30 days",
+    event_time: str = "collected_at",
+    horizon: str | None = "30 days",
     file_name: str | None = None,
 ) -> StreamingQuery:
     """Process the page files that arrived since the last run and append new products.
 
     The checkpoint keeps read files and seen links, so a restart neither repeats nor loses a
     product. Runs through everything available, then stops. ``file_name`` (a glob) picks files.
+    Pages without the event time column count as collected when their file was written.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if file_name:
         reader = reader.option("pathGlobFilter", file_name)
-    cards = new_cards(reader.parquet(in_dir), rules, host, event_time, horizon)
-    cards = cards.withColumn("collected_at", F.current_timestamp())
+    pages = reader.parquet(in_dir)
+    if event_time not in pages.columns:
+        pages = pages.withColumn(event_time, F.col("_metadata.file_modification_time"))
+    cards = new_cards(pages, rules, host, event_time, horizon)
     return (
         cards.writeStream.format("parquet")
         .option("path", out_dir)

@@ -58,17 +58,21 @@ def test_pages_make_up_the_whole_sort(products):
     assert ordering.page_count(products, 3).first().pages == 3
 
 
-def test_deep_pages_equal_early_pages(products, monkeypatch):
+def test_pages_are_slices_of_the_numbered_rows(products):
     order = ordering.sort_order("price_asc", ["product_id"])
-    early = [ids(ordering.page(products, n, order, 2)) for n in (1, 2, 4)]
-    monkeypatch.setattr(ordering, "PAGE_ROWS_IN_ONE_TASK", 0)
-    assert [ids(ordering.page(products, n, order, 2)) for n in (1, 2, 4)] == early
+    rows = ordering.numbered(products.repartition(3), order)
+    assert sorted(r.row_no for r in rows.collect()) == list(range(1, products.count() + 1))
+    for n in (1, 2, 4):
+        of_page = rows.filter(F.col("row_no").between(2 * n - 1, 2 * n)).orderBy("row_no")
+        assert ids(ordering.page(products, n, order, 2)) == ids(of_page)
 
 
 def test_group_cut_is_the_same_with_and_without_salt(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(0).alias("g"), F.col("id").alias("k"))
+    few = ordering.first_n_per_group(rows, ["g"], ["k"], 40, few_groups=True)
     got = {(r.g, r.k) for r in ordering.first_n_per_group(rows, ["g"], ["k"], 40).collect()}
+    assert got == {(r.g, r.k) for r in few.collect()}
     want = {}
     for r in rows.orderBy("k").collect():
         want.setdefault(r.g, []).append(r.k)
@@ -98,7 +102,7 @@ def test_exact_quantiles(spark):
     values = [((i * 7919) % 1009) ** 3 / 7.0 - 50 for i in range(2000)] + [3.0] * 1500 + [None, float("nan")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
-    got = {r.p: r.value for r in quantiles.exact_quantiles(df, ["v"], probabilities).collect()}
+    got = {r.p: r.value for r in quantiles.exact_quantiles(quantiles.cells_of(df, ["v"]), probabilities).collect()}
     want = pd.Series(values).dropna().quantile(probabilities)
     assert got == pytest.approx(want.to_dict(), rel=1e-12)
 

@@ -11,7 +11,7 @@ import __spark_entry__ as contract
 IN_PYTHON = {"htm_display_cards", "htm_review_blocks", "htm_article_blocks"}
 # Rank the few brands chosen for a comparison.
 RANKS_CHOSEN_BRANDS = {"brd_compare_brands", "brd_comparison_table"}
-# The offsets of partitions, one row each; also work when called, as the stream does.
+# The offsets of files, one row each.
 NUMBERS_PARTITIONS = {"srt_global_numbers"}
 
 
@@ -30,10 +30,22 @@ def check_plan(name, df):
     assert plan.count("regexp_extract_all(coalesce(text") <= 4
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+# Times that a given table may be scanned by a plan; what is written between is scanned once.
+SCANS = {"agg_describe_numeric": 1, "agg_price_positioning": 1, "mth_value_score": 2, "top_value": 2, "bin_price_histogram": 2}
+
+
+def check_scans(name, df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for table in oracle.TABLES:
+        assert len(re.findall(rf"Location: [^\n]*/{table}\.parquet", plan)) <= SCANS[name]
+
+
+@pytest.mark.parametrize("name", list(contract.LIBRARY))
 def test_query(spark, con, name):
     df = contract.queries()[name](spark, oracle.SF_DIR)
     check_plan(name, df)
+    if name in SCANS:
+        check_scans(name, df)
     sql = contract.oracle_sql().get(name)
     if sql is None:
         assert df.count() > 0

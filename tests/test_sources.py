@@ -181,10 +181,37 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     assert run() == sorted(r.link for r in batch.collect())
 
 
-def test_checkpoint_folder_is_the_clusters(spark):
-    from shelfscope.session import ensure_checkpoint_dir
-
-    assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+def test_stream_remembers_for_good_when_asked(spark, tmp_path):
+    from shelfscope import fixed_values as fv
+    from shelfscope.streaming.ingest import FOR_GOOD
+
+    pages = [(n, "u", f'<a class="{fv.CARD_CLASS}" href="/p/{n % 3}">x</a>') for n in range(7)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "in"))
+    for horizon in (FOR_GOOD, "30 days"):
+        out = str(tmp_path / f"out-{horizon}")
+        ingest_cards_stream(spark, str(tmp_path / "in"), out, str(tmp_path / f"state-{horizon}"), horizon=horizon).awaitTermination()
+        assert sorted(r.link for r in spark.read.parquet(out).collect()) == ["/p/0", "/p/1", "/p/2"]
+
+
+def test_shared_folder_is_the_clusters(spark):
+    from shelfscope.session import shared_folder
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    assert shared_folder(spark, "x").startswith(named) and shared_folder(spark, "x") != shared_folder(spark, "x")
+
+
+def test_anchors_of_ordinary_html(spark):
+    first = (
+        """<a href="/1">one<p>x</p><a href="/2">two</a><a href=/3>three</a><!-- <a href="/c">no</a> -->"""
+        """<script>"<a href='/s'>no</a>"</script><A data-x=" href='/bad'" HREF = '/5'>caf&eacute; &#44032;&#x42;&nope;&amp;lt;</A>"""
+        """<abbr>no</abbr><a title=it's href="/4">it's</a><a href="/6">six"""
+    )
+    rows = spark.createDataFrame([(1, first), (2, "<a"), (3, ""), (4, None), (5, "<a disabled>x</a><a/>")], "page_id bigint, html string")
+    found = [(r.page_id, r.pos, r.link, r.text) for r in pg.page_links(rows).orderBy("page_id", "pos").collect()]
+    assert found == [
+        (1, 0, "/1", "onex"), (1, 1, "/2", "two"), (1, 2, "/3", "three"), (1, 3, "/5", "caf\u00e9 \uac00B&nope;&lt;"),
+        (1, 4, "/4", "it's"), (1, 5, "/6", "six"), (5, 0, "", "x"), (5, 1, "", ""),
+    ]
 
 
 def test_page_parsers_travel_by_value(spark):
