@@ -240,13 +240,16 @@ flat AS (SELECT brand, string_agg(category || '=' || CAST(score AS VARCHAR), ' '
          FROM positions GROUP BY brand),
 weak AS (SELECT brand, string_agg(category || ':' || keyword || '=' || CAST(frequency AS VARCHAR), ' ' ORDER BY rn) AS weaknesses
          FROM swot WHERE kind = 'weakness' AND rn <= 5 GROUP BY brand),
-page_rows AS (SELECT brand, page_number, count(*) AS n FROM reviews GROUP BY ALL),
-page_flat AS (SELECT brand, string_agg(CAST(page_number AS VARCHAR) || '=' || CAST(n AS VARCHAR), ' ' ORDER BY page_number) AS pages
-              FROM page_rows GROUP BY brand),
-lengths AS (SELECT brand, avg(length(text)) AS avg_length, count(DISTINCT product_id) AS reviewed_products FROM reviews GROUP BY brand)
-SELECT o.brand, o.reviews, f.positions, coalesce(w.weaknesses, '') AS weaknesses, p.pages,
-       round(l.avg_length, 4) AS avg_length, l.reviewed_products, o.top_factor
-FROM overview o JOIN flat f USING (brand) LEFT JOIN weak w USING (brand) JOIN page_flat p USING (brand)
+strong AS (SELECT brand, string_agg(category || ':' || keyword || '=' || CAST(frequency AS VARCHAR), ' ' ORDER BY rn) AS strengths
+         FROM swot WHERE kind = 'strength' AND rn <= 5 GROUP BY brand),
+lengths AS (SELECT brand, avg(length(text)) AS avg_length, count(DISTINCT product_id) AS reviewed_products,
+            avg(helpful_count) AS helpful_avg, count(*) FILTER (has_image = 'Y') * 100.0 / count(*) AS image_pct
+            FROM reviews GROUP BY brand)
+SELECT o.brand, o.reviews, o.position, o.age, round(o.positive_pct, 4) AS positive_pct, f.positions,
+       coalesce(w.weaknesses, '') AS weaknesses, coalesce(g.strengths, '') AS strengths,
+       round(l.avg_length, 4) AS avg_length, round(l.helpful_avg, 4) AS helpful_avg, round(l.image_pct, 4) AS image_pct,
+       l.reviewed_products, o.top_factor, round(o.avg_price, 4) AS avg_price
+FROM overview o JOIN flat f USING (brand) LEFT JOIN weak w USING (brand) LEFT JOIN strong g USING (brand)
 JOIN lengths l USING (brand)""")
 def brand_report(spark, sf):
     reviews, products = _parts(spark, sf)
@@ -255,12 +258,15 @@ def brand_report(spark, sf):
     def joined(column, render):
         return F.array_join(F.transform(column, render), " ").alias(column)
 
-    return report.select(
-        "brand", "reviews",
+    def reasons(column):
+        return joined(column, lambda w: F.concat(w["category"], F.lit(":"), w["keyword"], F.lit("="),
+                                                 w["frequency"].cast("string")))
+
+    shown = report.select(
+        "brand", "reviews", "position", "age", "positive_pct",
         joined("positions", lambda p: F.concat_ws("=", p["category"], p["score"].cast("string"))),
-        joined("weaknesses", lambda w: F.concat(w["category"], F.lit(":"), w["keyword"], F.lit("="),
-                                                w["frequency"].cast("string"))),
-        joined("pages", lambda p: F.concat_ws("=", p["page_number"].cast("string"), p["n"].cast("string"))),
-        F.round("avg_length", 4).alias("avg_length"), "reviewed_products",
-        F.get("factors", F.lit(0))["category"].alias("top_factor"),
+        reasons("weaknesses"), reasons("strengths"),
+        "avg_length", "helpful_avg", "image_pct", "reviewed_products",
+        F.coalesce(F.get("factors", F.lit(0))["category"], F.lit("Unknown")).alias("top_factor"), "avg_price",
     )
+    return rounded(shown, "positive_pct", "avg_length", "helpful_avg", "image_pct", "avg_price")

@@ -210,11 +210,11 @@ def distinct_reviewed(spark, sf):
 
 @check("tok_extract_keywords", r"""
 SELECT doc_id AS review_id, len(list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: length(w) >= 2)) AS n,
-       list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: length(w) >= 2)[1] AS first_word FROM documents""")
+       array_to_string(list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: length(w) >= 2), ' ') AS words FROM documents""")
 def extract_keywords(spark, sf):
     words = fn.extract_keywords(F.col("text"), v.THEME_PATTERN)
     return v.reviews(spark, sf).select("review_id", words.alias("w")).select(
-        "review_id", F.size("w").cast("long").alias("n"), F.get("w", F.lit(0)).alias("first_word"))
+        "review_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("words"))
 
 
 def _words(where: str, keys: str = "") -> str:

@@ -360,24 +360,20 @@ def brand_report(
     scored: DataFrame | None = None,
     brands: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
-    """Full report, one row per brand that has reviews, sections as arrays of structs."""
+    """Full report, one row per brand that has reviews, sections as arrays of structs whose length the
+    word lists bound. Reviews per page, which nothing bounds, are rows of ``page_distribution``."""
     reviews, products = _selected(reviews, brands), _selected(products, brands)
     scored = None if scored is None else _selected(scored, brands)
     known = reviews.filter(F.col("brand").isNotNull())
     trends = known.groupBy("brand").agg(
         F.countDistinct("product_id").alias("reviewed_products"), *_trend_aggregates()[1:]
     )
-    page = F.struct("page_number", F.col("reviews").alias("n"))
-    pages = page_distribution(reviews).groupBy("brand").agg(
-        F.array_sort(F.collect_list(page)).alias("pages")
-    )
     wide = (
         brand_overview(reviews, products, words, scored)
         .withColumn("strong", _as_reasons("strengths", "positive"))
         .withColumn("weak", _as_reasons("weaknesses", "negative"))
         .withColumn("suggestions", _suggestions(words))
         .join(trends, "brand")
-        .join(pages, "brand", "left")
     )
     return wide.select(
         "brand", "products", "reviews", "reviewed_products", "avg_price", "avg_discount",
@@ -386,7 +382,7 @@ def brand_report(
         F.transform("ages", lambda s: F.struct(s["category"], s["score"])).alias("ages"), "age",
         F.transform("bodies", lambda s: F.struct(s["category"], s["score"])).alias("bodies"), "body",
         F.col("strong").alias("strengths"), F.col("weak").alias("weaknesses"),
-        "positive_pct", "negative_pct", "avg_length", "image_pct", "helpful_avg", "pages",
+        "positive_pct", "negative_pct", "avg_length", "image_pct", "helpful_avg",
         "suggestions",
     )
 
@@ -415,10 +411,16 @@ def compare_brands(
     words: BrandWords = BrandWords(),
     scored: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per chosen brand with its headline figures and three ranks."""
-    chosen = [None if df is None else _selected(df, brands) for df in (reviews, products, scored)]
+    """One row per chosen brand with its headline figures and three ranks.
+
+    Names are filtered on before anything is read; a frame of brands is joined to the brand-level
+    rows, so that reviews and products are read once whatever it is made from.
+    """
+    named = None if isinstance(brands, DataFrame) else brands
+    chosen = [None if df is None else _selected(df, named) for df in (reviews, products, scored)]
+    overview = brand_overview(chosen[0], chosen[1], words, chosen[2])
     return brand_rankings(
-        brand_overview(chosen[0], chosen[1], words, chosen[2]).select(
+        _selected(overview, brands).select(
             "brand", "reviews", "positive_pct", "position", "top_factor", "top_factor_pct",
             "avg_price", "age",
         )
@@ -450,10 +452,9 @@ def benchmark_brands(
     n: int = 5,
 ) -> DataFrame:
     """The n most reviewed brands: position, positive share, first strength, mean price."""
-    top = top_brands(reviews, n)
-    chosen = [None if df is None else _selected(df, top) for df in (reviews, products, scored)]
     strength = F.coalesce(F.get("strengths", F.lit(0))["category"], F.lit("N/A"))
-    return brand_overview(chosen[0], chosen[1], words, chosen[2]).select(
+    overview = brand_overview(reviews, products, words, scored)
+    return overview.orderBy(F.desc("reviews"), "brand").limit(n).select(
         "brand", "reviews", "position", "positive_pct", strength.alias("top_strength"), "avg_price"
     )
 

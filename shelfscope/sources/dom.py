@@ -13,6 +13,7 @@ SIMPLE = re.compile(
     r"(?P<tag>[\w-]+)|\.(?P<cls>[\w-]+)"
     r"|\[(?P<attr>[\w-]+)(?:(?P<op>[*$^]?=)(?P<quote>['\"])(?P<value>.*?)(?P=quote))?\]"
 )
+COMPILED: dict[str, list] = {}
 
 
 class Element:
@@ -43,7 +44,7 @@ class Element:
     def select(self, selector: str) -> list[Element]:
         """Descendants matching a selector made of tag, .class, [attr], [attr*='v'] and the
         descendant, next-sibling and comma combinators."""
-        groups = [_steps(group) for group in re.split(r",(?![^\[]*\])", selector)]
+        groups = _compiled(selector)
         return [e for e in self.elements() if any(_matches(e, steps) for steps in groups)]
 
     def first(self, *selectors: str) -> Element | None:
@@ -83,6 +84,13 @@ def parse(html: str) -> Element:
     return builder.root
 
 
+def _compiled(selector: str) -> list[list[tuple[str, list[dict]]]]:
+    """The steps of each alternative, read once per selector."""
+    if selector not in COMPILED:
+        COMPILED[selector] = [_steps(group) for group in re.split(r",(?![^\[]*\])", selector)]
+    return COMPILED[selector]
+
+
 def _steps(selector: str) -> list[tuple[str, list[dict]]]:
     """(combinator before, simple tests) from left to right."""
     spaced = re.sub(r"\s*\+\s*(?![^\[]*\])", " + ", selector.strip())

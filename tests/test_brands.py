@@ -63,7 +63,8 @@ def test_report_and_suggestions(reviews, products):
     rows = {r.brand: r for r in report.collect()}
     assert set(rows) == {"A", "B", "C"}
     assert rows["C"].negative_pct == 100.0 and rows["C"].weaknesses[0].category == "사이즈"
-    assert [(p.page_number, p.n) for p in rows["A"].pages] == [(1, 1), (2, 1)]
+    pages = brands.page_distribution(reviews).filter("brand = 'A'").orderBy("page_number").collect()
+    assert [(p.page_number, p.reviews) for p in pages] == [(1, 1), (2, 1)]
     told = {(r.brand, r.kind, r.rn): r for r in brands.marketing_suggestions(report).collect()}
     assert told["C", "improvement", 1].priority == "High"
     assert told["A", "positioning", 1].subject == rows["A"].position
