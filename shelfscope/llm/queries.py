@@ -113,7 +113,7 @@ def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang").join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
