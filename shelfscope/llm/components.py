@@ -16,32 +16,28 @@ def stars(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("least"))
     moved = both.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"), F.col("a").alias("centre"))
     if large:
-        moved = moved.filter(F.col("a") > F.col("centre"))
-        kept = moved.select("a", "b")
-    else:
-        kept = moved.select("a", "b").unionByName(least.select("a", F.col("least").alias("b")))
-    return kept.filter("a <> b").distinct()
+        return moved.filter(F.col("a") > F.col("centre")).select("a", "b").filter("a <> b")
+    return moved.select("a", "b").unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
-    return row["n"], row["sum"]
+def settled(edges: DataFrame) -> bool:
+    """Whether every node has one parent at most, and no parent has one: then the stars are components."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.filter("up > 1 OR up > 0 AND down > 0").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b): the smallest node that it reaches.
 
-    Each round is one large and one small star, written to the shared folder; it ends when a round
-    leaves the edges as they are. A node of very many edges meets one row in each join, so adaptive
+    Each round is one large and one small star, written to the shared folder, until the edges are stars
+    with the smallest node in the middle. A node of very many edges meets one row in each join, so adaptive
     execution can split it; minima are pre-aggregated.
     """
-    edges = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = fingerprint(edges)
-    while before[0]:
+    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    while not settled(edges):
         edges = stored(stars(stars(edges, True), False), "edges")
-        now = fingerprint(edges)
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -6,7 +6,9 @@ rarest part of its set (a prefix under one global order: any two sets that link
 and index lists are read with set relations:
 
 - index level: lists are sorted by set size and cut into blocks; a block is skipped when its sizes,
-  positions or component show that it holds no answer;
+  positions or component show that it holds no answer. Long lists are read once more with a parity
+  sketch per set (a bit per residue of the hashes): sets differ in at least as many shingles as their
+  sketches differ in bits, so most pairs end there and never leave the task;
 - answer level: classes of one component need no comparison. A component stands in a list once. What a
   member of a group shares with another set follows from what its pivot shares, up to the few shingles
   in which member and pivot differ; only members for which that leaves the answer open are compared.
@@ -41,6 +43,8 @@ BINS = 8
 BUCKET_BITS = 20
 CHUNK = 1 << 12
 BLOCK = 64
+SHORT = 8
+SKETCH_BITS = 1024
 #: Rows of ids and small numbers up to which a table is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 SALT_ROWS = 128
@@ -58,6 +62,12 @@ def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.unique(shingles_of(own, SIZE))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each residue of the hashes, whether an odd number of them has it."""
+    odd = np.bincount((tokens & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def bounded(small: DataFrame) -> DataFrame:
     """With a broadcast hint where the table is counted and small enough; else as it is."""
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
@@ -83,7 +93,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                     bands = [
                         int(mixed(np.array([(least[k] * 3 + least[k + 1] + k) % (1 << 64)], dtype=U64))[0]) for k in range(0, BINS, 2) if full[k] and full[k + 1]
                     ]
-                    rows.append((len(tokens), tokens.sum(dtype=U64), mixed(tokens).sum(dtype=U64), bands))
+                    rows.append((len(tokens), tokens.sum(dtype=U64), mixed(tokens).sum(dtype=U64), bands, sketch(tokens)))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"),
                     "doc": part.column("doc"),
@@ -91,6 +101,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                     "one": pa.array(np.array([r[1] for r in rows], dtype=U64).view(np.int64)),
                     "two": pa.array(np.array([r[2] for r in rows], dtype=U64).view(np.int64)),
                     "bands": pa.array([np.array(r[3], dtype=U64).view(np.int64).tolist() for r in rows], pa.list_(pa.int64())),
+                    "sketch": pa.array([r[4] for r in rows], pa.binary()),
                     "chunk": pa.nulls(len(rows), pa.int32()),
                     "counts": pa.nulls(len(rows), pa.binary()),
                 })
@@ -99,12 +110,13 @@ def summaries(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 **{c: pa.nulls(n, pa.int64()) for c in ("doc_id", "doc", "n", "one", "two")},
                 "bands": pa.nulls(n, pa.list_(pa.int64())),
+                "sketch": pa.nulls(n, pa.binary()),
                 "chunk": pa.array(range(n), pa.int32()),
                 "counts": pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in range(n)], pa.binary()),
             })
 
     return docs.select("doc_id", "doc", "text").mapInArrow(
-        summarise, "doc_id long, doc long, n long, one long, two long, bands array<long>, chunk int, counts binary"
+        summarise, "doc_id long, doc long, n long, one long, two long, bands array<long>, sketch binary, chunk int, counts binary"
     )
 
 
@@ -134,24 +146,15 @@ def rarity(found: DataFrame) -> np.ndarray:
 
 
 def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, shared) for distinct pairs of document ids, from their whole texts.
+    """(a, b, n_a, n_b, shared) for distinct pairs of document keys, from their whole texts.
 
-    The id with more pairs is the centre: its text travels once per portion of SALT_ROWS partners, the
-    partners' once per pair, and a task holds one centre's set at a time.
+    `a` is the centre: its text travels once per portion of SALT_ROWS partners, the partners' once per
+    pair, and a task holds one centre's set at a time.
     """
     pairs = stored(pairs, "pairs")
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
-    oriented = (
-        pairs.join(degrees.select(F.col("doc").alias("a"), F.col("degree").alias("da")), "a")
-        .join(degrees.select(F.col("doc").alias("b"), F.col("degree").alias("db")), "b")
-        .select(
-            F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("centre"),
-            F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("doc"),
-            F.greatest("da", "db").alias("degree"),
-        )
-        .withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(1) + F.floor(F.col("degree") / SALT_ROWS)))
-    )
-    oriented = stored(oriented.select("centre", "salt", "doc"), "oriented")
+    degrees = pairs.groupBy("a").agg(F.count("*").alias("degree"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(1) + F.floor(F.col("degree") / SALT_ROWS))
+    oriented = stored(pairs.join(degrees, "a").select(F.col("a").alias("centre"), salt.alias("salt"), F.col("b").alias("doc")), "oriented")
     roles = oriented.select("doc", "centre", "salt", F.lit(1).alias("role")).unionByName(
         oriented.select(F.col("centre").alias("doc"), "centre", "salt", F.lit(0).alias("role")).distinct()
     )
@@ -234,19 +237,29 @@ def may_link(n_low, n_high, pos, m_low, m_high, pos_m) -> np.ndarray:
     return sizes & ((100 + PERCENT) * most >= PERCENT * (n_low + m_low))
 
 
-def list_pairs(token: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(
+    token: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, pos: np.ndarray, sketches: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of entries of one list whose sets may link, of different components.
 
     Entries are sorted by list and size. Short lists are taken together, one distance after the other;
-    in long ones blocks are compared first and skipped as a whole.
+    in longer ones blocks are compared first and skipped as a whole. `sketches` holds a row of 64-bit
+    words per entry, all zero for entries that stand for several sets.
     """
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     ends = np.concatenate([starts[1:], [len(token)]])
     lengths = ends - starts
+    one = (low == high) & (sketches.any(axis=1) if sketches is not None else False)
 
     def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (label[i] != label[j]) & may_link(low[i], high[i], pos[i], low[j], high[j], pos[j])
-        return i[ok], j[ok]
+        i, j = i[ok], j[ok]
+        if sketches is not None and len(i):
+            differ = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+            sizes = low[i].astype(np.int64) + low[j]
+            ok = ~(one[i] & one[j]) | ((100 + PERCENT) * differ <= (100 - PERCENT) * sizes)
+            i, j = i[ok], j[ok]
+        return i, j
 
     last = np.repeat(ends, lengths)
     i = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= BLOCK), lengths))
@@ -269,39 +282,92 @@ def list_pairs(token: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.n
                 yield kept(i[i < j], j[i < j])
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """Distinct (a, b, token) of labels from entries (token, label, low, high, pos): pairs that may link.
+ENTRY = ("token", "label", "low", "high", "pos")
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted batches, cut between lists."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: np.asarray(batch.column(c)) for c in names}
+        held = {c: np.concatenate([held[c], columns[c]]) for c in names} if held else columns
+        token = held["token"]
+        cut = int(np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))[-1])
+        if cut:
+            yield {c: x[:cut] for c, x in held.items()}
+            held = {c: x[cut:] for c, x in held.items()}
+    if held:
+        yield held
 
-    `token` is one of the tokens where the pair meets, kept to find the members behind labels.
+
+def candidates(entries: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct (a, b, token) of labels from `entries` (token, label, low, high, pos, grouped): pairs that may link.
+
+    `token` is one where the pair meets, where a group takes part (to find the members behind it), else
+    0. Lists of up to SHORT entries are read at once; the entries of longer ones come out again and are
+    read with the sketches (doc, sketch) of their sets.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token, label, low, high, pos = columns
-            for i, j in list_pairs(token, label, low, high, pos):
+        for lists in whole_lists(batches, (*ENTRY, "grouped")):
+            token = lists["token"]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            lengths = np.diff(np.concatenate([starts, [len(token)]]))
+            long = np.repeat(lengths > SHORT, lengths)
+            short = {c: x[~long] for c, x in lists.items()}
+            for i, j in list_pairs(*(short[c] for c in ENTRY)) if len(short["token"]) else ():
                 if len(i):
-                    a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(token[i])], names=["a", "b", "token"])
+                    rows = pairs_of(short, i, j)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(x) for x in rows), *(pa.nulls(len(rows[0]), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))],
+                        names=["a", "b", "token", "label", "low", "high", "pos", "grouped"],
+                    )
+            if long.any():
+                n = int(long.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(token[long]), *(pa.array(lists[c][long]) for c in ("label", "low", "high", "pos", "grouped"))],
+                    names=["a", "b", "token", "label", "low", "high", "pos", "grouped"],
+                )
 
-        for batch in batches:
-            columns = [np.asarray(batch.column(c)) for c in ("token", "label", "low", "high", "pos")]
-            if not len(columns[0]):
-                continue
-            held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
-            cut = int(np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))[-1])
-            if cut:
-                yield from pairs([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held:
-            yield from pairs(held)
+    def read_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sketched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = b"".join(x or bytes(SKETCH_BITS // 8) for x in batch.column("sketch").to_pylist())
+                words = np.frombuffer(raw, U64).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in (*ENTRY, "grouped")), *(pa.array(words[:, k]) for k in range(words.shape[1]))],
+                    names=[*ENTRY, "grouped", *(f"s{k}" for k in range(words.shape[1]))],
+                )
 
-    return (
-        entries.select("token", "label", "low", "high", "pos").repartition("token").sortWithinPartitions("token", "low", "high", "pos", "label")
-        .mapInArrow(read, "a long, b long, token long")
-        .distinct()
+        words = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
+        for lists in whole_lists(sketched(), (*ENTRY, "grouped", *words)):
+            sketches = np.stack([lists[w] for w in words], axis=1)
+            parts: list[np.ndarray] = []
+            for i, j in list_pairs(*(lists[c] for c in ENTRY), sketches):
+                parts.append(np.stack(pairs_of(lists, i, j), axis=1))
+                if sum(map(len, parts)) > 1 << 18:
+                    parts = [np.unique(np.concatenate(parts), axis=0)]
+            if parts:
+                rows = np.unique(np.concatenate(parts), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["a", "b", "token"])
+
+    dealt = lambda df: df.repartition("token").sortWithinPartitions("token", "low", "high", "pos", "label")
+    first = stored(
+        dealt(entries.select(*ENTRY, "grouped")).mapInArrow(read, "a long, b long, token long, label long, low int, high int, pos int, grouped boolean"),
+        "lists",
+    )
+    long = first.filter("a IS NULL").select(*ENTRY, "grouped").join(
+        sketches.select(F.col("doc").alias("label"), "sketch", F.lit(False).alias("grouped")), ["label", "grouped"], "left"
     )
+    more = dealt(long.select(*ENTRY, "grouped", "sketch")).mapInArrow(read_long, "a long, b long, token long")
+    return first.filter("a IS NOT NULL").select("a", "b", "token").unionByName(more).distinct()
+
+
+def pairs_of(lists: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    label, token, grouped = lists["label"], lists["token"], lists["grouped"].astype(bool)
+    return np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), np.where(grouped[i] | grouped[j], token[i], 0)
 
 
 # The whole join
@@ -322,7 +388,7 @@ def classified(docs: DataFrame) -> DataFrame:
     rows = found.filter("chunk IS NULL")
     keyed = ["n", "one", "two"]
     classes = stored(
-        rows.filter("n > 0").groupBy(*keyed).agg(F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")),
+        rows.filter("n > 0").groupBy(*keyed).agg(F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     pivots = classes.select("doc", F.explode("bands").alias("band"))
@@ -339,18 +405,21 @@ def classified(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc", "text")
     single = prefixes(texts.join(bounded(labelled.filter("NOT grouped").select("doc", "label")), "doc"), order)
     grouped = stored(prefixes(texts.join(bounded(labelled.filter("grouped").select("doc", "label")), "doc"), order), "grouped-prefixes")
-    plain = single.select("token", "label", F.col("n").alias("low"), F.col("n").alias("high"), "pos")
+    plain = single.select("token", "label", F.col("n").alias("low"), F.col("n").alias("high"), "pos", F.lit(False).alias("grouped"))
     merged = grouped.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
-    meetings = stored(candidates(plain.unionByName(merged.select("token", "label", "low", "high", "pos"))), "meetings")
-
-    groups = labels.select(F.col("component").alias("label")).distinct()
-    is_group = lambda side: groups.select(F.col("label").alias(side), F.lit(True).alias(f"{side}_group"))
-    meetings = stored(
-        meetings.join(is_group("a"), "a", "left").join(is_group("b"), "b", "left").na.fill(False, ["a_group", "b_group"]), "meetings-marked"
-    )
-    alone = meetings.filter("NOT a_group AND NOT b_group").select("a", "b").distinct()
-    more = compared(docs, alone.unionByName(member_pairs(docs, meetings.filter("a_group OR b_group"), grouped, labelled, near)).distinct()).filter(linked())
-    final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
+    merged = merged.select("token", "label", "low", "high", "pos", F.lit(True).alias("grouped"))
+    meetings = stored(candidates(plain.unionByName(merged), classes), "meetings")
+
+    alone = meetings.filter("token = 0").select("a", "b")
+    of_groups = meetings.filter("token <> 0")
+    behind = stored(members_behind(of_groups, grouped, labelled, classes), "members")
+    first = compared(docs, alone.unionByName(first_pairs(of_groups, behind)).distinct()).filter(linked())
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    now = stored(components(known.unionByName(first.select("a", "b"))), "components")
+    at = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"{x}_now"))
+    apart = of_groups.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
+    more = compared(docs, member_pairs(docs, stored(apart.select("a", "b", "token"), "apart"), behind, near)).filter(linked())
+    final = components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
 
     by_class = (
         classes.select(*keyed, "doc", "least").join(final.withColumnRenamed("node", "doc"), "doc", "left")
@@ -389,24 +458,47 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return alone.unionByName(once).select(*docs.columns)
 
 
-def member_pairs(docs: DataFrame, meetings: DataFrame, grouped: DataFrame, labelled: DataFrame, near: DataFrame) -> DataFrame:
-    """(a, b) of documents behind meetings in which a group takes part, where the answer is open.
-
-    A member's answer follows from its pivot's: with `lost` shingles of the member outside the pivot, it
-    shares at most what the pivot shares plus `lost`.
-    """
+def members_behind(meetings: DataFrame, grouped: DataFrame, labelled: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, label, doc, n, words): the sets that stand behind each side of a meeting."""
     sides = meetings.select("token", F.col("a").alias("label")).unionByName(meetings.select("token", F.col("b").alias("label"))).distinct()
-    members = grouped.join(sides, ["token", "label"], "left_semi").select("token", "label", "doc", F.col("n").cast("long").alias("n"))
-    own = sides.join(labelled.filter("NOT grouped"), "label").select("token", "label", "doc", "n")
-    behind = members.unionByName(own)
-    side = lambda x: behind.select("token", F.col("label").alias(x), F.col("doc").alias(f"{x}_doc"), F.col("n").alias(f"{x}_n"))
-    open_ = (
+    members = grouped.join(sides, ["token", "label"], "left_semi").select("token", "label", "doc")
+    own = sides.join(labelled.filter("NOT grouped"), "label").select("token", "label", "doc")
+    words = F.array(*[F.conv(F.hex(F.substring("sketch", 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(SKETCH_BITS // 64)])
+    return members.unionByName(own).join(classes.select("doc", "n", words.alias("words")), "doc")
+
+
+def sides_joined(meetings: DataFrame, behind: DataFrame) -> DataFrame:
+    """Pairs of sets behind meetings that sizes and sketches leave possible, with the bits they differ in."""
+    side = lambda x: behind.select("token", F.col("label").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "words")])
+    differ = F.aggregate(F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (
         meetings.select("token", "a", "b").join(side("a"), ["token", "a"]).join(side("b"), ["token", "b"])
         .filter((100 * F.col("a_n") >= PERCENT * F.col("b_n")) & (100 * F.col("b_n") >= PERCENT * F.col("a_n")))
-        .select("a_doc", "b_doc", "a_n", "b_n").distinct()
+        .withColumn("differ", differ)
+        .filter((100 + PERCENT) * F.col("differ") <= (100 - PERCENT) * (F.col("a_n") + F.col("b_n")))
     )
-    pivot = near.groupBy(F.when(F.col("a") < F.col("b"), F.col("b")).otherwise(F.col("a")).alias("doc")).agg(
-        F.max_by(F.struct(F.least("a", "b").alias("pivot"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("size"), "shared"), "shared").alias("p")
+
+
+def first_pairs(meetings: DataFrame, behind: DataFrame) -> DataFrame:
+    """(a, b): for every two labels that meet, the closest pair of one set per side and token.
+
+    Where it links, the two components are one and their other pairs need no comparison.
+    """
+    one = behind.groupBy("token", "label").agg(F.min_by(F.struct("doc", "n", "words"), "doc").alias("x")).select("token", "label", "x.*")
+    pairs = sides_joined(meetings, one).groupBy("a", "b").agg(F.min_by(F.struct("a_doc", "b_doc"), "differ").alias("p"))
+    return pairs.select(F.least("p.a_doc", "p.b_doc").alias("a"), F.greatest("p.a_doc", "p.b_doc").alias("b"))
+
+
+def member_pairs(docs: DataFrame, meetings: DataFrame, behind: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b) of documents behind meetings in which a group takes part, where the answer is open.
+
+    Sizes and sketches settle most. Then a member's answer follows from its pivot's: with `lost` shingles
+    of the member outside the pivot, it shares at most what the pivot shares plus `lost`.
+    """
+    open_ = stored(sides_joined(meetings, behind).select("a_doc", "b_doc", "a_n", "b_n").distinct(), "open-pairs")
+    larger = F.col("a") < F.col("b")
+    pivot = near.groupBy(F.greatest("a", "b").alias("doc")).agg(
+        F.max_by(F.struct(F.least("a", "b").alias("pivot"), F.when(larger, F.col("n_b")).otherwise(F.col("n_a")).alias("size"), "shared"), "shared").alias("p")
     ).select("doc", F.col("p.pivot").alias("pivot"), (F.col("p.size") - F.col("p.shared")).alias("lost"))
     pivot = stored(pivot, "pivots")
     on = lambda x: pivot.select(F.col("doc").alias(f"{x}_doc"), F.col("pivot").alias(f"{x}_pivot"), F.col("lost").alias(f"{x}_lost"))
@@ -415,12 +507,13 @@ def member_pairs(docs: DataFrame, meetings: DataFrame, grouped: DataFrame, label
         .select("a_doc", "b_doc", "a_n", "b_n", F.coalesce("a_pivot", "a_doc").alias("p"), F.coalesce("b_pivot", "b_doc").alias("q"),
                 (F.coalesce("a_lost", F.lit(0)) + F.coalesce("b_lost", F.lit(0))).alias("lost"))
         .withColumns({"x": F.least("p", "q"), "y": F.greatest("p", "q")}),
-        "open-pairs",
+        "open-with-pivots",
     )
     answers = compared(docs, open_.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().filter("a <> b"))
     answers = answers.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "shared")
     left = open_.join(answers, ["x", "y"], "left").filter(
         F.col("shared").isNull() | ((100 + PERCENT) * (F.col("shared") + F.col("lost")) >= PERCENT * (F.col("a_n") + F.col("b_n")))
     )
-    pivots = answers.join(open_.select("x", "y").distinct(), ["x", "y"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return left.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).unionByName(pivots)
+    return left.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).unionByName(
+        answers.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    ).distinct()
