@@ -212,6 +212,23 @@ def test_unseen_ngrams_back_off_and_outliers_go(spark):
     assert perplexity.judged(df.limit(0)).count() == 0
 
 
+def test_planted_junk_goes_without_a_model(spark):
+    """Texts judged by a model of the same rows: junk of all lengths goes, copies of it too, clean rows stay."""
+    random.seed(3)
+    parts = ["ther", "ing", "and", "est", "wh", "ou", "en", "ly", "ble", "re"]
+    words = ["".join(random.choices(parts, k=random.randrange(1, 4))) for _ in range(300)]
+    line = lambda n: " ".join(random.choices(words, k=n))
+    clean = [(k, line(random.randrange(15, 400)), "en") for k in range(400)]
+    letters = lambda n: " ".join("".join(random.choices("qxzjkvwyupf", k=random.randrange(2, 9))) for _ in range(n))
+    symbols = lambda n: " ".join(random.choice(words) + random.choice(["###", "$$$", "***"]) for _ in range(n))
+    junk = [letters(n) for n in (12, 15, 60, 600)] + [letters(12)] * 2 + [letters(200)] * 6 + [symbols(12)] * 4 + [symbols(100)]
+    odd = [(1000 + k, t, "en") for k, t in enumerate(junk)]
+    df = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in perplexity.judged(df).collect()}
+    assert [out[k]["kept"] for k, _, _ in odd] == [False] * len(odd) and not any(out[k]["base_failed"] for k, _, _ in odd)
+    assert np.mean([out[k]["kept"] for k, _, _ in clean if not out[k]["base_failed"]]) > 0.98
+
+
 def test_arrays_in_several_ranges(spark):
     random.seed(1)
     grams = spark.range(2000).select((F.col("id") * 7919).alias("hi"), (F.col("id") * 104729).alias("lo"), F.col("id").cast("double").alias("value"))
