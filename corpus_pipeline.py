@@ -1,6 +1,6 @@
 """A training corpus out of `documents`: five stages, each written as Parquet and read again by the next.
 
-Language ID (what has no determined language goes), near-duplicate join (one document of each group
+Language ID (what has no determined language or is in none of the learned ones goes), near-duplicate join (one document of each group
 stays), benchmark decontamination (documents that hold an item go), mixing sources to target weights
 (documents are taken as often as the mix says), sharding (a uniform shuffle into 24 shards).
 """
@@ -23,7 +23,7 @@ SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = language.predict(docs, language.train(docs))
+    known = language.predict(language.fitting(docs), language.train(docs))
     kept = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return known.filter(kept).select(*docs.columns)
 

@@ -303,6 +303,26 @@ def test_pipeline_stages(spark):
     assert sorted(ids["shards"]) == sorted(ids["source_mixing"])
 
 
+FOREIGN = [
+    "La vita è bella e il mondo è pieno di cose meravigliose che aspettano di essere scoperte ogni giorno",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性", "xkqz wvbn ptrd ghjk lmnp qrst zxcv bnmq wrtp sdfg", "deadbeef0123456789abcdef fedcba cafebabe aabbccdd eeff",
+]
+
+
+def test_language_stage_rejects_foreign_texts_and_gibberish(spark):
+    """Whether they carry a wrong label or none, once or in copies; every row with a letter of the given table stays."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
+    random.seed(8)
+    letters = " ".join("".join(random.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(2000))
+    planted = [(-k - 1, t, lang) for k, (t, lang) in enumerate([*[(t, None) for t in FOREIGN], *[(t, "en") for t in FOREIGN], *[(letters, "en")] * 5])]
+    out = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(planted, docs.schema)), SF_DIR)
+    kept = {r["doc_id"] for r in out.collect()}
+    assert out.columns == docs.columns
+    assert kept == {r["doc_id"] for r in docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+
+
 ODD_ROWS = [
     (1, None, None, None, None), (2, "", "en", "s", 0), (3, "12", "en", "s", 2), (4, "the cat sat on the mat today", "en", "s", 28),
     (4, "the cat sat on the mat today", "en", "s", 28), (None, "le chat est sur le tapis", "fr", None, 24), (6, "der Hund " * 900, "de", "s", 8100),
