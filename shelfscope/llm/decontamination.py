@@ -224,15 +224,18 @@ def matches(column: pa.Array, index: Index) -> list[list[dict]]:
     best: dict[tuple[int, int], int] = {}
     lengths = {i: len(normal(t)) for i, t in enumerate(index.texts)}
     chosen, items, regions = [], [], []
-    last = (-1, -1, 0)
+    joined: list[list[int]] = []
     for text, item, at in pairs.tolist():
         size = len(index.texts[item].split())
         slack = size * index.settings.percent // 100 + 2
-        if (text, item) == last[:2] and at - last[2] <= 1:
-            last = (text, item, at)
-            continue  # a place next to the one before: its region holds this one
-        last = (text, item, at)
-        a, b = max(int(first[text]), at - slack), min(int(first[text + 1]), at + size + 2 * slack + 1)
+        if joined and joined[-1][:2] == [text, item] and at - joined[-1][2] <= slack:
+            joined[-1][3] = at  # the region is read on to the end of this place's
+        else:
+            joined.append([text, item, at, at])
+    for text, item, begin, end in joined:
+        size = len(index.texts[item].split())
+        slack = size * index.settings.percent // 100 + 2
+        a, b = max(int(first[text]), begin - slack), min(int(first[text + 1]), end + size + 2 * slack + 1)
         chosen.append((text, item))
         items.append(normal(index.texts[item]))
         regions.append(normal(data[ends[a] : min(int(ends[b]), int(texts.ends[text + 1]))].decode("utf-8", "replace")) if b > a else "")

@@ -220,6 +220,21 @@ def test_recall_against_brute_force(spark, rate):
             assert 100 * levenshtein_best(normal(text_of[m["item_id"]]), normal(t)) <= 20 * m["length"]
 
 
+def test_items_in_repetitive_texts_are_found():
+    """A run of the item's first word, or of its first two by turns, before the verbatim item."""
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    items, docs = [], []
+    for k in range(24):
+        cycle = [word() for _ in range(1 + k % 2)]
+        run = 10 + k % 13
+        items.append(" ".join([cycle[j % len(cycle)] for j in range(run)] + [word() for _ in range(30 - run)]))
+        docs.append(" ".join(cycle * (60 // len(cycle))) + " " + items[-1] + " " + " ".join(word() for _ in range(20)))
+    index = decontamination.Index(list(range(24)), items, decontamination.Settings())
+    found = decontamination.matches(pa.array(docs), index)
+    assert [next((m["distance"] for m in own if m["item_id"] == k), None) for k, own in enumerate(found)] == [0] * 24
+
+
 def test_clean_texts_stay_and_odd_rows_pass(spark):
     benchmark, docs = planted(spark, 0.0)
     bench = spark.createDataFrame(benchmark + [(None, None), (99, ""), (98, "short item"), benchmark[0]], "item_id long, text string")
