@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.llm import chat, decontamination, jaccard, language, mixing, perplexity, pii, sharding, token_files, toxicity
 from shelfscope.llm.repair_queries import REPAIR_SQL, op11_conversation_repair
+from shelfscope.llm.spelling_queries import SPELLING_SQL, op12_spelling_variants
 from shelfscope.llm.url_queries import URL_SQL, op13_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,5 +153,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_sharding": (op9_sharding, None),
     "op10_mixing": (op10_mixing, None),
     "op11_conversation_repair": (op11_conversation_repair, REPAIR_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, SPELLING_SQL),
     "op13_url_filter": (op13_url_filter, URL_SQL),
 }
