@@ -5,12 +5,13 @@ a pair whose shorter word has m code points, either the first m // 2 or the last
 word stands in up to four lists: by its first and by its last half, as the shorter (m its length) and as
 the longer one (m its length less one). Each list is sorted, words of a last half read backwards.
 
-A list is scanned once for every word of length m in it. The scan keeps the rows of a banded edit matrix
-(distances along three diagonals), one per character of the entry. The next entry shares its longest
-common prefix (LCP) with this one, so those rows stay. Where a row holds nothing below two, no
-entry that shares the prefix up to there can be near, and the scan goes on behind that range. A pair is
-taken from the first-half list where that half is equal, and from the last-half list otherwise, so each
-pair is found once.
+A list is scanned once for every word of length m in it, with the rows of a banded edit matrix: distances
+along three diagonals, one row per character of the entry. Entries share the rows of their longest common
+prefix (LCP). Up to the LCP with the query a row is 1 0 1 and serves the whole range of entries that go
+on alike. Behind the first other letter no 0 is left, so of a range only entries that continue one of the
+diagonals with a 1 letter by letter stay below two edits: the rest of the range is skipped, from one such
+entry to the next. A pair is taken from the first-half list where that half is equal, and from the
+last-half list otherwise, so each pair is found once.
 
 A list of more than `longest` words is split further by the place of the edit: entries are dealt by what
 stands before and after each place, which only words that differ in that place (or lack it) share. Such
@@ -95,53 +96,51 @@ def places(lists: DataFrame) -> DataFrame:
     )
 
 
-def near_in(entries: list[str], shared: int, query: str) -> Iterator[int]:
-    """Places in the sorted `entries`, all equal in their first `shared` characters, of words one edit from `query`."""
-    size, n = len(query), len(entries)
-    # rows[k]: distances of the entry's first shared + k characters to the query's, cut one shorter, equal, one longer.
-    rows = [(1, 0, 1)]
-    before, at = "", 0
-    while at < n:
-        entry = entries[at]
-        if before:
-            most = min(len(before), len(entry), shared + len(rows) - 1)
-            kept = shared
-            while kept < most and before[kept] == entry[kept]:
-                kept += 1
-            del rows[kept - shared + 1 :]
-        before, depth, dead = entry, shared + len(rows) - 1, False
-        while depth < len(entry):
-            left, mid, right = rows[-1]
-            depth += 1
-            letter = entry[depth - 1]
-            a = 9 if depth < 2 or depth - 1 > size else min(left + (depth - 2 >= size or letter != query[depth - 2]), mid + 1)
-            b = 9 if depth > size else min(mid + (letter != query[depth - 1]), right + 1, a + 1)
-            c = 9 if depth + 1 > size else min(right + (letter != query[depth]), b + 1)
-            rows.append((a, b, c))
-            if a > 1 and b > 1 and c > 1:
-                dead = True
-                break
-        if dead:
-            at = bisect_left(entries, entry[: depth - 1] + chr(ord(entry[depth - 1]) + 1), at + 1)
-            continue
-        if -1 <= size - len(entry) <= 1 and rows[-1][size - len(entry) + 1] == 1:
-            yield at
-        at += 1
+def near_in(entries: list[str], known: dict[str, int], shared: int, query: str) -> Iterator[str]:
+    """Words one edit from `query` in the sorted `entries` (the keys of `known`), all of which are equal in
+    their first `shared` characters."""
+    size, depth, low, high = len(query), shared, 0, len(entries)
+    while low < high:
+        # entries[low:high] begin with the query's first `depth` characters; the row there is 1 0 1.
+        prefix, own = query[:depth], query[depth : depth + 1]
+        if len(entries[low]) == depth:
+            if depth == size - 1:
+                yield prefix
+            low += 1
+        at, stop = low, high
+        low = high = stop
+        while at < stop:
+            letter = entries[at][depth]
+            end = bisect_left(entries, prefix + chr(ord(letter) + 1), at + 1, stop)
+            if letter == own:
+                low, high = at, end
+            else:
+                behind = prefix + letter
+                # The diagonals: the letter is one more, stands for the query's, or follows one that is missing.
+                if (word := behind + query[depth:]) in known:
+                    yield word
+                if own:
+                    if (word := behind + query[depth + 1 :]) in known:
+                        yield word
+                    if query[depth + 1 : depth + 2] == letter and (word := behind + query[depth + 2 :]) in known:
+                        yield word
+            at = end
+        depth += 1
 
 
 def pairs_of(m: int, back: bool, half: int, entries: list[str], counts: list[int]) -> Iterator[tuple[str, int, str, int]]:
     """Near pairs of a sorted list whose shorter word has m characters, each once."""
-    for query, n in zip(entries, counts, strict=True):
+    known = dict(zip(entries, counts, strict=True))
+    for query, n in known.items():
         if len(query) != m:
             continue
-        for at in near_in(entries, half, query):
-            other = entries[at]
-            if len(other) == m and other <= query:
+        for other in near_in(entries, known, half, query):
+            if len(other) < m or len(other) == m and other <= query:
                 continue
             if not back:
-                yield query, n, other, counts[at]
+                yield query, n, other, known[other]
             elif query[::-1][: m // 2] != other[::-1][: m // 2]:
-                yield query[::-1], n, other[::-1], counts[at]
+                yield query[::-1], n, other[::-1], known[other]
 
 
 def scanned(lists: DataFrame, keys: list[str]) -> DataFrame:
