@@ -1,10 +1,10 @@
 """Chat formatting: typed content parts become one marked text with a loss mask (DataFrame functions only).
 
 A turn is a list of parts. A visitor, one expression per kind of part, flattens them in order: text is
-escaped, every other part becomes a placeholder and an attachment record with its reference, place in
-the text and expanded token count.
+escaped (adjacent text parts as one, so that no mark forms where they meet), every other part becomes a
+placeholder and an attachment record with its reference, place in the text and expanded token count.
 
-Defined results: null role -> empty; null or empty parts -> an empty turn; null text -> empty; a part of
+Defined results: null role -> empty; line breaks and backslashes of a role are escaped too; null or empty parts -> an empty turn; null text -> empty; a part of
 unknown or null kind -> taken as text; null sizes count as 0. Turns order by turn number (null first),
 then role, then content, so ties and repeated rows keep one order; repeated rows are repeated turns. A
 null conversation id is an id of its own. Other columns of the input are not read. No rows give no rows.
@@ -37,6 +37,15 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, OPENING + r"\\(\\*)" + REST, "$1$2$3")
 
 
+def escaped_role(role: Column) -> Column:
+    """On one line and without control strings; `unescaped_role` gives the role back exactly."""
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
+
+
+def unescaped_role(role: Column) -> Column:
+    return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
+
+
 def whole(x: Column) -> Column:
     return F.greatest(F.coalesce(x, F.lit(0)), F.lit(0))
 
@@ -66,7 +75,7 @@ def visitor(costs: Costs) -> dict[str, Callable[[Column], Column]]:
 
 
 def visit(part: Column, costs: Costs) -> Column:
-    """(body, kind, ref, tokens) of a part; text has null kind."""
+    """(body, kind, ref, tokens) of a part; text has null kind and is not yet escaped."""
     kinds = visitor(costs)
     tokens = F.lit(None).cast("long")
     for kind, count in kinds.items():
@@ -74,7 +83,7 @@ def visit(part: Column, costs: Costs) -> Column:
     attached = F.coalesce(part["kind"].isin(*kinds), F.lit(False))
     return F.struct(
         F.when(attached, F.concat(F.lit("<|"), part["kind"], F.lit("|>")))
-        .otherwise(escaped(F.coalesce(part["text"], F.lit(""))))
+        .otherwise(F.coalesce(part["text"], F.lit("")))
         .alias("body"),
         F.when(attached, part["kind"]).alias("kind"),
         F.when(attached, part["ref"]).alias("ref"),
@@ -82,6 +91,29 @@ def visit(part: Column, costs: Costs) -> Column:
     )
 
 
+VISITED = "struct<body:string,kind:string,ref:string,tokens:bigint>"
+
+
+def text_runs(visited: Column) -> Column:
+    """Visited parts with each run of adjacent texts as one escaped text."""
+
+    def text(run: Column) -> Column:
+        none = F.lit(None)
+        return F.array(F.struct(
+            escaped(run).alias("body"), none.cast("string").alias("kind"), none.cast("string").alias("ref"), none.cast("long").alias("tokens"),
+        ))
+
+    def add(state: Column, part: Column) -> Column:
+        attached = part["kind"].isNotNull()
+        return F.struct(
+            F.when(attached, F.concat(state["out"], text(state["run"]), F.array(part))).otherwise(state["out"]).alias("out"),
+            F.when(attached, F.lit("")).otherwise(F.concat(state["run"], part["body"])).alias("run"),
+        )
+
+    start = F.struct(F.array().cast(f"array<{VISITED}>").alias("out"), F.lit("").alias("run"))
+    return F.aggregate(visited, start, add, lambda state: F.concat(state["out"], text(state["run"])))
+
+
 def text_part(text: Column) -> Column:
     """A turn of one text as a list of parts."""
     return F.array(
@@ -96,7 +128,7 @@ def text_part(text: Column) -> Column:
 def flattened(turns: DataFrame, costs: Costs) -> DataFrame:
     """One row per turn: header, body, and the placeholders with their places in the body."""
     role = F.coalesce(F.col("role"), F.lit(""))
-    pieces = F.transform(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART_TYPE}>")), lambda p: visit(p, costs))
+    visited = F.transform(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART_TYPE}>")), lambda p: visit(p, costs))
     placed = F.aggregate(
         F.col("pieces"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
@@ -111,11 +143,12 @@ def flattened(turns: DataFrame, costs: Costs) -> DataFrame:
         lambda x: x["pieces"]["kind"].isNotNull(),
     )
     return (
-        turns.select("conv_id", "turn", role.alias("role"), pieces.alias("pieces"))
+        turns.select("conv_id", "turn", role.alias("role"), visited.alias("visited"))
+        .withColumn("pieces", text_runs(F.col("visited")))
         .withColumn("starts", placed)
         .select(
             "conv_id", "turn", "role",
-            F.concat(F.lit(TURN), escaped(F.col("role")), F.lit("\n")).alias("header"),
+            F.concat(F.lit(TURN), escaped_role(F.col("role")), F.lit("\n")).alias("header"),
             F.array_join(F.col("pieces.body"), "").alias("body"),
             F.transform(
                 found,
@@ -176,7 +209,7 @@ def turns_of(formatted: Column) -> Column:
     return F.transform(
         pieces,
         lambda p: F.struct(
-            unescaped(F.substring_index(p, "\n", 1)).alias("role"),
+            unescaped_role(F.substring_index(p, "\n", 1)).alias("role"),
             unescaped(_between(p)).alias("text"),
         ),
     )

@@ -60,7 +60,7 @@ WITH turns AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum(8 + length(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) + 1
+    sum(8 + length(regexp_replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) + 1
       + length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) + 8) AS formatted_chars
   FROM turns GROUP BY conv_id
 )
