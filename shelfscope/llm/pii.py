@@ -3,13 +3,18 @@
 Detected entities are normalised (case and separators aside) and get a surrogate that a key, the type and
 the normalised form decide, so every mention of an entity has the same one (coreference), written in the
 mention's own format. Surrogates keep what the type asks for: a card's brand digit and checksum, a
-phone's country code, an account's country and checksum, the shape of an address, gender and script of
-a name, upper and lower case.
+phone's country code, an account's country and checksum, the shape of an address, gender, script and
+hyphens of a name, upper and lower case.
+
+A name follows a title, and is capitalised or of a script without case; particles (`von`, `de la`) may
+stand between and stay. Names of scripts without lists are drawn from letters of their script.
 
 Distinct entities must stay distinct, and no surrogate may be an entity that really occurs. Both are
-checked over the distinct entities of all texts: of those that collide one keeps its surrogate, the
-others draw again, until nothing collides. Only entities that drew again travel back to their texts;
-all others are computed where they are found. Distinct entities are pre-aggregated in tasks.
+checked over the distinct entities of all texts: names are drawn from a space some fifty times as large
+as their number (lists, then lists with syllables before), of those that collide one keeps its
+surrogate, and only the others draw again, until nothing collides. Entities that drew again travel
+back to their texts; all others are computed where they are found. Distinct entities are pre-aggregated
+in tasks.
 
 Defined results: null text stays null, text without entities stays as it is, byte for byte; overlapping
 finds go to the one that starts first, then the longest; repeated rows are rewritten alike; other
@@ -24,10 +29,10 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,11 +69,24 @@ SYLLABLES = {
     "greek": ["αν", "δελ", "κορ", "λιν", "μαρ", "νικ", "παν", "ρος"],
 }
 
-WORD = r"[^\W\d_][^\W\d_'’-]+(?:[-'’][^\W\d_]+)?"
-NAME = re.compile(
+#: Letters for names of scripts without case, by the first word of a letter's Unicode name.
+LETTERS = {
+    "cjk": "山川田中村木林森石松原野本高橋", "hiragana": "あいうえおかきくけこさしすせそ", "katakana": "アイウエオカキクケコサシスセソ",
+    "hangul": "김이박최정강조윤장임한오서신권", "arabic": "ابتجدرسعلمنهويك", "hebrew": "אבגדהלמנרשתק", "devanagari": "कखगजतदनपमरलवसह", "thai": "กขคงจชดตนปพมรลวสห",
+}
+#: Particles of family names, and lengths of country calling codes (all others have three digits).
+PARTICLES = {"von", "van", "de", "da", "di", "del", "della", "du", "dos", "la", "le", "el", "al", "bin", "ben", "ter", "ten", "zu", "y"}
+INNER_PARTICLES = PARTICLES | {"der", "den", "dem", "las", "los", "und"}
+ONE_DIGIT = {"1", "7"}
+TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+WORD = r"[^\W\d_][^\W\d_'’-]*(?:[-'’][^\W\d_]+)?"
+TITLE = re.compile(
     r"(?<!\w)(?:" + "|".join(sorted({re.escape(x) for g in "mfn" for t in TITLES[g] for x in (t, t.upper())}, key=len, reverse=True))
-    + rf")\.?[ \t]((?:[^\W\d_a-zа-яα-ω]\.[ \t])?{WORD}(?:[ \t]{WORD}){{0,2}})"
+    + r")(?=\.?[ \t])"
 )
+INITIALS = re.compile(r"\.?(?:[ \t][^\W\d_a-zа-яα-ω]\.)*")
+NEXT_WORD = re.compile(rf"[ \t]({WORD})")
 TITLE_GENDER = {x: g for g, titles in TITLES.items() for t in titles for x in (t, t.upper())}
 GIVEN_GENDER = {n.casefold(): g for (_, g), names in GIVEN.items() if g != "n" for n in names}
 EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")
@@ -105,38 +123,44 @@ def mod97(account: str) -> int:
 
 def script_of(word: str) -> str:
     for char in word:
-        name = unicodedata.name(char, "")
-        for script in ("CYRILLIC", "GREEK"):
-            if name.startswith(script):
-                return script.lower()
+        script = re.split("[ -]", unicodedata.name(char, "").lower())[0]
+        if script in ("cyrillic", "greek") or script in LETTERS:
+            return script
     return "latin"
 
 
+def like_a_name(word: str) -> bool:
+    """At least two letters, the first one a capital or of a script without case; a single one of such a script."""
+    caseless = word[0].lower() == word[0].upper()
+    return caseless or word[0].isupper() and len(word) > 1
+
+
 def names_in(text: str) -> Iterator[Found]:
     """Words of names after a title: given names, and the last one as family name.
 
     A given name has the gender of the lists, else of its title. A family name is one entity for all its
     bearers; its Cyrillic feminine form counts as the masculine one and is written back as feminine.
     """
-    for match in NAME.finditer(text):
-        title = match.group(0)[: match.start(1) - match.start()].rstrip(". \t")
-        gender = TITLE_GENDER[title]
-        words = [m for m in re.finditer(WORD, match.group(1)) if m.group(0)[0].isupper()]
-        taken = []
-        for m in words:  # up to the first word that is not capitalised
-            between = match.group(1)[taken[-1].end() : m.start()] if taken else ""
-            if between.strip(" \t"):
+    for match in TITLE.finditer(text):
+        gender = TITLE_GENDER[match.group(0)]
+        begin = at = INITIALS.match(text, match.end()).end()
+        taken: list[tuple[int, str]] = []
+        while len(taken) < 3 and (found := NEXT_WORD.match(text, at)):
+            word = found.group(1)
+            if like_a_name(word) and word not in TITLE_GENDER:
+                taken.append((found.start(1), word))
+            elif word not in (PARTICLES if at == begin else INNER_PARTICLES):
                 break
-            taken.append(m)
-        for k, m in enumerate(taken):
-            script, norm, own = script_of(m.group(0)), m.group(0).casefold(), gender
+            at = found.end()
+        for k, (start, word) in enumerate(taken):
+            script, norm, own = script_of(word), word.casefold(), gender
             if k == len(taken) - 1:
                 kind = f"family:{script}:n"
                 if script == "cyrillic" and norm.endswith(("ова", "ева", "ина", "ына")):
                     norm, own = norm[:-1], "f"
             else:
                 kind = f"given:{script}:{GIVEN_GENDER.get(norm, gender)}"
-            yield Found(match.start(1) + m.start(), match.start(1) + m.end(), kind, norm, own)
+            yield Found(start, start + len(word), kind, norm, own)
 
 
 def entities_in(text: str) -> list[Found]:
@@ -227,7 +251,7 @@ def email_for(norm: str, stream: Stream, key: bytes) -> str:
 
 def phone_for(norm: str, stream: Stream, key: bytes) -> str:
     digits = norm.lstrip("+")
-    kept = 0 if norm[0] != "+" else 1 if digits[0] in "17" else 2
+    kept = 0 if norm[0] != "+" else 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3
     return norm[: len(norm) - len(digits)] + digits[:kept] + str(2 + stream.below(8)) + stream.digits(len(digits) - kept - 1)
 
 
@@ -245,14 +269,36 @@ def ip_for(norm: str, stream: Stream, key: bytes) -> str:
     return ".".join(str(1 + stream.below(254)) for _ in range(4))
 
 
-def name_for(kind: str, stream: Stream, attempt: int) -> str:
-    """From the lists by script and gender; after a few collisions with syllables put before."""
+def names_of(role: str, script: str, gender: str) -> list[str] | str:
+    return LETTERS[script] if script in LETTERS else GIVEN[script, gender] if role == "given" else FAMILY[script]
+
+
+def name_for(kind: str, norm: str, stream: Stream, syllables: int) -> str:
+    """From the lists by script and gender with `syllables` put before; each part of a double name apart.
+    Names of other scripts have the letters of the norm and one more per syllable, all of that script."""
     role, script, gender = kind.split(":")
-    name = stream.pick(GIVEN[script, gender] if role == "given" else FAMILY[script])
-    if attempt > 2:
-        start = "".join(stream.pick(SYLLABLES[script]) for _ in range(1 + min(4, attempt // 3)))
-        name = start.capitalize() + name.lower()
-    return name
+    options = names_of(role, script, gender)
+    if script in LETTERS:
+        return "".join(stream.pick(options) for _ in range(len(norm) + syllables))
+    parts = []
+    for _ in norm.split("-"):
+        name = stream.pick(options)
+        start = "".join(stream.pick(SYLLABLES[script]) for _ in range(syllables))
+        parts.append(start.capitalize() + name.lower() if start else name)
+    return "-".join(parts)
+
+
+def syllables_for(kind: str, entities: int) -> int:
+    """How many syllables make the names of a space fifty times as many as its entities."""
+    role, script, _ = f"{kind}:n".split(":")[:3]
+    if script in LETTERS:
+        size, each = len(LETTERS[script]), len(LETTERS[script])
+    else:
+        size, each = min(len(names_of(role, script, g)) for g in "mfn"), len(SYLLABLES[script])
+    syllables = 0
+    while size < 50 * entities and entities > size // 4:
+        size, syllables = size * each, syllables + 1
+    return syllables
 
 
 FORMS: dict[str, Callable[[str, Stream, bytes], str]] = {
@@ -262,14 +308,30 @@ FORMS: dict[str, Callable[[str, Stream, bytes], str]] = {
 }
 
 
-def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
-    """The normalised surrogate of an entity."""
+def surrogate(kind: str, norm: str, attempt: int, key: bytes, syllables: dict[str, int]) -> str:
+    """The normalised surrogate of an entity; `syllables` by space of names."""
     stream = Stream(key, kind, norm, attempt)
     if ":" in kind:
-        return name_for(kind, stream, attempt).casefold()
+        more = syllables.get(space(kind), 0) + (attempt + 2) // 3
+        return name_for(kind, norm, stream, more).casefold()
     return FORMS[kind](norm, stream, key)
 
 
+def address_like(value: str, mention: str) -> str:
+    """An address with the capitals of the mention: of the local part by place, of the domain by its ends."""
+    local, _, domain = value.partition("@")
+    own, _, own_domain = mention.partition("@")
+    local = "".join(c.upper() if m.isupper() else c for c, m in zip(local, own, strict=True))
+    if own_domain.isupper():
+        return f"{local}@{domain.upper()}"
+    labels, own_labels = domain.split("."), own_domain.split(".")
+    if own_labels[0][:1].isupper():
+        labels[0] = labels[0].capitalize()
+    if own_labels[-1].isupper():
+        labels[-1] = labels[-1].upper()
+    return f"{local}@{'.'.join(labels)}"
+
+
 def written(found: Found, mention: str, value: str) -> str:
     """A normalised surrogate in the format of the mention."""
     if ":" in found.kind:
@@ -280,16 +342,16 @@ def written(found: Found, mention: str, value: str) -> str:
         rest = iter(value.lstrip("+"))
         return "".join(next(rest) if c.isalnum() else c for c in mention)
     if found.kind == "email":
-        return value.upper() if mention.isupper() else value
+        return address_like(value, mention)
     return value
 
 
-def rewritten(text: str, key: bytes, attempts: dict[str, int]) -> tuple[str, list[dict]]:
+def rewritten(text: str, key: bytes, attempts: dict[str, int], syllables: dict[str, int] | None = None) -> tuple[str, list[dict]]:
     """The text with surrogates, and where they stand in it."""
     out, spans, at, length = [], [], 0, 0
     for f in entities_in(text):
         mention = text[f.start : f.end]
-        new = written(f, mention, surrogate(f.kind, f.norm, attempts.get(f"{f.kind}\0{f.norm}", 0), key))
+        new = written(f, mention, surrogate(f.kind, f.norm, attempts.get(f"{f.kind}\0{f.norm}", 0), key, syllables or {}))
         out += [text[at : f.start], new]
         length += f.start - at
         spans.append({"kind": f.kind.partition(":")[0], "start": length, "end": length + len(new)})
@@ -323,7 +385,7 @@ def space(kind: str) -> str:
     return ":".join(kind.split(":")[:2])
 
 
-def drawn(entities: DataFrame, key: bytes) -> DataFrame:
+def drawn(entities: DataFrame, key: bytes, syllables: dict[str, int]) -> DataFrame:
     """`entities` (kind, norm, attempt) with their space and surrogate."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +394,7 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns, pa.array([space(r["kind"]) for r in rows], pa.string()),
-                    pa.array([surrogate(r["kind"], r["norm"], r["attempt"], key) for r in rows], pa.string()),
+                    pa.array([surrogate(r["kind"], r["norm"], r["attempt"], key, syllables) for r in rows], pa.string()),
                 ],
                 names=[*batch.schema.names, "space", "value"],
             )
@@ -340,26 +402,35 @@ def drawn(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("kind", "norm", "attempt").mapInArrow(draw, "kind string, norm string, attempt int, space string, value string")
 
 
-def assigned(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
-    """(kind, norm, attempt) of all distinct entities, such that surrogates are distinct in their space
-    and none is an entity that occurs.
+SPACE = r"^([^:]*(?::[^:]*)?).*$"
+
+
+def assigned(found: DataFrame, key: bytes, rounds: int = 64) -> tuple[DataFrame, dict[str, int]]:
+    """(kind, norm, attempt) of the entities that drew again, such that the surrogates of all are distinct
+    in their space and none is an entity that occurs; and the syllables of each space of names.
 
-    Each round lets the entity
-    with the fewest attempts keep a surrogate and all others that drew it, or a real one, draw again.
+    In each round, entities that drew a value of an earlier round or a real one, and all but one of those that
+    drew the same, go on to the next; equal values are aggregated. A value's entities are few, as each space is
+    far larger than their number.
     """
-    entities = stored(found.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "entities")
-    spaces = F.regexp_replace("kind", r"^([^:]*(?::[^:]*)?).*$", "$1")
-    real = stored(entities.select(spaces.alias("space"), F.col("norm").alias("value")).distinct(), "real-entities")
-    first = W.partitionBy("space", "value").orderBy("attempt", F.xxhash64("kind", "norm"), "kind", "norm")
+    entities = stored(found.select("kind", "norm").distinct().withColumn("space", F.regexp_replace("kind", SPACE, "$1")), "entities")
+    # A row per kind of entity and script.
+    counts = entities.groupBy("space").agg(F.count("*").alias("n")).collect()
+    syllables = {r["space"]: syllables_for(r["space"], r["n"]) for r in counts if ":" in r["space"]}
+    used = [stored(entities.select("space", F.col("norm").alias("value")).distinct(), "real-entities")]
+    pending, again = entities.select("kind", "norm", F.lit(0).alias("attempt")), []
     for _ in range(rounds):
-        values = stored(drawn(entities, key).withColumn("place", F.row_number().over(first)), "drawn")
-        again = values.join(real.withColumn("taken", F.lit(True)), ["space", "value"], "left").select(
-            "kind", "norm", "attempt", ((F.col("place") > 1) | F.coalesce("taken", F.lit(False))).alias("again")
-        )
-        again = stored(again, "draws-again")
-        if not again.filter("again").limit(1).count():
-            return entities
-        entities = again.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        values = stored(drawn(pending, key, syllables), "drawn")
+        free = values
+        for one in used:
+            free = free.join(one, ["space", "value"], "left_anti")
+        keeper = F.min(F.struct(F.xxhash64("kind", "norm").alias("h"), "kind", "norm", "attempt")).alias("keeper")
+        kept = stored(free.groupBy("space", "value").agg(keeper).select("space", "value", "keeper.kind", "keeper.norm", "keeper.attempt"), "kept")
+        used.append(kept.select("space", "value"))
+        again.append(kept.filter("attempt > 0").select("kind", "norm", "attempt"))
+        pending = stored(values.join(kept, ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "draws-again")
+        if pending.isEmpty():
+            return reduce(DataFrame.unionByName, again), syllables
     raise ValueError(f"surrogates still collide after {rounds} rounds")
 
 
@@ -367,7 +438,7 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     """`docs` with surrogates in `text`, and `entities`: array of (kind, start, end) in the new text."""
     docs = docs.drop("entities")
     found = stored(mentions(docs.filter("text IS NOT NULL")), "mentions")
-    again = assigned(found, key).filter("attempt > 0")
+    again, syllables = assigned(found, key)
     override = F.struct(F.concat("kind", F.lit("\0"), "norm").alias("key"), F.col("attempt").alias("value"))
     by_text = stored(
         found.join(again, ["kind", "norm"]).groupBy("text_key").agg(F.collect_set(override).alias("overrides")), "overrides"
@@ -386,7 +457,7 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
             for part in batches_of(batch, "text"):
                 texts = part.column("text").to_pylist()
                 own = part.column(overrides).to_pylist()
-                done = [(t, []) if not t else rewritten(t, key, dict(o or ())) for t, o in zip(texts, own, strict=True)]
+                done = [(t, []) if not t else rewritten(t, key, dict(o or ()), syllables) for t, o in zip(texts, own, strict=True)]
                 columns = {name: part.column(name) for name in names}
                 columns["text"] = pa.array([d[0] for d in done], pa.string())
                 columns["entities"] = pa.array([d[1] for d in done], kind)
