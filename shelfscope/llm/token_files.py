@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,12 +40,15 @@ class WordEncoder:
     """Encodes whole texts by words: a word is sent to the tokenizer once, then remembered.
 
     For tokenizers that drop white space and never join across it (`by_words=False` is for all others). Texts
-    are cut at ASCII white space only, which is a part of what the tokenizer cuts at. New words go to the
+    are cut at ASCII white space only, which is a part of what the tokenizer cuts at. Arrow cuts a batch and numbers its distinct
+    words; only those become Python strings, and their ids are put together by numpy. New words go to the
     tokenizer in one text, apart by a control character that is a token of its own.
     """
 
     APART = "\x01"
+    #: Words and ids remembered; beyond either, all are forgotten before the next batch.
     REMEMBERED = 800_000
+    REMEMBERED_IDS = 1 << 23
     LONGEST = 64
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -53,48 +57,57 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
-        self.known: dict[bytes, bytes] = {}
         self.apart = self.ids(self.APART)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype=self.dtype)
+        self.ends = np.zeros(1, dtype=np.int64)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.REMEMBERED:
-            self.known = {}
-        short = [w for w in words if b"\x01" not in w and b"<|" not in w] if len(self.apart) == 1 else []
+    def learn(self, words: list[str]) -> None:
+        """Puts the ids of new words behind those known, in order."""
+        plain = len(self.apart) == 1
+        short = [w for w in words if plain and 0 < len(w) <= self.LONGEST and "\x01" not in w and "<|" not in w]
+        flat, sizes = [self.flat], []
         for k in range(0, len(short), 2000):
             some = short[k : k + 2000]
-            ids = np.array(self.ids(f" {self.APART} ".join(w.decode("utf-8", "replace") for w in some)), dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.apart[0])
+            ids = np.array(self.ids(f" {self.APART} ".join(some)), dtype=self.dtype)
+            marks = ids == self.apart[0]
+            cuts = np.flatnonzero(marks)
             if len(cuts) != len(some) - 1:
                 raise ValueError("the tokenizer joined words")
-            raw, size = ids.tobytes(), ids.itemsize
-            starts = (np.concatenate([[0], cuts + 1]) * size).tolist()
-            ends = (np.concatenate([cuts, [len(ids)]]) * size).tolist()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends, strict=True))
-        for word in {*words}.difference(short):
-            self.known[word] = self.one(word)
-
-    def one(self, word: bytes) -> bytes:
-        return np.array(self.ids(word.decode("utf-8", "replace")), dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").encode().split() for t in texts]
-        distinct = {w for words in cut for w in words}
-        new = [w for w in distinct if w not in self.known and len(w) <= self.LONGEST]
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known = {}
-            new = [w for w in distinct if len(w) <= self.LONGEST]
-        self.learn(new)
-        get = self.known.get
-        out = []
-        for words in cut:
-            parts = list(map(get, words))
-            if None in parts:
-                parts = [self.one(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-            out.append(b"".join(parts))
-        return out
+            flat.append(ids[~marks])
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+        rest = [w for w in words if w not in set(short)] if len(short) < len(words) else []
+        for word in rest:
+            flat.append(np.array(self.ids(word) if word else [], dtype=self.dtype))
+            sizes.append([len(flat[-1])])
+        self.known.update(zip([*short, *rest], range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.flat = np.concatenate(flat)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        cut = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        told = cut.flatten().dictionary_encode()
+        words = told.dictionary.to_pylist()
+        if len(self.known) > self.REMEMBERED or len(self.flat) > self.REMEMBERED_IDS:
+            self.forget()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.learn(new)
+        slots = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        begin, size = self.ends[slots], self.ends[slots + 1] - self.ends[slots]
+        at = told.indices.to_numpy(zero_copy_only=False)
+        sizes = size[at]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(begin[at] - before[:-1], sizes) + np.arange(before[-1])]
+        offsets = cut.offsets.to_numpy()
+        return ids, np.diff(before[offsets - offsets[0]])
 
 
 class TextEncoder:
@@ -106,9 +119,10 @@ class TextEncoder:
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        sizes = np.array([len(x.ids) for x in found], dtype=np.int64)
+        return np.concatenate([np.zeros(0, self.dtype), *[np.array(x.ids, dtype=self.dtype) for x in found]]), sizes
 
 
 ENCODERS: dict[tuple, WordEncoder | TextEncoder] = {}
@@ -152,8 +166,8 @@ def write_token_files(
         fs, root = file_system(folder)
         own = f"{root}/part-{context.partitionId():06d}"
         attempt = f"{own}.{context.taskAttemptId()}"
-        end = np.array([end_id], dtype=dtype).tobytes()
-        lengths: list[int] = []
+        width = np.dtype(dtype).itemsize
+        lengths: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         stream = None
         for batch in batches:
@@ -161,24 +175,24 @@ def write_token_files(
                 if stream is None:
                     fs.create_dir(root, recursive=True)
                     stream = fs.open_output_stream(f"{attempt}.bin")
-                for raw in encoder(kind, tokenizer, dtype).encode(part.column("text").to_pylist()):
-                    stream.write(raw + end)
-                    lengths.append((len(raw) + len(end)) // len(end))
+                ids, sizes = encoder(kind, tokenizer, dtype).encode(part.column("text"))
+                stream.write(np.insert(ids, np.cumsum(sizes), end_id).tobytes())
+                lengths.append(sizes + 1)
                 doc_ids += part.column("doc_id").to_pylist()
         if stream is None:
             return
         stream.close()
-        offsets = np.concatenate([[0], np.cumsum(np.array(lengths, dtype="<i8"))]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         with fs.open_output_stream(f"{attempt}.idx") as index:
-            index.write(struct.pack("<q", len(lengths)))
+            index.write(struct.pack("<q", len(doc_ids)))
             index.write(offsets.tobytes())
             index.write(np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes())
             index.write(np.array([x is None for x in doc_ids], dtype="<i8").tobytes())
         for suffix in ("bin", "idx"):
             fs.move(f"{attempt}.{suffix}", f"{own}.{suffix}")
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([context.partitionId()], pa.int32()), "docs": pa.array([len(lengths)], pa.int64()),
-            "tokens": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([len(end)], pa.int32()),
+            "part": pa.array([context.partitionId()], pa.int32()), "docs": pa.array([len(doc_ids)], pa.int64()),
+            "tokens": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([width], pa.int32()),
         })
 
     (
