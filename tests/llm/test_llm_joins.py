@@ -125,7 +125,7 @@ def test_list_pairs_skips_nothing_that_links(monkeypatch):
     low = random.integers(5, 200, 300)
     order = np.lexsort([low, token])
     token, low, pos, label = token[order], low[order], random.integers(0, 5, 300), random.integers(0, 250, 300)
-    got = {(int(a), int(b)) for i, j in jaccard.list_pairs(token, label, low, low, pos) for a, b in zip(i, j)}
+    got = {(int(a), int(b)) for i, j, _ in jaccard.list_pairs(token, label, low, low, pos) for a, b in zip(i, j)}
     for i in range(300):
         for j in range(i + 1, 300):
             possible = token[i] == token[j] and label[i] != label[j] and bool(jaccard.may_link(low[i], low[i], pos[i], low[j], low[j], pos[j]))
@@ -138,7 +138,7 @@ def test_sketches_never_lose_a_link():
     sets += [np.append(x[: -1 - len(x) // 12], np.uint64(k)) for k, x in enumerate(sets)]
     sketches = np.stack([np.frombuffer(jaccard.sketch(x), np.uint64) for x in sets])
     n = np.array([len(x) for x in sets])
-    got = {(int(a), int(b)) for i, j in jaccard.list_pairs(np.zeros(len(sets), int), np.arange(len(sets)), *(n[o] for o in (slice(None),) * 2), np.zeros(len(sets), int), sketches) for a, b in zip(i, j)}
+    got = {(int(a), int(b)) for i, j, _ in jaccard.list_pairs(np.zeros(len(sets), int), np.arange(len(sets)), *(n[o] for o in (slice(None),) * 2), np.zeros(len(sets), int), sketches, np.zeros(len(sets), int)) for a, b in zip(i, j)}
     links = 0
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
@@ -220,6 +220,43 @@ def test_recall_against_brute_force(spark, rate):
             assert 100 * levenshtein_best(normal(text_of[m["item_id"]]), normal(t)) <= 20 * m["length"]
 
 
+@pytest.mark.parametrize("words, percent", [(12, 4), (15, 5), (20, 8), (30, 10), (None, 10)])
+def test_target_recall_by_length(spark, words, percent):
+    """Characters replaced at any place of an item, over the radius that is promised for its length."""
+    random.seed(words or 1)
+    texts = [" ".join(r["text"].split()[:words]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    hosts = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(80).collect()]
+    index = decontamination.Index(list(range(len(texts))), texts, decontamination.Settings())
+    docs, want = [], []
+    for k, text in enumerate(texts * 4):
+        edited = "".join(random.choice("abcdefgh") if c != " " and random.random() < percent / 100 else c for c in text)
+        host = random.choice(hosts)[:500]
+        docs.append(f"{host} {edited.upper()}\n{host}")
+        want.append(k % len(texts))
+    found = decontamination.matches(pa.array(docs), index)
+    assert np.mean([any(m["item_id"] == k for m in f) for f, k in zip(found, want)]) >= 0.9
+
+
+def test_short_items_are_found_verbatim():
+    items = ["Éa", "two words", "three of these", "the nine words of an item that is short"]
+    index = decontamination.Index([f"i{k}" for k in range(4)], items, decontamination.Settings())
+    docs = [f"before {t.upper()}  after" for t in items] + ["éa", "a two  words", "two other words", "three of", None]
+    found = [{m["item_id"] for m in f} for f in decontamination.matches(pa.array(docs), index)]
+    assert found[:4] == [{"i0"}, {"i1"}, {"i2"}, {"i3"}] and found[4:] == [{"i0"}, {"i1"}, set(), set(), set()]
+
+
+def test_one_long_repetition_is_searched_in_pieces(spark):
+    """A document that is one word over and over, and an item of that word: bounded pieces, the item is found."""
+    item = " ".join(["again"] * 20)
+    index = decontamination.Index([1], [item], decontamination.Settings())
+    pieces = decontamination.regions_of(np.array([[0, 0, k] for k in range(0, 50_000, 3)]), np.array([0, 50_100]), index)
+    assert max(b - a for _, _, a, b in pieces) < 200 and len(pieces) > 100
+    assert decontamination.matches(pa.array(["again " * 20_000]), index) == [[{"item_id": 1, "distance": 0, "length": len(item)}]]
+    texts = spark.createDataFrame([("x", "Some " + item)], "doc_id string, text string")
+    bench = spark.createDataFrame([("text id", item)], "item_id string, text string")
+    assert decontamination.find(texts, bench).first()["benchmark_items"][0]["item_id"] == "text id"
+
+
 def test_items_in_repetitive_texts_are_found():
     """A run of the item's first word, or of its first two by turns, before the verbatim item."""
     random.seed(11)
@@ -278,6 +315,46 @@ def test_entities_keep_type_format_and_coreference():
         assert pii.rewritten(plain, b"key", {}) == (plain, [])
 
 
+@pytest.mark.parametrize("text, kept", [
+    ("Der Herr der Ringe", True), ("Der Herr sagte Maria", True), ("Dr der Philosophie Berlin", True), ("Mr. and Mrs. are here", True),
+    ("Herr von Braun", False), ("Señora María de la Cruz", False), ("Frau Müller-Schmidt", False), ("Mr 山田", False), ("Dr. J. Smith came", False),
+    ("John.Doe@Corp.COM", False), ("call +420 601 123 456", False), ("call +351 912 345 678", False), ("Mr. McDonald", False),
+])
+def test_forms_of_surrogates(text, kept):
+    new, spans = pii.rewritten(text, b"key", {})
+    assert (new == text) == kept == (not spans)
+    shape = lambda t: re.sub(r"[^\W\d_]", "x", re.sub(r"\w+", "w", t))
+    if "@" not in text:
+        assert shape(new) == shape(text)
+    if "+" in text:
+        assert new[:9] == text[:9] and len(new) == len(text)
+    if "山" in text:
+        assert len(new) == len(text) and all(pii.script_of(c) == "cjk" for c in new[3:])
+    if "@" in text:
+        assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}@[A-Z][a-z]{7}\.example\.COM", new)
+    if "von" in text or "de la" in text:
+        assert " von " in new or " de la " in new
+
+
+def test_distinct_entities_against_brute_force(spark):
+    """The registered operator against dictionaries: one surrogate per entity, none twice, none that occurs."""
+    random.seed(8)
+    words = ["".join(random.choices("abcdefgh", k=5)).capitalize() for _ in range(400)]
+    texts = [f"Mr {random.choice(words)} met Frau {random.choice(words)}-{random.choice(words)}, mail {w}@x{k % 7}.org or +49 30 {k:06d}." for k, w in enumerate(words)]
+    rows = list(enumerate(texts * 2))
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    forward, back, real, seen = {}, {}, set(), set()
+    for k, text in rows:
+        old, new = pii.entities_in(text), pii.entities_in(out[k])
+        assert len(old) == len(new) == 4
+        for a, b in zip(old, new):
+            a, b = (pii.space(a.kind), a.norm), (pii.space(b.kind), b.norm)
+            assert forward.setdefault(a, b) == b and back.setdefault(b, a) == a
+            real.add(a)
+            seen.add(b)
+    assert not real & seen and len(forward) == len(back) > 1000
+
+
 def test_surrogates_stay_distinct_over_a_corpus(spark):
     """More people than names in the lists, and one entity in a third of all rows."""
     random.seed(6)
