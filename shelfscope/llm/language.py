@@ -7,7 +7,7 @@ of texts in numpy and adds them up per text.
 Defined results: null text, empty text or text without a letter -> `und` with score 0; rows of null
 language or null text teach nothing; without any teaching row every text is `und`; of equal scores the
 first language by code point wins. The posterior only says which learned language is nearest; whether a
-text is in it at all is asked by `fitting`. A repeated row teaches and is answered as often as it occurs. Other
+text is in it at all is asked by `accepted`. A repeated row teaches and is answered as often as it occurs. Other
 columns pass through untouched; columns named lang_pred or score are replaced.
 """
 
@@ -18,8 +18,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +29,10 @@ from shelfscope.llm.storage import free_name, stored
 from shelfscope.llm.text import U64, batches_of, mixed, texts_of
 
 UNDETERMINED = "und"
-#: A text fits a language from this share of the language's median on, less SHORT over the square root of its
-#: number of n-grams. On sf0.01 real Dutch, Portuguese and others reach at most 0.54, its own rows 0.73 at least.
+#: Bytes of text that a task works on at a time; it holds some fifty bytes for each.
+AT_ONCE = 1 << 20
+#: Defaults of `accepted`. On sf0.01 real Dutch, Portuguese and others reach at most 0.54 of the median, its own
+#: rows 0.73 at least.
 LEAST_FIT = 0.65
 SHORT = 0.5
 
@@ -48,6 +51,11 @@ def characters() -> tuple[np.ndarray, np.ndarray]:
     return lower, letter
 
 
+@lru_cache(1)
+def character_hashes() -> np.ndarray:
+    return mixed(np.arange(0x110000, dtype=U64) + U64(1))
+
+
 @dataclass(frozen=True)
 class Model:
     """log_probability[language, bucket], log_prior[language]."""
@@ -70,8 +78,7 @@ def ngrams(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tup
     at = np.concatenate([[0], np.cumsum(first)])[texts.ends]
     lower, _ = characters()
     chars = lower[np.frombuffer(texts.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)]
-    hashed = mixed(np.arange(0x110000, dtype=U64) + U64(1))
-    value = hashed[chars]
+    value = character_hashes()[chars]
     rolled = np.zeros(len(chars), dtype=U64)
     last = np.repeat(at[1:], np.diff(at))
     for k in range(1, max(orders) + 1):
@@ -83,48 +90,42 @@ def ngrams(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tup
             yield bucket, at
 
 
-def counts_by_language(rows: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
-    """(lang, bucket, n, docs): n-gram counts per language; bucket -1 holds the number of documents."""
+def counts_by_language(rows: DataFrame, orders: tuple[int, ...], bits: int, part: Column) -> DataFrame:
+    """(lang, part, bucket, n): n-gram counts per language and part of the texts (0 or 1); bucket -1 holds the
+    number of documents."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
+        seen: dict[tuple[str, int], np.ndarray] = {}
+        docs: dict[tuple[str, int], int] = {}
         for batch in batches:
-            for part in batches_of(batch, "text"):
-                names = part.column("lang").to_pylist()
+            for some in batches_of(batch, "text", AT_ONCE):
+                names = list(zip(some.column("lang").to_pylist(), some.column("part").to_pylist(), strict=True))
                 for name in set(names):
-                    own = part.filter(pa.array([x == name for x in names]))
+                    own = some.filter(pa.array([x == name for x in names]))
                     total = seen.setdefault(name, np.zeros(size + 1, dtype=np.int64))
                     docs[name] = docs.get(name, 0) + own.num_rows
                     for bucket, _ in ngrams(own.column("text"), orders, bits):
                         total += np.bincount(bucket, minlength=size + 1)
-        for name, total in seen.items():
+        for (lang, which), total in seen.items():
             where = np.flatnonzero(total[:size])
             yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([name] * (len(where) + 1), pa.string()),
+                "lang": pa.array([lang] * (len(where) + 1), pa.string()),
+                "part": pa.array(np.full(len(where) + 1, which), pa.int32()),
                 "bucket": pa.array(np.concatenate([[-1], where]), pa.int32()),
-                "n": pa.array(np.concatenate([[docs[name]], total[where]]), pa.int64()),
+                "n": pa.array(np.concatenate([[docs[lang, which]], total[where]]), pa.int64()),
             })
 
     return (
-        rows.select("lang", "text")
-        .mapInArrow(count, "lang string, bucket int, n long")
-        .groupBy("lang", "bucket")
+        rows.select("lang", part.cast("int").alias("part"), "text")
+        .mapInArrow(count, "lang string, part int, bucket int, n long")
+        .groupBy("lang", "part", "bucket")
         .agg(F.sum("n").alias("n"))
     )
 
 
-def train(rows: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.5, most_languages: int = 500) -> Model:
-    """The model of all rows with a language and a text.
-
-    What reaches the driver is at most `most_languages` x 2 ** bits sums; more languages are refused.
-    """
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = stored(counts_by_language(rows, orders, bits), "language-counts")
-    if counts.filter("bucket = -1").count() > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    table = counts.toPandas()
+def model_of(table: pd.DataFrame, orders: tuple[int, ...], bits: int, smoothing: float) -> Model:
+    """The model of counts (lang, bucket, n), several rows of one bucket added up."""
     languages = sorted(table.lang.unique(), key=lambda x: x.encode())
     matrix = np.full((len(languages), 1 << bits), smoothing)
     prior = np.zeros(len(languages))
@@ -132,28 +133,65 @@ def train(rows: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15,
         own = table[table.lang == name]
         prior[i] = own.n[own.bucket == -1].sum()
         own = own[own.bucket >= 0]
-        matrix[i, own.bucket.to_numpy()] += own.n.to_numpy()
+        np.add.at(matrix[i], own.bucket.to_numpy(), own.n.to_numpy())
     if languages:
         matrix = np.log(matrix) - np.log(matrix.sum(axis=1, keepdims=True))
         prior = np.log(prior / prior.sum())
     return Model(tuple(languages), prior, matrix, orders, bits)
 
 
+def counted(rows: DataFrame, orders: tuple[int, ...], bits: int, most_languages: int, part: Column) -> pd.DataFrame:
+    """What reaches the driver is at most 2 x `most_languages` x 2 ** bits sums; more languages are refused."""
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = stored(counts_by_language(rows, orders, bits, part), "language-counts")
+    if counts.filter("bucket = -1").select("lang").distinct().count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    return counts.toPandas()
+
+
+def train(rows: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.5, most_languages: int = 500) -> Model:
+    """The model of all rows with a language and a text."""
+    return model_of(counted(rows, orders, bits, most_languages, F.lit(0)), orders, bits, smoothing)
+
+
+def train_halves(
+    rows: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.5, most_languages: int = 500
+) -> tuple[Model, Model, Model]:
+    """From one reading: the model of all rows, that of the rows not in half 0, and that of the rows not in half 1."""
+    table = counted(rows, orders, bits, most_languages, half())
+    return tuple(model_of(part, orders, bits, smoothing) for part in (table, table[table.part == 1], table[table.part == 0]))
+
+
+class Scores:
+    """Sums of log probabilities per language and text, n-grams of one order after the other."""
+
+    def __init__(self, model: Model, n: int) -> None:
+        self.model = model
+        self.total = np.repeat(model.log_prior[:, None], n, axis=1)
+        self.padded = np.concatenate([model.log_probability, np.zeros((len(model.languages), 1))], axis=1)
+
+    def add(self, bucket: np.ndarray, at: np.ndarray) -> None:
+        full = np.flatnonzero(np.diff(at))
+        if len(full):
+            for i in range(len(self.model.languages)):
+                self.total[i, full] += np.add.reduceat(self.padded[i][bucket], at[full])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the best language (-1: none) and its posterior probability, per text."""
+        n = self.total.shape[1]
+        if not self.model.languages:
+            return np.full(n, -1), np.zeros(n)
+        return self.total.argmax(axis=0), 1 / np.exp(self.total - self.total.max(axis=0)).sum(axis=0)
+
+
 def scores(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Index of the best language (-1: undetermined) and its posterior probability, per text."""
-    n = len(column)
-    texts = texts_of(column)
-    if not model.languages or not len(texts.data):
-        return np.full(n, -1), np.zeros(n)
-    total = np.repeat(model.log_prior[:, None], n, axis=1)
-    padded = np.concatenate([model.log_probability, np.zeros((len(model.languages), 1))], axis=1)
+    if not model.languages or not len(texts_of(column).data):
+        return np.full(len(column), -1), np.zeros(len(column))
+    own = Scores(model, len(column))
     for bucket, at in ngrams(column, model.orders, model.bits):
-        full = np.flatnonzero(np.diff(at))
-        for i in range(len(model.languages)):
-            total[i, full] += np.add.reduceat(padded[i][bucket], at[full])
-    best = total.argmax(axis=0)
-    score = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-    return best, score
+        own.add(bucket, at)
+    return own.best()
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
@@ -178,7 +216,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = sent.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            for part in batches_of(batch, "text"):
+            for part in batches_of(batch, "text", AT_ONCE):
                 column = part.column("text")
                 best, score = scores(column, model)
                 none = ~has_letter(column) | (best < 0)
@@ -191,54 +229,76 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(answer, schema)
 
 
-def fits(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: its best language, the mean log probability of its longest n-grams there above that of a
-    random n-gram (NaN where there is none), and their number."""
-    best, _ = scores(column, model)
-    fit, n = np.full(len(column), np.nan), np.zeros(len(column), dtype=np.int64)
-    if not model.languages or not len(column):
-        return best, fit, n
-    above = model.log_probability - model.log_probability.mean(axis=1, keepdims=True)
-    above = np.concatenate([above, np.zeros((len(above), 1))], axis=1)
-    for bucket, at in ngrams(column, (max(model.orders),), model.bits):
-        values = above[np.repeat(best, np.diff(at)), bucket]
-        n = np.diff(np.concatenate([[0], np.cumsum(bucket < 1 << model.bits)])[at])
-        full = np.flatnonzero(n)
-        fit[full] = np.add.reduceat(values, at[full]) / n[full] if len(full) else np.nan
-    return best, fit, n
+def fit_of(model: Model, best: np.ndarray, bucket: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the mean log probability of its longest n-grams in its best language above that of a random
+    n-gram (NaN where there is none), and their number."""
+    n = np.diff(np.concatenate([[0], np.cumsum(bucket < 1 << model.bits)])[at])
+    fit = np.full(len(n), np.nan)
+    full = np.flatnonzero(n)
+    if model.languages and len(full):
+        above = model.log_probability - model.log_probability.mean(axis=1, keepdims=True)
+        above = np.concatenate([above, np.zeros((len(above), 1))], axis=1)
+        fit[full] = np.add.reduceat(above[np.repeat(best, np.diff(at)), bucket], at[full]) / n[full]
+    return fit, n
 
 
-def fitting(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (with `text` and `lang`) but those whose text is in none of the learned languages.
-
-    A text is compared with the models of the half of the texts it is not in, as n-grams that it taught
+def measured(column: pa.Array, which: np.ndarray, whole: Model, halves: tuple[Model, Model]) -> dict[str, pa.Array]:
+    """Per text, from one walk over its n-grams: language and score by the whole model; language, fit and number of
+    n-grams by the model of the half it is not in."""
+    n = len(column)
+    models = (whole, *halves)
+    sums = [Scores(m, n) for m in models]
+    bucket, at = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    if len(texts_of(column).data):
+        for bucket, at in ngrams(column, whole.orders, whole.bits):
+            for own in sums:
+                own.add(bucket, at)
+    (best, score), *others = [own.best() for own in sums]
+    none = ~has_letter(column) | (best < 0)
+    name = lambda m, b: np.array([*m.languages, UNDETERMINED], dtype=object)[b]
+    guess, fit, grams = np.full(n, UNDETERMINED, dtype=object), np.full(n, np.nan), np.zeros(n, np.int64)
+    for k, (model, (own, _)) in enumerate(zip(halves, others, strict=True)):
+        mine = which == k
+        value, count = fit_of(model, own, bucket, at)
+        guess[mine], fit[mine], grams[mine] = name(model, own)[mine], value[mine], count[mine]
+    return {
+        "lang_pred": pa.array(np.where(none, UNDETERMINED, name(whole, best)), pa.string()),
+        "score": pa.array(np.where(none, 0.0, score), pa.float64()),
+        "guess": pa.array(guess, pa.string()), "fit": pa.array(fit, mask=np.isnan(fit)), "grams": pa.array(grams, pa.int64()),
+    }
+
+
+def accepted(docs: DataFrame, least_score: float = 0.5, least_fit: float = LEAST_FIT, short: float = SHORT) -> DataFrame:
+    """The rows of `docs` (with `text` and `lang`) but those without a determined language and those whose text is
+    in none of the learned languages.
+
+    A text is compared with the model of the half of the texts it is not in, as n-grams that it taught
     itself fit; the measure is the mean over its n-grams against the median of the texts that have the
-    language as label. Rows that nothing can be said of stay: no n-gram, no other text, no labelled text.
+    language as label. A text fits from `least_fit` of that median on, less `short` over the square root of its
+    number of n-grams. Of texts with a letter, those that nothing can be said of stay: no n-gram of the
+    longest order, no other text, no labelled text. The texts are read twice, once to learn and once to
+    measure; what is measured is stored with the rows.
     """
     columns = docs.columns
-    guess, fit, grams = (free_name(docs, c) for c in ("fit_language", "fit", "fit_grams"))
-    sent = docs.sparkSession.sparkContext.broadcast([train(docs.filter(half() == 1 - k)) for k in (0, 1)])
+    sent = docs.sparkSession.sparkContext.broadcast(train_halves(docs))
     mark = free_name(docs, "half")
-    added = [T.StructField(guess, T.StringType()), T.StructField(fit, T.DoubleType()), T.StructField(grams, T.LongType())]
+    names = {c: free_name(docs, f"measured_{c}") for c in ("lang_pred", "score", "guess", "fit", "grams")}
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "guess": T.StringType(), "fit": T.DoubleType(), "grams": T.LongType()}
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(names[c], kinds[c]) for c in names]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, *halves = sent.value
         for batch in batches:
-            for part in batches_of(batch, "text"):
-                which = np.asarray(part.column(mark))
-                for k, model in enumerate(sent.value):
-                    own = part.filter(pa.array(which == k))
-                    if own.num_rows:
-                        best, value, n = fits(own.column("text"), model)
-                        names = np.array([*model.languages, UNDETERMINED], dtype=object)
-                        yield pa.RecordBatch.from_arrays(
-                            [*own.drop_columns([mark]).columns, pa.array(names[best], pa.string()), pa.array(value, mask=np.isnan(value)), pa.array(n, pa.int64())],
-                            names=[*columns, guess, fit, grams],
-                        )
-
-    rows = docs.withColumn(mark, half()).mapInArrow(answer, T.StructType([*docs.schema.fields, *added]))
+            for part in batches_of(batch, "text", AT_ONCE):
+                found = measured(part.column("text"), np.asarray(part.column(mark)), whole, tuple(halves))
+                own = part.drop_columns([mark])
+                yield pa.RecordBatch.from_arrays([*own.columns, *[found[c] for c in names]], names=[*columns, *names.values()])
+
+    rows = stored(docs.withColumn(mark, half()).mapInArrow(answer, schema), "language-measures")
+    lang_pred, score, guess, fit, grams = (F.col(names[c]) for c in names)
     middle, name = free_name(rows, "middle"), free_name(rows, "middle_language")
-    labelled = rows.filter(F.col("lang") == F.col(guess)).groupBy(F.col(guess).alias(name))
-    middles = stored(labelled.agg(F.percentile_approx(fit, 0.5, 10_000).alias(middle)), "language-middles")
-    least = F.col(middle) * (LEAST_FIT - SHORT / F.sqrt(F.col(grams)))
-    whole = rows.join(F.broadcast(middles), F.col(guess) == F.col(name), "left")
-    return whole.filter(F.coalesce(F.col(fit) >= least, F.lit(True)) | (F.col(middle) <= 0)).select(*columns)
+    # A row per language.
+    middles = rows.filter(F.col("lang") == guess).groupBy(guess.alias(name)).agg(F.percentile_approx(fit, 0.5, 10_000).alias(middle))
+    whole = rows.join(F.broadcast(stored(middles, "language-middles")), guess == F.col(name), "left")
+    fitting = F.coalesce(fit >= F.col(middle) * (least_fit - short / F.sqrt(grams)), F.lit(True)) | (F.col(middle) <= 0)
+    return whole.filter((lang_pred != UNDETERMINED) & (score >= least_score) & fitting).select(*[F.col(f"`{c}`") for c in columns])
