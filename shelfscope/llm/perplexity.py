@@ -31,8 +31,9 @@ from shelfscope.llm.token_files import file_system, mapped, normal
 
 ORDER = 5
 BITS = 21
-#: Of the spread that clean texts of the given tables show: it falls with the square root of the length up to
-#: about 3,000 characters, and 99.5 % of those labelled good lie within 5 quartile distances (sf0.1).
+#: Defaults of `judged`, from the spread that clean texts of the given tables show: it falls with the square root
+#: of the length up to about 3,000 characters, and 99.5 % of those labelled good lie within 5 quartile
+#: distances (sf0.1).
 SHORT = 3000.0
 REACH = 5.0
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -243,11 +244,9 @@ def half() -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(2)).cast("int")
 
 
-def train_apart(docs: DataFrame, order: int = ORDER) -> tuple[str, tuple[str, str]]:
-    """The model of all rows, and per half of the texts the model of the other half."""
-    halves = [stored(counted(docs.filter(half() == k), order), f"grams-{order}-{k}") for k in (0, 1)]
-    both = halves[0].unionByName(halves[1]).groupBy("hi", "lo").agg(F.sum("n").alias("n"))
-    return written(stored(both, f"grams-{order}"), order), (written(halves[1], order), written(halves[0], order))
+def train_apart(docs: DataFrame, order: int = ORDER) -> tuple[str, str]:
+    """Per half of the texts the model of the other half."""
+    return tuple(written(stored(counted(docs.filter(half() == 1 - k), order), f"grams-{order}-{k}"), order) for k in (0, 1))
 
 
 def written(counts: DataFrame, order: int, folder: str | None = None) -> str:
@@ -418,13 +417,13 @@ def parts_of(spark: SparkSession, folder: str) -> dict[str, list[tuple[int, int]
     return parts
 
 
-def scored(docs: DataFrame, folder: str, key: str = "doc_id", language: str = "lang", apart: tuple[str, str] | None = None) -> DataFrame:
-    """Key, language, base counts and log perplexity of every row, and `foreign`: its log perplexity by the
-    model of `apart` for its half of the texts, which has not counted it (without `apart`, by `folder`)."""
-    folders = [normal(f) for f in (folder, *(apart or ()))]
+def scored(docs: DataFrame, folders: tuple[str, ...], key: str = "doc_id", language: str = "lang") -> DataFrame:
+    """Key, language, base counts and log perplexity of every row, by the model in one folder, or by the one
+    of two for its half of the texts."""
+    folders = tuple(normal(f) for f in folders)
     parts = {f: parts_of(docs.sparkSession, f) for f in folders}
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = f"key {kinds[key]}, language {kinds[language]}, {', '.join(f'{c} long' for c in BASE)}, log_perplexity double, foreign double"
+    schema = f"key {kinds[key]}, language {kinds[language]}, {', '.join(f'{c} long' for c in BASE)}, log_perplexity double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not all(f in MODELS for f in folders):
@@ -433,32 +432,32 @@ def scored(docs: DataFrame, folder: str, key: str = "doc_id", language: str = "l
         for batch in batches:
             for part in batches_of(batch, "text"):
                 counts = base_counts(part.column("text"))
-                logs = log_perplexities(part.column("text"), MODELS[folders[0]])
-                foreign = logs.copy()
-                for k, f in enumerate(folders[1:]):
-                    own = np.asarray(part.column("half")) == k
-                    foreign[own] = log_perplexities(part.column("text").filter(pa.array(own)), MODELS[f])
+                which = np.asarray(part.column("half")) % len(folders)
+                logs = np.full(part.num_rows, np.nan)
+                for k, f in enumerate(folders):
+                    own = which == k
+                    logs[own] = log_perplexities(part.column("text").filter(pa.array(own)), MODELS[f])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("language"), *[pa.array(counts[c], pa.int64()) for c in BASE], *[pa.array(x, mask=np.isnan(x)) for x in (logs, foreign)]],
-                    names=["key", "language", *BASE, "log_perplexity", "foreign"],
+                    [part.column("key"), part.column("language"), *[pa.array(counts[c], pa.int64()) for c in BASE], pa.array(logs, mask=np.isnan(logs))],
+                    names=["key", "language", *BASE, "log_perplexity"],
                 )
 
     return docs.select(F.col(key).alias("key"), F.col(language).alias("language"), "text", half().alias("half")).mapInArrow(score, schema)
 
 
-def wider() -> Column:
+def wider(short: float) -> Column:
     """How much wider the band of a text of c word characters is, as a mean over few of them varies more."""
-    return F.sqrt(1.0 + SHORT / F.greatest(F.col("word_chars"), F.lit(1)))
+    return F.sqrt(1.0 + F.lit(short) / F.greatest(F.col("word_chars"), F.lit(1)))
 
 
-def bands(scores: DataFrame, reach: float = REACH) -> DataFrame:
-    """(language, middle, below, above): the median of `foreign`, and how far a long text may lie from it:
-    `reach` times the quartile, on that side, of the distances over `wider()`. A side without spread
+def bands(scores: DataFrame, reach: float = REACH, short: float = SHORT) -> DataFrame:
+    """(language, middle, below, above): the median log perplexity, and how far a long text may lie from it:
+    `reach` times the quartile, on that side, of the distances over `wider(short)`. A side without spread
     takes the other's."""
     quantiles = lambda c, q: F.percentile_approx(c, F.lit(q), 10_000)
-    known = scores.filter("foreign IS NOT NULL").select(F.col("language").alias("own"), "foreign", "word_chars")
-    middles = stored(known.groupBy(F.col("own").alias("language")).agg(quantiles("foreign", 0.5).alias("middle")), "perplexity-middles")
-    away = known.join(middles, F.col("own").eqNullSafe(F.col("language"))).withColumn("away", (F.col("foreign") - F.col("middle")) / wider())
+    known = scores.filter("log_perplexity IS NOT NULL").select(F.col("language").alias("own"), "log_perplexity", "word_chars")
+    middles = stored(known.groupBy(F.col("own").alias("language")).agg(quantiles("log_perplexity", 0.5).alias("middle")), "perplexity-middles")
+    away = known.join(middles, F.col("own").eqNullSafe(F.col("language"))).withColumn("away", (F.col("log_perplexity") - F.col("middle")) / wider(short))
     sides = away.groupBy("language", "middle").agg(quantiles("away", [0.25, 0.75]).alias("q"))
     below, above = F.greatest(-F.col("q")[0], F.lit(0.0)), F.greatest(F.col("q")[1], F.lit(0.0))
     return sides.select(
@@ -473,19 +472,22 @@ def failing(min_words: int = 10, repeat_percent: int = 20):
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
-def judged(docs: DataFrame, folder: str | None = None, key: str = "doc_id", language: str = "lang") -> DataFrame:
-    """key, language, base counts, log_perplexity, foreign, its band (low, high), base_failed and kept per row.
+def judged(
+    docs: DataFrame, folder: str | None = None, key: str = "doc_id", language: str = "lang", reach: float = REACH, short: float = SHORT,
+) -> DataFrame:
+    """key, language, base counts, log_perplexity, its band (low, high), base_failed and kept per row.
 
-    Without `folder` the model is trained on the rows themselves; then a text is judged by `foreign`, its
-    log perplexity by a model of the other half of the texts, as one that counted it finds nothing odd in it.
+    Without `folder` models are trained on the rows themselves, one for each half of the texts; a text is
+    judged by the one that has not counted it, as one that counted it finds nothing odd in it. A band reaches
+    `reach` quartile distances of its language from the median, wider by sqrt(1 + `short` / word characters).
     """
-    folder, apart = (folder, None) if folder else train_apart(docs)
-    rows = stored(scored(docs, folder, key, language, apart).withColumn("base_failed", failing()), "perplexities")
-    limits = stored(bands(rows.filter(~F.col("base_failed"))), "perplexity-bands")
-    low, high = F.col("middle") - F.col("below") * wider(), F.col("middle") + F.col("above") * wider()
-    inside = F.coalesce(F.col("foreign").between(low, high) | (F.col("below") + F.col("above") <= 0), F.lit(True))
+    folders = (folder,) if folder else train_apart(docs)
+    rows = stored(scored(docs, folders, key, language).withColumn("base_failed", failing()), "perplexities")
+    limits = stored(bands(rows.filter(~F.col("base_failed")), reach, short), "perplexity-bands")
+    low, high = F.col("middle") - F.col("below") * wider(short), F.col("middle") + F.col("above") * wider(short)
+    inside = F.coalesce(F.col("log_perplexity").between(low, high) | (F.col("below") + F.col("above") <= 0), F.lit(True))
     return (
         rows.alias("r").join(limits.alias("b"), F.col("r.language").eqNullSafe(F.col("b.language")), "left")
-        .select(F.col("r.key").alias(key), F.col("r.language").alias("language"), *BASE, "log_perplexity", "foreign", low.alias("low"), high.alias("high"), "base_failed",
+        .select(F.col("r.key").alias(key), F.col("r.language").alias("language"), *BASE, "log_perplexity", low.alias("low"), high.alias("high"), "base_failed",
                 (~F.col("base_failed") & inside).alias("kept"))
     )

@@ -80,8 +80,12 @@ def test_word_encoder_forgets_and_agrees(monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(token_files.WordEncoder, "REMEMBERED", 20)
     path = P.path("word_bpe_49k.json")
-    texts = some_texts(200, 9)
-    assert token_files.WordEncoder(path, "<u2").encode(texts) == token_files.TextEncoder(path, "<u2").encode(texts)
+    texts = [*some_texts(200, 9), "x" * 500, " \x01 a\x01b <|endoftext|>", "", None]
+    by_words, whole = token_files.WordEncoder(path, "<u2"), token_files.TextEncoder(path, "<u2")
+    for k in range(0, len(texts), 20):  # each part forgets what the one before learned
+        some = pa.array(["outside", *texts[k : k + 20]], pa.string()).slice(1)
+        (a, n), (b, m) = by_words.encode(some), whole.encode(some)
+        assert a.dtype == b.dtype and a.tolist() == b.tolist() and n.tolist() == m.tolist()
 
 
 # Language
@@ -189,7 +193,7 @@ def test_perplexity_matches_dictionaries(spark):
     texts = [t for t in some_texts(40) if t is None or "\x01" not in t]
     rows = [(k, t, None if k % 7 == 0 else "en", "x") for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string").repartition(3)
-    out = {r["doc_id"]: r for r in perplexity.judged(df).collect()}
+    out = {r["doc_id"]: r for r in perplexity.judged(df, perplexity.train(df)).collect()}
     assert len(out) == len(texts)
     for k, want in enumerate(kneser_ney(texts, perplexity.ORDER)):
         got = out[k]["log_perplexity"]
