@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.storage import stored
+from shelfscope.llm.storage import removed, stored
 
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while not settled(edges):
-        edges = stored(stars(stars(edges, True), False), "edges")
+        before, edges = edges, stored(stars(stars(edges, True), False), "edges")
+        removed(before)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -6,12 +6,16 @@ rarest part of its set (a prefix under one global order: any two sets that link
 and index lists are read with set relations:
 
 - index level: lists are sorted by set size and cut into blocks; a block is skipped when its sizes,
-  positions or component show that it holds no answer. Long lists are read once more with a parity
-  sketch per set (a bit per residue of the hashes): sets differ in at least as many shingles as their
-  sketches differ in bits, so most pairs end there and never leave the task;
-- answer level: classes of one component need no comparison. A component stands in a list once. What a
-  member of a group shares with another set follows from what its pivot shares, up to the few shingles
-  in which member and pivot differ; only members for which that leaves the answer open are compared.
+  positions or component show that it holds no answer. Long lists are read with a parity sketch per set
+  (a bit per residue of the hashes): sets differ in at least as many shingles as their sketches differ in
+  bits, so most pairs end there and never leave the task. A component has the sketch of one member and
+  the largest distance of the others from it, which the triangle inequality takes off. Long lists are
+  read twice: first each set meets only the closest one of a list, which joins what pivots have not; then
+  all pairs that this left apart are read;
+- answer level: classes of one component need no comparison. Two components that meet are first told apart by
+  sketches and distances, then asked by one pair of members per meeting. What a member of a group shares with another set follows
+  from what its pivot shares, up to the few shingles in which member and pivot differ; only members for
+  which that leaves the answer open are compared.
 
 The global order is by how often a shingle's hash bucket occurs in all documents, then by hash.
 
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.components import components
-from shelfscope.llm.storage import free_name, stored
+from shelfscope.llm.storage import free_name, removed, stored
 from shelfscope.llm.text import U64, batches_of, mixed, shingles_of, texts_of, words_of
 
 SIZE = 5
@@ -159,6 +163,7 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         oriented.select(F.col("centre").alias("doc"), "centre", "salt", F.lit(0).alias("role")).distinct()
     )
     roles = stored(roles, "roles")
+    removed(oriented)
     texts = docs.select("doc", "text").join(bounded(roles), "doc")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +183,14 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "n_a", "n_b", "shared"])
 
-    return stored(
+    answers = stored(
         texts.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role", "doc")
         .select("centre", "role", "doc", "text")
         .mapInArrow(compare, "a long, b long, n_a long, n_b long, shared long"),
         "compared",
     )
+    removed(pairs, roles)
+    return answers
 
 
 def linked():
@@ -238,28 +245,30 @@ def may_link(n_low, n_high, pos, m_low, m_high, pos_m) -> np.ndarray:
 
 
 def list_pairs(
-    token: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, pos: np.ndarray, sketches: np.ndarray | None = None
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of entries of one list whose sets may link, of different components.
+    token: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, pos: np.ndarray,
+    sketches: np.ndarray | None = None, radius: np.ndarray | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of entries of one list whose sets may link, of different components, and in how many bits
+    their sets' sketches differ at least.
 
     Entries are sorted by list and size. Short lists are taken together, one distance after the other;
     in longer ones blocks are compared first and skipped as a whole. `sketches` holds a row of 64-bit
-    words per entry, all zero for entries that stand for several sets.
+    words per entry; the sketches of all sets that an entry stands for differ from it in `radius` bits at
+    most.
     """
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     ends = np.concatenate([starts[1:], [len(token)]])
     lengths = ends - starts
-    one = (low == high) & (sketches.any(axis=1) if sketches is not None else False)
 
-    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = (label[i] != label[j]) & may_link(low[i], high[i], pos[i], low[j], high[j], pos[j])
         i, j = i[ok], j[ok]
+        differ = np.zeros(len(i), dtype=np.int64)
         if sketches is not None and len(i):
-            differ = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
-            sizes = low[i].astype(np.int64) + low[j]
-            ok = ~(one[i] & one[j]) | ((100 + PERCENT) * differ <= (100 - PERCENT) * sizes)
-            i, j = i[ok], j[ok]
-        return i, j
+            differ = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64) - radius[i] - radius[j]
+            ok = (100 + PERCENT) * differ <= (100 - PERCENT) * (high[i].astype(np.int64) + high[j])
+            i, j, differ = i[ok], j[ok], differ[ok]
+        return i, j, differ
 
     last = np.repeat(ends, lengths)
     i = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= BLOCK), lengths))
@@ -302,13 +311,14 @@ def whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> It
         yield held
 
 
-def candidates(entries: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct (a, b, token) of labels from `entries` (token, label, low, high, pos, grouped): pairs that may link.
+def dealt(df: DataFrame) -> DataFrame:
+    """Entries by list, sorted as they are read."""
+    return df.repartition("token").sortWithinPartitions("token", "low", "high", "pos", "label")
 
-    `token` is one where the pair meets, where a group takes part (to find the members behind it), else
-    0. Lists of up to SHORT entries are read at once; the entries of longer ones come out again and are
-    read with the sketches (doc, sketch) of their sets.
-    """
+
+def read_lists(entries: DataFrame) -> DataFrame:
+    """Rows (a, b, token): pairs of labels in lists of up to SHORT `entries` (token, label, low, high, pos,
+    grouped) that may link; and, with null a, the entries of longer lists."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in whole_lists(batches, (*ENTRY, "grouped")):
@@ -317,7 +327,7 @@ def candidates(entries: DataFrame, sketches: DataFrame) -> DataFrame:
             lengths = np.diff(np.concatenate([starts, [len(token)]]))
             long = np.repeat(lengths > SHORT, lengths)
             short = {c: x[~long] for c, x in lists.items()}
-            for i, j in list_pairs(*(short[c] for c in ENTRY)) if len(short["token"]) else ():
+            for i, j, _ in list_pairs(*(short[c] for c in ENTRY)) if len(short["token"]) else ():
                 if len(i):
                     rows = pairs_of(short, i, j)
                     yield pa.RecordBatch.from_arrays(
@@ -331,38 +341,82 @@ def candidates(entries: DataFrame, sketches: DataFrame) -> DataFrame:
                     names=["a", "b", "token", "label", "low", "high", "pos", "grouped"],
                 )
 
-    def read_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sketched() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw = b"".join(x or bytes(SKETCH_BITS // 8) for x in batch.column("sketch").to_pylist())
-                words = np.frombuffer(raw, U64).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in (*ENTRY, "grouped")), *(pa.array(words[:, k]) for k in range(words.shape[1]))],
-                    names=[*ENTRY, "grouped", *(f"s{k}" for k in range(words.shape[1]))],
-                )
+    schema = "a long, b long, token long, label long, low int, high int, pos int, grouped boolean"
+    return stored(dealt(entries.select(*ENTRY, "grouped")).mapInArrow(read, schema), "lists")
+
+
+def read_long(entries: DataFrame, closest: bool) -> DataFrame:
+    """Distinct (a, b, token) of labels in lists of `entries` (with sketch, radius and component) that may link and
+    are of different components; with `closest`, only the one of least distance for each entry of a list."""
+    words = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
 
-        words = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
-        for lists in whole_lists(sketched(), (*ENTRY, "grouped", *words)):
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U64).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*ENTRY, "grouped", "radius", "component")), *(pa.array(raw[:, k]) for k in range(raw.shape[1]))],
+                names=[*ENTRY, "grouped", "radius", "component", *words],
+            )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in whole_lists(sketched(batches), (*ENTRY, "grouped", "radius", "component", *words)):
             sketches = np.stack([lists[w] for w in words], axis=1)
+            least = np.full(len(lists["token"]), np.iinfo(np.int64).max)
+            partner = np.full(len(least), -1)
             parts: list[np.ndarray] = []
-            for i, j in list_pairs(*(lists[c] for c in ENTRY), sketches):
+            apart = (lists[c] for c in ("token", "component", "low", "high", "pos"))
+            for i, j, differ in list_pairs(*apart, sketches, lists["radius"].astype(np.int64)):
+                if closest:
+                    for x, y in ((i, j), (j, i)):
+                        order = np.lexsort((y, differ))[::-1]  # of equal rows the last one written stays: the closest
+                        nearer = differ[order] < least[x[order]]
+                        at, other = x[order][nearer], y[order][nearer]
+                        least[at], partner[at] = differ[order][nearer], other
+                    continue
                 parts.append(np.stack(pairs_of(lists, i, j), axis=1))
                 if sum(map(len, parts)) > 1 << 18:
                     parts = [np.unique(np.concatenate(parts), axis=0)]
+            if closest:
+                met = np.flatnonzero(partner >= 0)
+                parts = [np.stack(pairs_of(lists, met, partner[met]), axis=1)] if len(met) else []
             if parts:
                 rows = np.unique(np.concatenate(parts), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["a", "b", "token"])
 
-    dealt = lambda df: df.repartition("token").sortWithinPartitions("token", "low", "high", "pos", "label")
-    first = stored(
-        dealt(entries.select(*ENTRY, "grouped")).mapInArrow(read, "a long, b long, token long, label long, low int, high int, pos int, grouped boolean"),
-        "lists",
-    )
-    long = first.filter("a IS NULL").select(*ENTRY, "grouped").join(
-        sketches.select(F.col("doc").alias("label"), "sketch", F.lit(False).alias("grouped")), ["label", "grouped"], "left"
+    return dealt(entries.select(*ENTRY, "grouped", "sketch", "radius", "component")).mapInArrow(read, "a long, b long, token long").distinct()
+
+
+def bits_apart(x: str, y: str):
+    return F.aggregate(F.zip_with(words_of_sketch(x), words_of_sketch(y), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def centres(labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(label, sketch, radius, n) of components (node, component): the sketch of the set that names one, the most
+    bits in which a member's differs from it, and the size of the largest member."""
+    member = classes.select(F.col("doc").alias("node"), F.col("sketch").alias("own"), "n")
+    centre = classes.select(F.col("doc").alias("component"), "sketch")
+    rows = labels.join(member, "node").join(centre, "component").withColumn("differ", bits_apart("own", "sketch"))
+    return rows.groupBy(F.col("component").alias("label")).agg(
+        F.first("sketch").alias("sketch"), F.max("differ").cast("int").alias("radius"), F.max("n").alias("n")
     )
-    more = dealt(long.select(*ENTRY, "grouped", "sketch")).mapInArrow(read_long, "a long, b long, token long")
-    return first.filter("a IS NOT NULL").select("a", "b", "token").unionByName(more).distinct()
+
+
+def near_shapes(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of labels of which some members may link, by the triangle inequality over sketches."""
+    side = lambda x: shapes.select(F.col("label").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("sketch", "radius", "n")])
+    differ = bits_apart("a_sketch", "b_sketch") - F.col("a_radius") - F.col("b_radius")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
+def words_of_sketch(column: str):
+    return F.array(*[F.conv(F.hex(F.substring(column, 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(SKETCH_BITS // 64)])
+
+
+def merged(grouped: DataFrame) -> DataFrame:
+    """The entries of components out of those of their members (token, label, doc, n, pos)."""
+    entries = grouped.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
+    return entries.select("token", "label", "low", "high", "pos", F.lit(True).alias("grouped"))
 
 
 def pairs_of(lists: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -406,19 +460,34 @@ def classified(docs: DataFrame) -> DataFrame:
     single = prefixes(texts.join(bounded(labelled.filter("NOT grouped").select("doc", "label")), "doc"), order)
     grouped = stored(prefixes(texts.join(bounded(labelled.filter("grouped").select("doc", "label")), "doc"), order), "grouped-prefixes")
     plain = single.select("token", "label", F.col("n").alias("low"), F.col("n").alias("high"), "pos", F.lit(False).alias("grouped"))
-    merged = grouped.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
-    merged = merged.select("token", "label", "low", "high", "pos", F.lit(True).alias("grouped"))
-    meetings = stored(candidates(plain.unionByName(merged), classes), "meetings")
+    lists = read_lists(plain.unionByName(merged(grouped)))
+
+    # Long lists, first the closest pairs, which join what pivots have not.
+    shapes = stored(
+        labelled.filter("NOT grouped").select("label").join(classes.withColumnRenamed("doc", "label"), "label").select("label", "sketch", F.lit(0).alias("radius"), "n")
+        .unionByName(centres(labels, classes)), "shapes",
+    )
+    long = lists.filter("a IS NULL").select(*ENTRY, "grouped").join(shapes.select("label", "sketch", "radius"), "label")
+    closest = read_long(long.filter("NOT grouped").withColumn("component", F.col("label")), closest=True)
+    joined = stored(components(compared(docs, closest.select("a", "b").distinct()).filter(linked())), "joined")
+    long = long.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
+    more_pairs = read_long(long, closest=False)
+    meetings = stored(lists.filter("a IS NOT NULL").select("a", "b", "token").unionByName(more_pairs).distinct(), "meetings")
+    removed(lists)
 
     alone = meetings.filter("token = 0").select("a", "b")
     of_groups = meetings.filter("token <> 0")
-    behind = stored(members_behind(of_groups, grouped, labelled, classes), "members")
-    first = compared(docs, alone.unionByName(first_pairs(of_groups, behind)).distinct()).filter(linked())
-    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    of_groups = stored(of_groups.join(near_shapes(of_groups.select("a", "b").distinct(), shapes), ["a", "b"], "left_semi"), "group-meetings")
+    one_token = of_groups.groupBy("a", "b").agg(F.min("token").alias("token"))
+    first = compared(docs, alone.unionByName(first_pairs(one_token, members_behind(one_token, grouped, labelled, classes))).distinct()).filter(linked())
+    removed(meetings, shapes)
+    known = labels.unionByName(joined).select(F.col("node").alias("a"), F.col("component").alias("b"))
     now = stored(components(known.unionByName(first.select("a", "b"))), "components")
     at = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"{x}_now"))
     apart = of_groups.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
-    more = compared(docs, member_pairs(docs, stored(apart.select("a", "b", "token"), "apart"), behind, near)).filter(linked())
+    apart = stored(apart.select("a", "b", "token"), "apart")
+    more = compared(docs, member_pairs(docs, apart, members_behind(apart, grouped, labelled, classes), near)).filter(linked())
+    removed(apart, grouped, of_groups)
     final = components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
 
     by_class = (
@@ -463,8 +532,8 @@ def members_behind(meetings: DataFrame, grouped: DataFrame, labelled: DataFrame,
     sides = meetings.select("token", F.col("a").alias("label")).unionByName(meetings.select("token", F.col("b").alias("label"))).distinct()
     members = grouped.join(sides, ["token", "label"], "left_semi").select("token", "label", "doc")
     own = sides.join(labelled.filter("NOT grouped"), "label").select("token", "label", "doc")
-    words = F.array(*[F.conv(F.hex(F.substring("sketch", 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(SKETCH_BITS // 64)])
-    return members.unionByName(own).join(classes.select("doc", "n", words.alias("words")), "doc")
+    both = members.unionByName(own).distinct()
+    return both.join(classes.select("doc", "n", words_of_sketch("sketch").alias("words")), "doc")
 
 
 def sides_joined(meetings: DataFrame, behind: DataFrame) -> DataFrame:
@@ -480,7 +549,7 @@ def sides_joined(meetings: DataFrame, behind: DataFrame) -> DataFrame:
 
 
 def first_pairs(meetings: DataFrame, behind: DataFrame) -> DataFrame:
-    """(a, b): for every two labels that meet, the closest pair of one set per side and token.
+    """(a, b): for every two labels that meet, a pair of one set per side behind the meeting.
 
     Where it links, the two components are one and their other pairs need no comparison.
     """

@@ -27,7 +27,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.stored_in = folder
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more: what was made of them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_in)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def conf_int(spark: SparkSession, key: str) -> int:
