@@ -184,7 +184,7 @@ SELECT brand, reviews, round(positive_pct, 4) AS positive_pct, position, top_fac
 FROM (SELECT * FROM overview ORDER BY reviews DESC, brand LIMIT 10) t""")
 def compare_brands(spark, sf):
     reviews, products = _parts(spark, sf)
-    out = brands.compare_brands(brands.top_brands(reviews, 10), reviews, products, WORDS)
+    out = brands.compare_brands(10, reviews, products, WORDS)
     return rounded(out, "positive_pct", "top_factor_pct", "avg_price")
 
 

@@ -10,6 +10,7 @@ from shelfscope.checks import views as v
 from shelfscope.functions import values as fn
 from shelfscope.operators import bins, filters, ordering, stats, styles
 from shelfscope.operators.collection import dedup_by_link
+from shelfscope.operators.ranges import page_at
 from shelfscope.plans.reports import CatalogueQuery, catalogue_page
 from shelfscope.sources import tables
 
@@ -221,6 +222,13 @@ def global_numbers(spark, sf):
     return rows.select(*SHOWN, "row_no")
 
 
+@check("srt_deep_page", OFFERS + f"""
+SELECT {SHOWN_SQL} FROM offers ORDER BY price DESC, {v.OFFER_KEY_SQL} LIMIT 20 OFFSET 4980""")
+def deep_page(spark, sf):
+    """Page 250; ranges of at most 500 rows are sorted."""
+    return page_at(v.offers(spark, sf), 250, ordering.sort_keys("price_desc", v.OFFER_KEY), enough=500).select(*SHOWN)
+
+
 @check("srt_page_count", OFFERS + "SELECT CAST(ceil(count(*) / 20) AS BIGINT) AS pages FROM offers")
 def page_count(spark, sf):
     return ordering.page_count(v.offers(spark, sf))

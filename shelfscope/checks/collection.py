@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfscope import fixed_values as fv
 from shelfscope.checks import views as v
 from shelfscope.functions import values as fn
 from shelfscope.operators import ordering
 from shelfscope.operators.collection import dedup_by_link, recent_reviews
-from shelfscope.session import shared_folder
+from shelfscope.session import rocksdb_state, shared_folder
 from shelfscope.sources import pages as pg
+from shelfscope.streaming.first_seen import ingest_first_cards, snapshot
 from shelfscope.streaming.ingest import ingest_cards_stream
 
 QUERIES: dict = {}
@@ -40,11 +42,15 @@ def page_links(spark, sf):
     return pg.page_links(pages(spark, sf))
 
 
+HREF_CARD = pg.CardRules(card_class=None, attributes={"product_id": "href", "price": "data-price"}, name_attribute="href", name_suffix="/")
+
+
 @check("htm_product_cards", LINKS + """
-SELECT p.page_id, url, pos, '' AS product_id, '' AS price, '' AS name, '' AS image_url, link
+SELECT p.page_id, url, pos, link AS product_id, '' AS price, trim(replace(link, '/', '')) AS name, '' AS image_url, link
 FROM parts p JOIN pages USING (page_id)""")
 def product_cards(spark, sf):
-    cards = pg.extract_product_cards(pages(spark, sf), ANY_ANCHOR)
+    """Anchors as cards: number and name from their address (the given anchors have no other attribute)."""
+    cards = pg.extract_product_cards(pages(spark, sf), HREF_CARD)
     return cards.select("page_id", "url", "pos", "product_id", "price", "name", "image_url", "link")
 
 
@@ -62,6 +68,27 @@ def display_cards(spark, sf):
     return cards.select("page_id", "pos", "link", "brand", "price", "discount_pct")
 
 
+PAGE_CARD = pg.DisplayRules(card="body", link="li a", brand="article h1", name="li + li a", price="nav + div.ad",
+                            discount="article + footer", complete=False)
+
+
+def _unescaped(column: str) -> str:
+    return f"replace(replace(replace(replace({column}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@check("htm_page_cards", f"""
+SELECT page_id, CAST(0 AS INTEGER) AS pos, regexp_extract(html, '<li><a href="([^"]*)"', 1) AS link,
+       trim({_unescaped("regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)")}) AS brand,
+       trim({_unescaped("regexp_extract(html, '</li><li><a href=[^>]*>([^<]*)<', 1)")}) AS name,
+       trim({_unescaped("regexp_extract(html, '<div class=.ad.>([^<]*)<', 1)")}) AS price,
+       trim({_unescaped("regexp_extract(html, '</article><footer>([^<]*)<', 1)")}) AS discount_pct
+FROM pages""")
+def page_cards(spark, sf):
+    """Each page as one card, its fields by descendant and sibling steps."""
+    cards = pg.extract_display_cards(pages(spark, sf), PAGE_CARD)
+    return cards.select("page_id", "pos", "link", "brand", "name", "price", "discount_pct")
+
+
 @check("htm_review_blocks", r"""WITH blocks AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '<div class="ad">[^<]*</div>')) AS b,
          generate_subscripts(regexp_extract_all(html, '<div class="ad">[^<]*</div>'), 1) - 1 AS pos FROM pages)
@@ -71,7 +98,37 @@ def review_blocks(spark, sf):
     return pg.extract_review_blocks(pages(spark, sf), blocks=["div.ad"])
 
 
-@check("htm_article_blocks")
+# Pieces of a page (a tag and the text up to the next one), as in sources.elements; a paragraph ends where the
+# running depth of paragraphs is back at its own, or with the article.
+PIECES = r"""WITH marked AS (
+  SELECT page_id, url, string_split(regexp_replace(html,
+    '(?is)(<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</?[a-z][^>]*>|<[!?][^>]*>)',
+    chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
+pieces AS (
+  SELECT page_id, url, i, lower(regexp_extract(part, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag,
+         regexp_replace(regexp_replace(split_part(part, chr(2), -1), '^\s+', ''), '\s+$', '') AS text
+  FROM (SELECT page_id, url, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM marked)),
+articles AS (
+  SELECT o.page_id, o.url, o.i AS a, min(c.i) AS b FROM pieces o JOIN pieces c ON c.page_id = o.page_id AND c.i > o.i
+  WHERE o.tag = 'article' AND c.tag = '/article' GROUP BY ALL),
+paragraphs AS (
+  SELECT r.page_id, a, b, min(i) AS p FROM articles r JOIN pieces USING (page_id) WHERE i > a AND i < b AND tag = 'p' GROUP BY ALL),
+depths AS (
+  SELECT page_id, a, b, p, i, sum(CASE tag WHEN 'p' THEN 1 WHEN '/p' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, a ORDER BY i) AS depth
+  FROM paragraphs JOIN pieces USING (page_id) WHERE i >= p AND i < b),
+ends AS (SELECT page_id, a, p, coalesce(min(i) FILTER (depth = 0), b) AS e FROM depths GROUP BY page_id, a, b, p),
+texts AS (
+  SELECT r.page_id, r.url, r.a,
+         string_agg(text, ' ' ORDER BY i) FILTER (text <> '') AS whole, string_agg(text, '' ORDER BY i) FILTER (text <> '' AND i >= p AND i < e) AS content, p
+  FROM articles r JOIN pieces USING (page_id) LEFT JOIN ends USING (page_id, a) WHERE i >= r.a AND i < r.b GROUP BY r.page_id, r.url, r.a, p)
+"""
+RATINGS = ", ".join(f"nullif(regexp_extract(whole, '{fv.RATING_PATTERN}', {k}), '')" for k in (1, 2, 3, 4))
+
+
+@check("htm_article_blocks", PIECES + f"""
+SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS INTEGER) AS pos,
+       {_unescaped("CASE WHEN p IS NULL THEN left(coalesce(whole, ''), 500) ELSE coalesce(content, '') END")} AS text,
+       '' AS author, '' AS date, '' AS option, coalesce({RATINGS}, '') AS rating FROM texts""")
 def article_blocks(spark, sf):
     """Basic review layout over the articles of the pages: text of the first paragraph."""
     return pg.extract_review_blocks(pages(spark, sf), enhanced=False, blocks=["article"])
@@ -188,3 +245,14 @@ def ingest_stream(spark, sf):
         spark, sf, f"{run}/out", f"{run}/state", rules=ANY_ANCHOR, file_name="pages.parquet")
     query.awaitTermination()
     return spark.read.parquet(f"{run}/out").select("link")
+
+
+@check("str_first_cards", LINKS + f"""
+SELECT page_id, pos, '{HOST}' || link AS link, link AS product_id, trim(replace(link, '/', '')) AS name FROM (
+  SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) AS rn FROM parts WHERE link <> '') WHERE rn = 1""")
+def first_cards(spark, sf):
+    """The page table as a stream; the snapshot after its last step has the first card of every link."""
+    run = shared_folder(spark, "first-cards")
+    with rocksdb_state(spark):
+        ingest_first_cards(spark, sf, f"{run}/out", f"{run}/state", rules=HREF_CARD, host=HOST, file_name="pages.parquet").awaitTermination()
+    return snapshot(spark, f"{run}/out").select("page_id", "pos", "link", "product_id", "name")

@@ -9,6 +9,7 @@ from shelfscope.checks.catalogue import histogram_sql, rounded
 from shelfscope.functions import values as fn
 from shelfscope.operators import bins, insights, ordering, sentiment, stats
 from shelfscope.operators import trends as trend_ops
+from shelfscope.operators.large_lexicon import score_large_lexicon
 from shelfscope.sources import sinks
 
 QUERIES: dict = {}
@@ -41,6 +42,38 @@ def score_sentiment(spark, sf):
     )
 
 
+# A lexicon out of the given tables: the words of the benchmark, good ones of even length, bad ones of odd.
+LARGE_SQL = r"""lexicon AS (
+  SELECT word, left(word, 2) AS category, length(word) AS cat_ord, unicode(substr(word, 2, 1)) AS kw_ord,
+         CASE WHEN length(word) % 2 = 0 THEN 'positive' ELSE 'negative' END AS side
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}]{6,}')) AS word FROM benchmark)),
+hits AS (
+  SELECT review_id, side, count(*) AS n, string_agg(category || ':' || word, ', ' ORDER BY cat_ord, kw_ord, category, word) AS told
+  FROM reviews JOIN lexicon ON contains(text, word) GROUP BY ALL)
+"""
+
+
+@check("sen_large_lexicon", v.with_sql(v.REVIEWS_SQL, LARGE_SQL) + """
+SELECT r.review_id, CAST(coalesce(p.n, 0) AS INTEGER) AS positive_score, CAST(coalesce(n.n, 0) AS INTEGER) AS negative_score,
+       CASE WHEN coalesce(p.n, 0) > coalesce(n.n, 0) THEN 'positive' WHEN coalesce(n.n, 0) > coalesce(p.n, 0) THEN 'negative' ELSE 'neutral' END AS sentiment,
+       coalesce(p.told, '') AS positive_reasons, coalesce(n.told, '') AS negative_reasons
+FROM reviews r LEFT JOIN hits p ON r.review_id = p.review_id AND p.side = 'positive'
+               LEFT JOIN hits n ON r.review_id = n.review_id AND n.side = 'negative'""")
+def large_lexicon(spark, sf):
+    """All words of the benchmark as a lexicon table, all reasons kept."""
+    words = v.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0))).alias("keyword")).distinct()
+    lexicon = words.select(
+        F.when(F.length("keyword") % 2 == 0, "positive").otherwise("negative").alias("lexicon"), F.left("keyword", F.lit(2)).alias("category"),
+        F.length("keyword").alias("cat_ord"), F.ascii(F.substring("keyword", 2, 1)).alias("kw_ord"), "keyword",
+    )
+    found = score_large_lexicon(v.reviews(spark, sf).select("review_id", "text"), lexicon, ["review_id"], max_reasons=None)
+    return found.select(
+        "review_id", "sentiment", "positive_score", "negative_score",
+        sinks.pack_reasons(F.col("positive_reasons")).alias("positive_reasons"),
+        sinks.pack_reasons(F.col("negative_reasons")).alias("negative_reasons"),
+    )
+
+
 @check("src_reasons_round_trip", SCORED + """
 SELECT review_id, len(string_split(positive_reasons, ', ')) FILTER (positive_reasons <> '') AS n,
        positive_reasons AS packed FROM scored GROUP BY ALL""".replace(
@@ -426,4 +459,4 @@ def page_sentiment(spark, sf):
 SELECT round(count(*) FILTER (sentiment = 'positive') * 100.0 / count(*), 4) AS pct FROM scored
 WHERE product_id IN (SELECT product_id FROM reviews WHERE has_image = 'Y')""")
 def image_positive_ratio(spark, sf):
-    return rounded(trend_ops.image_product_positive_ratio(v.reviews(spark, sf), scored(spark, sf)), "pct")
+    return rounded(trend_ops.image_product_positive_ratio(scored(spark, sf)), "pct")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.lexicon import Lexicon
+from shelfscope.sources.tables import dealt
 
 POSITIVE = {
     "design": ["lyea", "ouat", "nlye", "erie", "ntho", "étio", "étion"],
@@ -109,8 +110,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    return table(spark, sf, name)
+#: Tasks that the texts of a given table, which is one file, are dealt to.
+TEXT_PARTITIONS = 16
+
+
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a given table with texts, dealt out as a user of the readers would."""
+    return dealt(table(spark, sf, name).select(*columns), TEXT_PARTITIONS)
 
 
 def offers(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +160,7 @@ CATALOGUE_SQL = """catalogue AS (
 
 def reviews(spark: SparkSession, sf: str, brand: str = "source") -> DataFrame:
     """Documents as reviews; images come from the labels of some of them."""
-    docs, labels = texts(spark, sf, "documents", "doc_id"), table(spark, sf, "labels")
+    docs, labels = texts(spark, sf, "documents", "doc_id", "text", "source"), table(spark, sf, "labels")
     flags = labels.select(
         F.col("doc_id").alias("labelled"), F.when(F.col("quality") == 1, "Y").otherwise("N").alias("has_image")
     )
@@ -191,7 +197,7 @@ BRAND_REVIEWS_SQL = _reviews_sql("reviews", "'Brand#' || CAST(d.doc_id % 25 + 1
 
 def threads(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as reviews: several pages per product."""
-    return texts(spark, sf, "conversations", "conv_id").select(
+    return texts(spark, sf, "conversations", "conv_id", "turn", "role", "text").select(
         F.col("conv_id").cast("string").alias("product_id"), F.col("turn").alias("page_number"),
         F.col("role").alias("brand"), "text",
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
@@ -16,11 +16,16 @@ from shelfscope.functions.matching import computed_once, occurrence_hits, with_h
 from shelfscope.functions.values import percent_format
 from shelfscope.lexicon import AGE, BODY, FACTOR, NEGATIVE, POSITION, POSITIVE, Lexicon, unique
 from shelfscope.operators.insights import category_examples
+from shelfscope.operators.ranges import Key, ranked
 from shelfscope.operators.sentiment import pct, score_sentiment
 from shelfscope.operators.stats import image_share
 from shelfscope.operators.tally import (
     category_cells,
+    distinct,
+    flag_cells,
     hit_cells,
+    mean,
+    measure_cells,
     occurrence_scores,
     one,
     presences,
@@ -28,7 +33,9 @@ from shelfscope.operators.tally import (
     reason_cells,
     reasons,
     total,
+    value_cells,
 )
+from shelfscope.session import stored
 
 RANKS = {"rank_reviews": "reviews", "rank_positive": "positive_pct", "rank_price": "avg_price"}
 
@@ -236,17 +243,38 @@ def _selected(df: DataFrame, brands: Sequence[str] | DataFrame | None) -> DataFr
     return df.filter(F.col("brand").isin(list(brands)))
 
 
+def trend_cells() -> Column:
+    """What review_trends and the number of reviewed products are made of."""
+    return F.concat(
+        one("length", F.length(F.coalesce("text", F.lit("")))),
+        flag_cells("image", F.col("has_image") == "Y"),
+        measure_cells("helpful", F.col("helpful_count")),
+        value_cells("product", F.col("product_id")),
+    )
+
+
+def trend_sums() -> dict[str, Column]:
+    return {
+        "avg_length": mean("length"),
+        "image_pct": pct(total("image"), total("length")),
+        "helpful_avg": mean("helpful"),
+        "reviewed_products": distinct("product"),
+    }
+
+
 def brand_overview(
     reviews: DataFrame,
     products: DataFrame,
     words: BrandWords = BrandWords(),
     scored: DataFrame | None = None,
     n: int = 5,
+    trends: bool = False,
 ) -> DataFrame:
     """One row per brand with reviews: counts, shares, ranked lists and product figures.
 
-    The texts are read once: positions, ages, body types, factors and (unless already scored
-    reviews are given) sentiment reasons all come from the same pass.
+    The texts are read once: positions, ages, body types, factors, (with ``trends``) lengths, images,
+    helpful counts and reviewed products, and (unless already scored reviews are given) sentiment
+    reasons all come from the same pass.
     """
     counted = unique([*words.position.keywords, *words.age.keywords, *words.body.keywords])
     keywords = unique([*counted, *words.factor.keywords])
@@ -262,6 +290,9 @@ def brand_overview(
         "bodies": occurrence_scores("hit", keywords, words.body),
         "factors": presences("factor", words.factor),
     }
+    if trends:
+        cells.append(trend_cells())
+        aggregates |= trend_sums()
     if scored is None:
         cells.append(swot_cells())
         aggregates |= swot_aggregates(n)
@@ -364,16 +395,11 @@ def brand_report(
     word lists bound. Reviews per page, which nothing bounds, are rows of ``page_distribution``."""
     reviews, products = _selected(reviews, brands), _selected(products, brands)
     scored = None if scored is None else _selected(scored, brands)
-    known = reviews.filter(F.col("brand").isNotNull())
-    trends = known.groupBy("brand").agg(
-        F.countDistinct("product_id").alias("reviewed_products"), *_trend_aggregates()[1:]
-    )
     wide = (
-        brand_overview(reviews, products, words, scored)
+        brand_overview(reviews, products, words, scored, trends=True)
         .withColumn("strong", _as_reasons("strengths", "positive"))
         .withColumn("weak", _as_reasons("weaknesses", "negative"))
         .withColumn("suggestions", _suggestions(words))
-        .join(trends, "brand")
     )
     return wide.select(
         "brand", "products", "reviews", "reviewed_products", "avg_price", "avg_discount",
@@ -405,7 +431,7 @@ def top_brands(reviews: DataFrame, n: int) -> DataFrame:
 
 
 def compare_brands(
-    brands: Sequence[str] | DataFrame,
+    brands: int | Sequence[str] | DataFrame,
     reviews: DataFrame,
     products: DataFrame,
     words: BrandWords = BrandWords(),
@@ -414,28 +440,26 @@ def compare_brands(
     """One row per chosen brand with its headline figures and three ranks.
 
     Names are filtered on before anything is read; a frame of brands is joined to the brand-level
-    rows, so that reviews and products are read once whatever it is made from.
+    rows, and a number takes that many most reviewed brands of them, so that reviews and products are
+    read once whatever the choice is.
     """
-    named = None if isinstance(brands, DataFrame) else brands
+    named = brands if isinstance(brands, Sequence) else None
     chosen = [None if df is None else _selected(df, named) for df in (reviews, products, scored)]
-    overview = brand_overview(chosen[0], chosen[1], words, chosen[2])
-    return brand_rankings(
-        _selected(overview, brands).select(
-            "brand", "reviews", "positive_pct", "position", "top_factor", "top_factor_pct",
-            "avg_price", "age",
-        )
+    overview = brand_overview(chosen[0], chosen[1], words, chosen[2]).select(
+        "brand", "reviews", "positive_pct", "position", "top_factor", "top_factor_pct", "avg_price", "age",
     )
+    if isinstance(brands, int):
+        kept = overview.orderBy(F.desc("reviews"), "brand").limit(brands)
+    else:
+        kept = _selected(overview, brands)
+    return brand_rankings(kept)
 
 
 def brand_rankings(comparison: DataFrame) -> DataFrame:
-    """Ranks by reviews, positive share and mean price. Meant for the rows of a comparison, which
-    the chosen brands bound; ties go to the brand name, missing values last."""
-    return comparison.withColumns(
-        {
-            rank: F.row_number().over(Window.orderBy(F.col(column).desc_nulls_last(), "brand"))
-            for rank, column in RANKS.items()
-        }
-    )
+    """Ranks by reviews, positive share and mean price over any number of brands; ties go to the brand
+    name, missing values last. The comparison is stored, then ranked by range counts."""
+    keys = {rank: [Key(column, ascending=False), Key("brand", nulls_last=False)] for rank, column in RANKS.items()}
+    return ranked(stored(comparison, "comparison"), keys)
 
 
 def comparison_table(comparison: DataFrame) -> DataFrame:

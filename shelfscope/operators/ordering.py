@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
+from shelfscope.operators.ranges import Key
 from shelfscope.session import stored
 
 SORTS = {
@@ -29,6 +30,12 @@ def sort_order(by: str, key: Sequence[str]) -> list[Column]:
     return [col.asc_nulls_last() if ascending else col.desc_nulls_last(), *map(F.col, key)]
 
 
+def sort_keys(by: str, key: Sequence[str]) -> list[Key]:
+    """The same order for `ranges.page_at` and `ranges.ranked`."""
+    column, ascending = SORTS[fv.SORT_LABELS.get(by, by)]
+    return [Key(column, ascending), *[Key(k, nulls_last=False) for k in key]]
+
+
 def first_key(key: Sequence[str]) -> Column:
     """One comparable column for a key; a plain column where possible, as it aggregates faster."""
     return F.col(key[0]) if len(key) == 1 else F.struct(*key)
@@ -63,8 +70,8 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> Da
 def page(df: DataFrame, n: int, order: Sequence[Column], size: int = 20) -> DataFrame:
     """Rows of page n (from 1) in a total order: a top-k with offset, whatever the depth.
 
-    Every task sends the rows up to the page's end, so the cost follows the depth asked for. To walk
-    through very deep pages, number the rows once (`numbered`) and filter on the number.
+    Every task sends the rows up to the page's end, so the cost follows the depth asked for. A deep page
+    comes from `ranges.page_at`; to walk through many, number the rows once (`numbered`).
     """
     return df.orderBy(*order).offset((n - 1) * size).limit(size)
 

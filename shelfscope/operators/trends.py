@@ -42,19 +42,21 @@ def page_sentiment(scored: DataFrame) -> DataFrame:
     )
 
 
-def image_product_positive_ratio(reviews: DataFrame, scored: DataFrame) -> DataFrame:
-    """Positive share of the scored reviews whose product has any review with an image. Both sides
-    are reduced to one row per product first, so no review row is joined."""
-    pictured = (
-        reviews.filter((F.col("has_image") == "Y"))
-        .groupBy(F.col("product_id").alias("pictured"))
-        .agg(F.lit(1))
-        .select("pictured")
-    )
-    counted = scored.groupBy("product_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("sentiment") == "positive").alias("positive")
-    )
-    kept = counted.join(
-        pictured, F.col("product_id").eqNullSafe(F.col("pictured")), "left_semi"
+def image_product_positive_ratio(scored: DataFrame, pictured: DataFrame | None = None) -> DataFrame:
+    """Positive share of the scored reviews whose product has any review with an image.
+
+    Where scored reviews carry `has_image` themselves, one aggregate per product tells both. Where images
+    are known of other reviews (``pictured``), each side is reduced to one row per product and both are
+    added up by product, so no review row is joined and missing product ids meet each other.
+    """
+    scores = [F.col("sentiment").alias("sentiment"), F.lit(1).alias("scored")]
+    if pictured is None:
+        rows = scored.select("product_id", "has_image", *scores)
+    else:
+        others = pictured.select("product_id", "has_image", F.lit(None).cast("string").alias("sentiment"), F.lit(0).alias("scored"))
+        rows = scored.select("product_id", F.lit(None).cast("string").alias("has_image"), *scores).unionAll(others)
+    products = rows.groupBy("product_id").agg(
+        F.sum("scored").alias("n"), F.count_if(F.col("sentiment") == "positive").alias("positive"),
+        F.count_if(F.col("has_image") == "Y").alias("pictures"),
     )
-    return kept.agg(pct(F.sum("positive"), F.sum("n")).alias("pct"))
+    return products.filter(F.col("pictures") > 0).agg(pct(F.sum("positive"), F.sum("n")).alias("pct"))

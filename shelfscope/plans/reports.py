@@ -136,7 +136,7 @@ def review_dashboard(
         "page_sentiment_fanout": trend_ops.page_sentiment_fanout(reviews, scored),
         "image_ratio": stats.image_ratio(reviews),
         "top_image_brands": stats.top_image_brands(reviews),
-        "image_positive": trend_ops.image_product_positive_ratio(reviews, scored),
+        "image_positive": trend_ops.image_product_positive_ratio(scored, reviews),
         "review_length": stats.review_length(reviews),
     }
 

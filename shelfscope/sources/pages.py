@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import re
-import sys
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from html.entities import name2codepoint
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,22 +26,14 @@ from shelfscope.fixed_values import (
     ENHANCED_STARS,
     ENHANCED_TEXT,
 )
+from shelfscope.functions.matching import computed_once
 from shelfscope.functions.values import first_number, has_image, parse_rating
-from shelfscope.sources.dom import Element, parse
+from shelfscope.sources import elements as el
+from shelfscope.sources.elements import STEP
 
-# Page parsers travel to the executors by value, so that the package need not be installed there.
-# Code that runs in tasks therefore names functions and constants, never modules of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-cloudpickle.register_pickle_by_value(sys.modules[parse.__module__])
-
-# One step through an opening tag: a gap, a name with or without a value, or a stray sign.
-STEP = r"""(?>[\s/]++|[^\s=>/"'][^\s=>/]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|["'=])"""
 NAMED = "\n".join(f"{name}\t{chr(code)}" for name, code in {**name2codepoint, "apos": 39}.items())
 
 
-ROWS_AT_ONCE = 500
-
-
 @dataclass(frozen=True)
 class CardRules:
     """Which anchors are product cards, and the attribute holding each field."""
@@ -157,116 +146,81 @@ def extract_product_cards(pages: DataFrame, rules: CardRules = CardRules()) -> D
     )
 
 
-def _parsed(pages: DataFrame, parse_page: Callable[[str], Iterable[dict]], schema: str) -> DataFrame:
-    """Rows parsed out of each page in page order, with the other columns of the page."""
-    kept = [(n, t) for n, t in pages.dtypes if n != "html"]
-    parsed = [part.split()[0] for part in schema.split(", ")]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            names = [*(n for n, _ in kept), "pos", *parsed]
-            for html, *others in batch[["html", *(n for n, _ in kept)]].itertuples(index=False):
-                for pos, row in enumerate(parse_page(html)):
-                    found.append([*others, pos, *(row[c] for c in parsed)])
-                if len(found) >= ROWS_AT_ONCE:
-                    yield pd.DataFrame(found, columns=names, dtype=object)
-                    found = []
-            if found:
-                yield pd.DataFrame(found, columns=names, dtype=object)
-
-    whole = ", ".join([*(f"`{n}` {t}" for n, t in kept), "pos int", schema])
-    return pages.mapInPandas(rows, whole)
+def _with_elements(pages: DataFrame) -> DataFrame:
+    """Pages with `_pieces` and `_elements` instead of html, each computed once."""
+    cut = computed_once(pages, _pieces=el.pieces(F.col("html"))).drop("html")
+    return computed_once(cut, _elements=el.elements(F.col("_pieces")))
 
 
-DISPLAY_SCHEMA = (
-    "link string, image_url string, brand string, name string, "
-    "price string, discount_pct string, rating string, review_count string"
-)
+class _Page:
+    """Expressions over the elements of a page; each selector is evaluated once per page."""
 
+    def __init__(self, pages: DataFrame, selectors: Iterable[str | None]):
+        self.kept = [c for c in pages.columns if c != "html"]
+        self.names = {s: f"_chosen{i}" for i, s in enumerate(dict.fromkeys(s for s in selectors if s))}
+        chosen = {name: self.select(s) for s, name in self.names.items()}
+        self.frame = computed_once(_with_elements(pages), **chosen)
 
-def extract_display_cards(pages: DataFrame, rules: DisplayRules = DisplayRules()) -> DataFrame:
-    """Cards whose brand, name, price, discount (and rating, review count) are display text."""
+    @staticmethod
+    def select(selector: str) -> Column:
+        return el.select(F.col("_elements"), F.col("_pieces"), selector, attribute)
 
-    def label(card, selector: str | None) -> str:
-        found = card.first(selector) if selector else None
-        return found.text(strip=False).strip() if found else ""
-
-    def parse_page(html):
-        for card in parse(html).select(rules.card):
-            link, image = card.first(rules.link), card.first("img")
-            brand, name = card.first(rules.brand), card.first(rules.name)
-            if rules.complete and not (link and image and brand and name):
-                continue
-            href = link.attrs.get("href", "") if link else ""
-            if not href:
-                continue
-            price = card.first(rules.price)
-            spoken = price.attrs.get("aria-label") if price and not rules.complete else None
-            yield {
-                "link": href,
-                "image_url": image.attrs.get("src", "") if image else "",
-                "brand": label(card, rules.brand),
-                "name": label(card, rules.name),
-                "price": spoken if spoken is not None else label(card, rules.price),
-                "discount_pct": label(card, rules.discount),
-                "rating": label(card, rules.rating),
-                "review_count": label(card, rules.reviews),
-            }
-
-    cards = _parsed(pages, parse_page, DISPLAY_SCHEMA)
-    return cards.withColumn("text", F.concat("brand", F.lit(" "), "name"))
+    def all(self, element: Column, selector: str) -> Column:
+        return el.inside(F.col(self.names[selector]), element)
 
+    def first(self, element: Column, selector: str) -> Column:
+        """First descendant that matches, or NULL."""
+        return F.get(self.all(element, selector), F.lit(0))
 
-BLOCK_SCHEMA = (
-    "text string, stars int, rating_text string, author string, date string, option string, helpful_label string, images int"
-)
+    def attribute(self, element: Column, name: str) -> Column:
+        return attribute(F.get(F.col("_pieces"), element["at"])["tag"], name)
 
+    def text(self, element: Column, separator: str = "", strip: bool = True) -> Column:
+        return el.text_of(F.col("_pieces"), element, unescape, separator, strip)
 
-def _basic_block(block: Element, fallback_chars: int) -> dict:
-    def text_of(selector: str) -> str:
-        found = block.first(selector)
-        return found.text() if found else ""
-
-    whole = block.text(" ")
-    content = block.first(BASIC_TEXT)
-    return {
-        "text": content.text() if content else whole[:fallback_chars],
-        "stars": len(block.select(BASIC_STARS)),
-        "rating_text": whole,
-        "author": text_of(BASIC_AUTHOR),
-        "date": text_of(BASIC_DATE),
-        "option": text_of(BASIC_OPTION),
-        "helpful_label": None,
-        "images": 0,
-    }
+    def rows(self, blocks: Column, fields: Callable[[Column], dict[str, Column]], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+        """One row per block, in page order, with the page's other columns and `pos`."""
+        if wanted is not None:
+            blocks = F.filter(blocks, wanted)
+        made = F.transform(blocks, lambda b: F.struct(*[c.alias(n) for n, c in fields(b).items()]))
+        found = self.frame.select(*self.kept, F.posexplode(made).alias("pos", "_row"))
+        return found.select(*self.kept, "pos", "_row.*")
 
 
-def _enhanced_block(block: Element, fallback_chars: int) -> dict:
-    def first_text(selectors: list[str], longer_than: int) -> str:
-        """Text of the first selector that is long enough, else of the last one that matched."""
-        text = ""
-        for selector in selectors:
-            found = block.first(selector)
-            if found:
-                text = found.text()
-                if len(text) > longer_than:
-                    break
-        return text
-
-    icons = block.select(ENHANCED_STARS)
-    filled = [i for i in icons if "fill" in i.attrs.get("class", "")]
-    score, helpful = block.first(ENHANCED_RATING), block.first(ENHANCED_HELPFUL)
-    return {
-        "text": first_text(ENHANCED_TEXT, 10) or block.text(" ")[:fallback_chars],
-        "stars": len(filled) if icons else None,
-        "rating_text": score.text(strip=False) if score else "",
-        "author": first_text(ENHANCED_AUTHOR, 1),
-        "date": first_text(ENHANCED_DATE, 0),
-        "option": first_text(ENHANCED_OPTION, 0),
-        "helpful_label": helpful.text(strip=False) if helpful else None,
-        "images": len(block.select(ENHANCED_IMAGE)),
-    }
+def extract_display_cards(pages: DataFrame, rules: DisplayRules = DisplayRules()) -> DataFrame:
+    """Cards whose brand, name, price, discount (and rating, review count) are display text."""
+    shown = [rules.link, "img", rules.brand, rules.name, rules.price, rules.discount, rules.rating, rules.reviews]
+    page = _Page(pages, [rules.card, *shown])
+
+    def label(card: Column, selector: str | None) -> Column:
+        if not selector:
+            return F.lit("")
+        return F.coalesce(el.stripped(page.text(page.first(card, selector), strip=False)), F.lit(""))
+
+    def href(card: Column) -> Column:
+        return F.coalesce(page.attribute(page.first(card, rules.link), "href"), F.lit(""))
+
+    def wanted(card: Column) -> Column:
+        complete = href(card) != ""
+        if rules.complete:
+            for selector in ("img", rules.brand, rules.name):
+                complete = complete & page.first(card, selector).isNotNull()
+        return complete
+
+    def fields(card: Column) -> dict[str, Column]:
+        price = label(card, rules.price)
+        if not rules.complete:
+            price = F.coalesce(page.attribute(page.first(card, rules.price), "aria-label"), price)
+        return {
+            "link": href(card),
+            "image_url": F.coalesce(page.attribute(page.first(card, "img"), "src"), F.lit("")),
+            "brand": label(card, rules.brand), "name": label(card, rules.name), "price": price,
+            "discount_pct": label(card, rules.discount), "rating": label(card, rules.rating),
+            "review_count": label(card, rules.reviews),
+        }
+
+    cards = page.rows(F.col(page.names[rules.card]), fields, wanted)
+    return cards.withColumn("text", F.concat("brand", F.lit(" "), "name"))
 
 
 def extract_review_blocks(
@@ -274,32 +228,56 @@ def extract_review_blocks(
     fallback_chars: int = 500,
 ) -> DataFrame:
     """Review blocks of every page in page order. The first block selector with matches on a page
-    is used, and fields fall back through their selectors. Only the element lookup runs in Python;
-    ratings, helpful counts and flags are expressions over its output. Columns of ``pages`` other
-    than ``html`` (product_id, brand, product_url, page_number) are kept. A block without a text
-    element gives the first ``fallback_chars`` characters of its whole text (asked-for behaviour)."""
+    is used, and fields fall back through their selectors. Columns of ``pages`` other than ``html``
+    (product_id, brand, product_url, page_number) are kept. A block without a text element gives the
+    first ``fallback_chars`` characters of its whole text (asked-for behaviour)."""
     selectors = list(blocks or (fv.ENHANCED_BLOCK if enhanced else fv.BASIC_BLOCK))
-    read = _enhanced_block if enhanced else _basic_block
-
-    def parse_page(html):
-        tree = parse(html)
-        blocks = next((hits for s in selectors if (hits := tree.select(s))), [])
-        return (read(block, fallback_chars) for block in blocks)
-
-    found = _parsed(pages, parse_page, BLOCK_SCHEMA)
     if enhanced:
-        rating = F.coalesce(F.col("stars").cast("string"), first_number(F.col("rating_text")), F.lit(""))
-        found = found.withColumns(
-            {
-                "rating": rating,
-                "helpful_count": F.when(F.col("helpful_label").isNull(), "0").otherwise(
-                    first_number(F.col("helpful_label"))),
-                "has_image": has_image(F.col("images")),
-            }
-        )
+        lists = [ENHANCED_TEXT, ENHANCED_AUTHOR, ENHANCED_DATE, ENHANCED_OPTION]
+        shown = [s for group in lists for s in group] + [ENHANCED_STARS, ENHANCED_RATING, ENHANCED_HELPFUL, ENHANCED_IMAGE]
     else:
-        found = found.withColumn("rating", parse_rating(F.col("rating_text"), F.col("stars")))
-    return found.drop("stars", "rating_text", "helpful_label", "images")
+        shown = [BASIC_TEXT, BASIC_STARS, BASIC_AUTHOR, BASIC_DATE, BASIC_OPTION]
+    page = _Page(pages, [*selectors, *shown])
+
+    def first_text(block: Column, wanted: Sequence[str], longer_than: int) -> Column:
+        """Text of the first selector that is long enough, else of the last one that matched."""
+        texts = [page.text(page.first(block, s)) for s in wanted]
+        enough = [F.when(F.length(t) > longer_than, t) for t in texts]
+        return F.coalesce(*enough, *reversed(texts), F.lit(""))
+
+    def text(block: Column, selector: str) -> Column:
+        return F.coalesce(page.text(page.first(block, selector)), F.lit(""))
+
+    def basic_fields(block: Column) -> dict[str, Column]:
+        whole = page.text(block, " ")
+        content = page.text(page.first(block, BASIC_TEXT))
+        return {
+            "text": F.coalesce(content, F.substring(whole, 1, fallback_chars)),
+            "author": text(block, BASIC_AUTHOR), "date": text(block, BASIC_DATE), "option": text(block, BASIC_OPTION),
+            "rating": parse_rating(whole, F.size(page.all(block, BASIC_STARS))),
+        }
+
+    def enhanced_fields(block: Column) -> dict[str, Column]:
+        icons = page.all(block, ENHANCED_STARS)
+        filled = F.filter(icons, lambda i: F.contains(F.coalesce(page.attribute(i, "class"), F.lit("")), F.lit("fill")))
+        stars = F.when(F.size(icons) > 0, F.size(filled).cast("string"))
+        score = F.coalesce(page.text(page.first(block, ENHANCED_RATING), strip=False), F.lit(""))
+        helpful = page.text(page.first(block, ENHANCED_HELPFUL), strip=False)
+        long = first_text(block, ENHANCED_TEXT, 10)
+        return {
+            "text": F.when(long != "", long).otherwise(F.substring(page.text(block, " "), 1, fallback_chars)),
+            "author": first_text(block, ENHANCED_AUTHOR, 1), "date": first_text(block, ENHANCED_DATE, 0),
+            "option": first_text(block, ENHANCED_OPTION, 0),
+            "rating": F.coalesce(stars, first_number(score), F.lit("")),
+            "helpful_count": F.when(helpful.isNull(), "0").otherwise(first_number(helpful)),
+            "has_image": has_image(F.size(page.all(block, ENHANCED_IMAGE))),
+        }
+
+    found = F.col(page.names[selectors[-1]])
+    for selector in reversed(selectors[:-1]):
+        own = F.col(page.names[selector])
+        found = F.when(F.size(own) > 0, own).otherwise(found)
+    return page.rows(found, enhanced_fields if enhanced else basic_fields)
 
 
 def valid_reviews(reviews: DataFrame, min_chars: int = 10) -> DataFrame:

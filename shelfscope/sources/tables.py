@@ -49,16 +49,29 @@ def read_csv_text(
     )
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows dealt evenly over `partitions` tasks; None leaves them as read.
+
+    A file that cannot be split (CSV with line breaks, Parquet of one row group) is read by one task, and
+    whatever is done with its texts up to the next shuffle too. Where a table is few such files and the work
+    on a row costs more than moving it, deal the rows out once. Tables of many splits need nothing.
+    """
+    return df if partitions is None else df.repartition(partitions)
+
+
+def _read(spark: SparkSession, path: str, line_breaks: bool = True, partitions: int | None = None) -> DataFrame:
     """Parquet where the path says so, else CSV."""
     name = path.rstrip("/").lower()
-    return spark.read.parquet(path) if name.endswith("parquet") else read_csv_text(spark, path)
+    df = spark.read.parquet(path) if name.endswith("parquet") else read_csv_text(spark, path, line_breaks)
+    return dealt(df, partitions)
 
 
-def _first_readable(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _first_readable(
+    spark: SparkSession, paths: Sequence[str], line_breaks: bool, partitions: int | None
+) -> DataFrame:
     for path in paths:
         try:
-            return _read(spark, path)
+            return _read(spark, path, line_breaks, partitions)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -103,15 +116,20 @@ def canonicalize(df: DataFrame, kind: str, mapping: Mapping[str, str] | None = N
 
 
 def read_products(
-    spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None
+    spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None, line_breaks: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
-    return canonicalize(_read(spark, path), "products", mapping)
+    """Products; ``line_breaks`` as in `read_csv_text`, ``partitions`` as in `dealt`."""
+    return canonicalize(_read(spark, path, line_breaks, partitions), "products", mapping)
 
 
-def read_reviews(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Reviews from the first path that exists (enhanced before basic)."""
+def read_reviews(
+    spark: SparkSession, paths: str | Sequence[str], line_breaks: bool = True, partitions: int | None = None
+) -> DataFrame:
+    """Reviews from the first path that exists (enhanced before basic); ``line_breaks`` as in
+    `read_csv_text`, ``partitions`` as in `dealt`."""
     paths = [paths] if isinstance(paths, str) else paths
-    return canonicalize(_first_readable(spark, paths), "reviews")
+    return canonicalize(_first_readable(spark, paths, line_breaks, partitions), "reviews")
 
 
 def read_sentiment(
@@ -120,11 +138,13 @@ def read_sentiment(
     reviews: DataFrame,
     positive: Lexicon = POSITIVE,
     negative: Lexicon = NEGATIVE,
+    line_breaks: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Saved scored reviews, or the reviews scored now when nothing is saved at the path. A saved
     blank or missing reason list means no reasons."""
     try:
-        return canonicalize(_read(spark, path), "sentiment")
+        return canonicalize(_read(spark, path, line_breaks, partitions), "sentiment")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

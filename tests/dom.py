@@ -1,4 +1,4 @@
-"""Small element tree for archived HTML, used inside tasks on one page at a time."""
+"""A plain element tree for archived HTML, to hold the interval encoding against."""
 
 from __future__ import annotations
 

@@ -59,3 +59,33 @@ def test_empty_lexicon(spark):
 
 def test_lexicon_frame_round_trip(spark):
     assert Lexicon.from_frame(WORDS.to_frame(spark, "w"), "w") == WORDS
+
+
+def test_large_lexicon_equals_the_search_of_every_keyword(spark):
+    """5,000 entries, some in two categories, some shorter than a q-gram."""
+    from shelfscope.operators.large_lexicon import score_large_lexicon
+    from shelfscope.operators.sentiment import score_sentiment
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdé ", k=rng.choice([2, 3, 5, 6, 7, 8])))
+    sides = [Lexicon.of({f"{s}{c}": [word() for _ in range(500)] for c in range(5)}) for s in "pn"]
+    texts = ["".join(rng.choices("abcdé \n", k=rng.randrange(200))) for _ in range(120)] + [None, "", "ab", "a"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(5, texts[6], "other text, same id"), (None, texts[7], "y"), (None, texts[8], "z")]
+    reviews = spark.createDataFrame(rows, "id int, text string, note string")
+    entries_ = [(name, c, i, k, j) for name, lex in zip(("positive", "negative"), sides) for i, (c, ks) in enumerate(lex.categories) for j, k in enumerate(dict.fromkeys(ks))]
+    table = spark.createDataFrame(entries_, "lexicon string, category string, cat_ord int, keyword string, kw_ord int")
+    plain = Lexicon.of({c: list(dict.fromkeys(ks)) for c, ks in sides[0].categories}), Lexicon.of({c: list(dict.fromkeys(ks)) for c, ks in sides[1].categories})
+    show = lambda df: sorted(map(str, df.select("id", "text", "note", "sentiment", "positive_score", "negative_score", "positive_reasons", "negative_reasons").collect()))
+
+    def brute_rows():
+        for i, t, note in rows:
+            pos, neg = ([(c, k) for c, k in lex.entries if k in (t or "")] for lex in plain)
+            yield i, note, len(pos), len(neg), pos[:3], neg[:3]
+
+    got = score_large_lexicon(reviews, table, ["id"]).collect()
+    assert sorted((str((r.id, r.note, r.positive_score, r.negative_score, [tuple(x) for x in r.positive_reasons], [tuple(x) for x in r.negative_reasons])) for r in got)) == sorted(map(str, brute_rows()))
+    small = Lexicon.of({"p": ["ab", "cd"]}), Lexicon.of({"n": ["bc"]})
+    rows_of = [("positive", "p", 0, "ab", 0), ("positive", "p", 0, "cd", 1), ("negative", "n", 0, "bc", 0)]
+    few = spark.createDataFrame(rows_of, table.schema)
+    assert show(score_large_lexicon(reviews, few, ["id"])) == show(score_sentiment(reviews, *small))
+    assert score_large_lexicon(reviews, table.limit(0), ["id"]).filter("sentiment <> 'neutral'").count() == 0

@@ -7,10 +7,8 @@ import pytest
 
 import __spark_entry__ as contract
 
-# Element lookup in archived HTML is the one place where rows go through Python.
-IN_PYTHON = {"htm_display_cards", "htm_review_blocks", "htm_article_blocks"}
-# Rank the few brands chosen for a comparison.
-RANKS_CHOSEN_BRANDS = {"brd_compare_brands", "brd_comparison_table"}
+# Queries whose rows go through Python.
+IN_PYTHON: set[str] = set()
 # The offsets of files, one row each.
 NUMBERS_PARTITIONS = {"srt_global_numbers"}
 
@@ -26,12 +24,13 @@ def check_plan(name, df):
     python = re.findall(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroups|MapInArrow", plan)
     assert bool(python) == (name in IN_PYTHON)
     unpartitioned = re.findall(r"windowspecdefinition\([^,]*(?: ASC| DESC)", plan)
-    assert not unpartitioned or name in RANKS_CHOSEN_BRANDS | NUMBERS_PARTITIONS
+    assert not unpartitioned or name in NUMBERS_PARTITIONS
     assert plan.count("regexp_extract_all(coalesce(text") <= 4
 
 
 # Times that a given table may be scanned by a plan; what is written between is scanned once.
-SCANS = {"agg_describe_numeric": 1, "agg_price_positioning": 1, "mth_value_score": 2, "top_value": 2, "bin_price_histogram": 2}
+SCANS = {"agg_describe_numeric": 1, "agg_price_positioning": 1, "mth_value_score": 2, "top_value": 2, "bin_price_histogram": 2,
+         "brd_brand_report": 1, "brd_marketing_suggestions": 1, "brd_benchmark": 1, "snk_brand_export": 1, "jon_image_positive_ratio": 1}
 
 
 def check_scans(name, df):

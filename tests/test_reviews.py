@@ -84,9 +84,10 @@ def test_fanout_equals_raw_join(reviews, scored):
 
 
 def test_image_rate_is_by_product(reviews, scored):
-    pct = trends.image_product_positive_ratio(reviews, scored).first().pct
     kept = scored.filter("product_id IN ('p1', 'p2')")
-    assert pct == 100.0 * kept.filter("sentiment = 'positive'").count() / kept.count()
+    want = 100.0 * kept.filter("sentiment = 'positive'").count() / kept.count()
+    assert trends.image_product_positive_ratio(scored, reviews).first().pct == want
+    assert trends.image_product_positive_ratio(scored).first().pct == want
 
 
 def test_missing_brand_is_dropped(reviews):

@@ -1,5 +1,7 @@
 import datetime
+import random
 
+import dom
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from shelfscope.operators.collection import dedup_by_link, recent_reviews
 from shelfscope.operators.ordering import cap_per_product
 from shelfscope.operators.sentiment import score_sentiment
 from shelfscope.plans.reports import score_job
-from shelfscope.sources import dom, sinks, tables
+from shelfscope.sources import elements, sinks, tables
 from shelfscope.sources import pages as pg
 from shelfscope.streaming.ingest import ingest_cards_stream
 
@@ -26,6 +28,24 @@ def test_csv_round_trip_with_bom_quotes_and_line_breaks(spark, tmp_path):
     assert "page_number" in back.columns
 
 
+def test_files_without_line_breaks_are_split_and_rows_dealt(spark, tmp_path):
+    file = tmp_path / "r.csv"
+    file.write_text("product_id,text\n" + "".join(f'{n},"text ""{n}"""\n' for n in range(4000)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        assert tables.read_reviews(spark, str(file)).rdd.getNumPartitions() == 1
+        split = tables.read_reviews(spark, str(file), line_breaks=False)
+        assert split.rdd.getNumPartitions() > 3
+        assert split.filter("text = concat('text \"', product_id, '\"')").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    dealt = tables.read_reviews(spark, str(file), partitions=6)
+    assert dealt.rdd.getNumPartitions() == 6 and dealt.count() == 4000
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2 * 4000 / 6
+
+
 def test_read_products_headers_and_types(spark, tmp_path):
     file = tmp_path / "p.csv"
     file.write_text("﻿상품ID,브랜드,가격,할인율,TEXT\n007,A, 45000 ,30%,A 원피스\n8,,\"59,900\",20,\n", encoding="utf-8")
@@ -130,6 +150,41 @@ def test_selectors():
     assert [e.text(" ") for e in tree.select("p[id='x']")] == ["1 2"]
 
 
+SELECTORS = ["p", "div p", "li + li b", "div.a", "p + b, i", "[id='x']", "div[class*='b'] i + p", "ul li a", "a[href^='/p'], a[href$='9']", "br + b", "script + p"]
+
+
+def random_page(draw):
+    opens = ["<p>", "<div class='a b'>", '<div class="b">', "<i>", "<b id=x>", "<li>", "<ul>", "<a href='/p/9'>", "<a href=/q9>", "<A HREF='x'>"]
+    closes = ["</p>", "</div>", "</i>", "</b>", "</li>", "</ul>", "</a>", "</P >"]
+    other = ["<br>", "<img src=k.jpg/>", "<!-- <p>no</p> -->", "<script>var t='</p><i>';</script>", "<style>p{}</style>", "<hr/>", "<!DOCTYPE html>", "<p/>"]
+    words = [" one ", "two", "&amp;", " \n", "\u00a0three &lt;x&gt;", "é中"]
+    return "".join(draw.choice(draw.choice([opens, opens, closes, other, words])) for _ in range(draw.randrange(60)))
+
+
+def test_elements_equal_the_tree_on_any_markup(spark):
+    draw = random.Random(12)
+    pages = ["", None, "plain", "</p></div>", "<p>", DISPLAY, REVIEW, CARDS, "<p>" * 700 + "x" + "</p>" * 300] + [random_page(draw) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    cut = pg._with_elements(rows)
+    shown = [
+        F.transform(pg._Page.select(s), lambda e: F.struct(
+            elements.text_of(F.col("_pieces"), e, pg.unescape, "|").alias("text"),
+            elements.text_of(F.col("_pieces"), e, pg.unescape, "", False).alias("raw"),
+            e["depth"].alias("depth"), e["name"].alias("name"),
+        )).alias(f"s{k}")
+        for k, s in enumerate(SELECTORS)
+    ]
+
+    def depth(e):
+        return 0 if e.parent is None else 1 + depth(e.parent)
+
+    for row in cut.select("page_id", *shown).collect():
+        tree = dom.parse(pages[row.page_id])
+        for k, selector in enumerate(SELECTORS):
+            want = [(e.text("|"), e.text(strip=False), depth(e), e.tag) for e in tree.select(selector)]
+            assert [tuple(x) for x in row[f"s{k}"]] == want, (selector, pages[row.page_id])
+
+
 def test_dedup_keeps_first_and_is_idempotent(spark):
     rows = [(1, "/p/1"), (2, HOST + "/p/1"), (3, ""), (4, None), (5, "/p/2"), (6, "/p/2")]
     df = spark.createDataFrame(rows, "k int, link string")
@@ -212,13 +267,3 @@ def test_anchors_of_ordinary_html(spark):
         (1, 0, "/1", "onex"), (1, 1, "/2", "two"), (1, 2, "/3", "three"), (1, 3, "/5", "caf\u00e9 \uac00B&nope;&lt;"),
         (1, 4, "/4", "it's"), (1, 5, "/6", "six"), (5, 0, "", "x"), (5, 1, "", ""),
     ]
-
-
-def test_page_parsers_travel_by_value(spark):
-    from pyspark import cloudpickle
-
-    pages = spark.createDataFrame([(1, REVIEW)], "page_id bigint, html string")
-    for frame in (pg.extract_review_blocks(pages), pg.extract_review_blocks(pages, enhanced=False)):
-        assert "MapInPandas" in frame._jdf.queryExecution().executedPlan().toString()
-    for function in (pg._basic_block, pg._enhanced_block, dom.parse):
-        assert b"subimport" not in cloudpickle.dumps(function) or b"shelfscope.fixed_values" not in cloudpickle.dumps(function)
