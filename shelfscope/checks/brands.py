@@ -235,7 +235,13 @@ def marketing_suggestions(spark, sf):
     return brands.marketing_suggestions(brands.brand_report(reviews, products, WORDS))
 
 
-@check("brd_brand_report", OVERVIEW.rstrip() + """,
+@check("brd_brand_report", OVERVIEW.rstrip() + ",\n" + _occurrences("bodies", v.BODY) + """,
+lists AS (
+  SELECT brand, string_agg(category || '=' || CAST(score AS VARCHAR), ' ' ORDER BY rn) FILTER (kind = 'age') AS ages,
+         string_agg(category || '=' || CAST(score AS VARCHAR), ' ' ORDER BY rn) FILTER (kind = 'body') AS bodies,
+         string_agg(category || '=' || CAST(score AS VARCHAR), ' ' ORDER BY rn) FILTER (kind = 'factor') AS factors
+  FROM (SELECT 'age' AS kind, brand, category, score, rn FROM ages UNION ALL SELECT 'body', brand, category, score, rn FROM bodies
+        UNION ALL SELECT 'factor', brand, category, n, rn FROM factors) GROUP BY brand),
 flat AS (SELECT brand, string_agg(category || '=' || CAST(score AS VARCHAR), ' ' ORDER BY rn) AS positions
          FROM positions GROUP BY brand),
 weak AS (SELECT brand, string_agg(category || ':' || keyword || '=' || CAST(frequency AS VARCHAR), ' ' ORDER BY rn) AS weaknesses
@@ -248,8 +254,9 @@ lengths AS (SELECT brand, avg(length(text)) AS avg_length, count(DISTINCT produc
 SELECT o.brand, o.reviews, o.position, o.age, round(o.positive_pct, 4) AS positive_pct, f.positions,
        coalesce(w.weaknesses, '') AS weaknesses, coalesce(g.strengths, '') AS strengths,
        round(l.avg_length, 4) AS avg_length, round(l.helpful_avg, 4) AS helpful_avg, round(l.image_pct, 4) AS image_pct,
-       l.reviewed_products, o.top_factor, round(o.avg_price, 4) AS avg_price
-FROM overview o JOIN flat f USING (brand) LEFT JOIN weak w USING (brand) LEFT JOIN strong g USING (brand)
+       l.reviewed_products, o.top_factor, round(o.avg_price, 4) AS avg_price, ages, bodies, coalesce(factors, '') AS factors,
+       round(r.negative_pct, 4) AS negative_pct, coalesce(ps.products, 0) AS products, round(coalesce(ps.avg_discount, 0), 4) AS avg_discount
+FROM overview o JOIN lists USING (brand) JOIN ratios r USING (brand) LEFT JOIN product_stats ps USING (brand) JOIN flat f USING (brand) LEFT JOIN weak w USING (brand) LEFT JOIN strong g USING (brand)
 JOIN lengths l USING (brand)""")
 def brand_report(spark, sf):
     reviews, products = _parts(spark, sf)
@@ -268,5 +275,7 @@ def brand_report(spark, sf):
         reasons("weaknesses"), reasons("strengths"),
         "avg_length", "helpful_avg", "image_pct", "reviewed_products",
         F.coalesce(F.get("factors", F.lit(0))["category"], F.lit("Unknown")).alias("top_factor"), "avg_price",
+        *[joined(c, lambda p: F.concat_ws("=", p["category"], p["score"].cast("string"))) for c in ("ages", "bodies")],
+        joined("factors", lambda p: F.concat_ws("=", p["category"], p["n"].cast("string"))), "negative_pct", "products", "avg_discount",
     )
-    return rounded(shown, "positive_pct", "avg_length", "helpful_avg", "image_pct", "avg_price")
+    return rounded(shown, "positive_pct", "avg_length", "helpful_avg", "image_pct", "avg_price", "negative_pct", "avg_discount")

@@ -11,6 +11,8 @@ from shelfscope import fixed_values as fv
 
 LEXICON_SCHEMA = "lexicon string, category string, cat_ord int, keyword string, kw_ord int"
 
+MOST_ENTRIES = 5_000
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -23,10 +25,13 @@ class Lexicon:
         return cls(tuple((c, tuple(k for k in ks if k)) for c, ks in words.items()))
 
     @classmethod
-    def from_frame(cls, df: DataFrame, lexicon: str) -> Lexicon:
-        """Read one lexicon from a dimension table. A lexicon is configuration-sized by nature."""
+    def from_frame(cls, df: DataFrame, lexicon: str, most: int = MOST_ENTRIES) -> Lexicon:
+        """Read one lexicon from a dimension table. A lexicon is literals in expressions, so a table of more
+        than `most` entries is refused; `operators.large_lexicon` takes such a table as it is."""
         words: dict[str, list[str]] = {}
-        rows = df.filter(df.lexicon == lexicon).orderBy("cat_ord", "kw_ord").collect()
+        rows = df.filter(df.lexicon == lexicon).orderBy("cat_ord", "kw_ord").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"lexicon {lexicon} has more than {most} entries")
         for row in rows:
             words.setdefault(row.category, []).append(row.keyword)
         return cls.of(words)

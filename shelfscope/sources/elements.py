@@ -15,6 +15,7 @@ in blocks, so its cost grows with the number of tags to the power 1.5 at most.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +28,6 @@ TOKEN = rf"(?is)(<!--.*?(?:-->|\z)|<(?:script(?=[\s/>]){STEP}*+>.*?(?:</script\s
 CUT, APART = "\x01", "\x02"
 BLOCK = 256
 
-PIECE = "struct<tag:string,name:string,kind:string,text:string>"
 OPEN = "struct<at:int,name:string,prev:int,last:int>"
 ELEMENT = "struct<at:int,end:int,depth:int,prev:int,name:string>"
 
@@ -37,8 +37,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def pieces(html: Column) -> Column:
-    """array<struct<tag, name, kind, text>>; kind is open, close, void or none; entities stay as they are."""
+def field(attribute: str) -> str:
+    """The field of a piece that holds an attribute."""
+    return "attr_" + re.sub(r"\W", "_", attribute.lower())
+
+
+def pieces(html: Column, unescape, attribute, names: Iterable[str]) -> Column:
+    """array<struct<name, kind, text, attr_...>>; kind is open, close, void or none. `unescape` decodes texts, and
+    `attribute(tag, name)` reads the attributes `names`, each once per tag."""
     clean = F.translate(F.coalesce(html, F.lit("")), CUT + APART, "")
     parts = F.split(F.regexp_replace(clean, TOKEN, f"{CUT}$1{APART}"), CUT)
 
@@ -49,7 +55,8 @@ def pieces(html: Column) -> Column:
             F.when(name == "", "none").when(F.startswith(tag, F.lit("</")), "close")
             .when(name.isin("script", "style", *VOID) | tag.endswith("/>"), "void").otherwise("open")
         )
-        return F.struct(tag.alias("tag"), name.alias("name"), kind.alias("kind"), F.substring_index(part, APART, -1).alias("text"))
+        read = [F.when(F.contains(tag, F.lit("=")), attribute(tag, n)).alias(field(n)) for n in names]
+        return F.struct(name.alias("name"), kind.alias("kind"), unescape(F.substring_index(part, APART, -1)).alias("text"), *read)
 
     return F.transform(parts, piece)
 
@@ -131,15 +138,21 @@ def steps_of(selector: str) -> list[list[tuple[str, list[dict]]]]:
     return out
 
 
-def _passes(element: Column, tag: Column, tests: list[dict], attribute) -> Column:
+def attributes_of(selector: str) -> set[str]:
+    """The attributes that a selector looks at."""
+    tests = [t for steps in steps_of(selector) for _, tests in steps for t in tests]
+    return {"class" if t["cls"] else t["attr"] for t in tests if not t["tag"]}
+
+
+def _passes(element: Column, piece: Column, tests: list[dict]) -> Column:
     result = F.lit(True)
     for test in tests:
         if test["tag"]:
             holds = element["name"] == test["tag"].lower()
         elif test["cls"]:
-            holds = F.array_contains(F.split(F.coalesce(attribute(tag, "class"), F.lit("")), r"\s+"), test["cls"])
+            holds = F.array_contains(F.split(F.coalesce(piece[field("class")], F.lit("")), r"\s+"), test["cls"])
         else:
-            value = attribute(tag, test["attr"])
+            value = piece[field(test["attr"])]
             wanted = F.lit(test["value"])
             holds = {
                 None: lambda: value.isNotNull(), "=": lambda: value == wanted, "*=": lambda: F.contains(value, wanted),
@@ -150,11 +163,11 @@ def _passes(element: Column, tag: Column, tests: list[dict], attribute) -> Colum
     return result
 
 
-def select(found: Column, parts: Column, selector: str, attribute) -> Column:
-    """The elements of a page that match a selector, in page order. `attribute(tag, name)` reads a tag."""
+def select(found: Column, parts: Column, selector: str) -> Column:
+    """The elements of a page that match a selector, in page order; its attributes are fields of the pieces."""
 
     def passing(tests: list[dict]) -> Column:
-        return F.filter(found, lambda e: _passes(e, F.get(parts, e["at"])["tag"], tests, attribute))
+        return F.filter(found, lambda e: _passes(e, F.get(parts, e["at"]), tests))
 
     def after(matched: Column, own: Column) -> Column:
         return let(matched, lambda before: F.filter(own, lambda e: F.exists(before, lambda b: b["at"] == e["prev"])))
@@ -182,9 +195,9 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def text_of(parts: Column, element: Column, unescape, separator: str = "", strip: bool = True) -> Column:
+def text_of(parts: Column, element: Column, separator: str = "", strip: bool = True) -> Column:
     """Text of an element; pieces are stripped one by one unless `strip` is off. NULL without an element."""
-    held = F.transform(F.slice(parts, element["at"] + 1, element["end"] - element["at"]), lambda p: unescape(p["text"]))
+    held = F.slice(parts, element["at"] + 1, element["end"] - element["at"])["text"]
     if strip:
         held = F.filter(F.transform(held, stripped), lambda t: t != "")
     return F.when(element.isNotNull(), F.array_join(held, separator))

@@ -146,24 +146,18 @@ def extract_product_cards(pages: DataFrame, rules: CardRules = CardRules()) -> D
     )
 
 
-def _with_elements(pages: DataFrame) -> DataFrame:
-    """Pages with `_pieces` and `_elements` instead of html, each computed once."""
-    cut = computed_once(pages, _pieces=el.pieces(F.col("html"))).drop("html")
-    return computed_once(cut, _elements=el.elements(F.col("_pieces")))
-
-
 class _Page:
-    """Expressions over the elements of a page; each selector is evaluated once per page."""
+    """Expressions over the elements of a page; each selector is evaluated once per page, and each attribute
+    that one looks at (or ``attributes`` names) is read once per tag."""
 
-    def __init__(self, pages: DataFrame, selectors: Iterable[str | None]):
+    def __init__(self, pages: DataFrame, selectors: Iterable[str | None], attributes: Iterable[str] = ()):
         self.kept = [c for c in pages.columns if c != "html"]
         self.names = {s: f"_chosen{i}" for i, s in enumerate(dict.fromkeys(s for s in selectors if s))}
-        chosen = {name: self.select(s) for s, name in self.names.items()}
-        self.frame = computed_once(_with_elements(pages), **chosen)
-
-    @staticmethod
-    def select(selector: str) -> Column:
-        return el.select(F.col("_elements"), F.col("_pieces"), selector, attribute)
+        read = sorted({*attributes, *[a for s in self.names for a in el.attributes_of(s)]})
+        cut = computed_once(pages, _pieces=el.pieces(F.col("html"), unescape, attribute, read)).drop("html")
+        found = computed_once(cut, _elements=el.elements(F.col("_pieces")))
+        chosen = {name: el.select(F.col("_elements"), F.col("_pieces"), s) for s, name in self.names.items()}
+        self.frame = computed_once(found, **chosen)
 
     def all(self, element: Column, selector: str) -> Column:
         return el.inside(F.col(self.names[selector]), element)
@@ -173,10 +167,10 @@ class _Page:
         return F.get(self.all(element, selector), F.lit(0))
 
     def attribute(self, element: Column, name: str) -> Column:
-        return attribute(F.get(F.col("_pieces"), element["at"])["tag"], name)
+        return F.get(F.col("_pieces"), element["at"])[el.field(name)]
 
     def text(self, element: Column, separator: str = "", strip: bool = True) -> Column:
-        return el.text_of(F.col("_pieces"), element, unescape, separator, strip)
+        return el.text_of(F.col("_pieces"), element, separator, strip)
 
     def rows(self, blocks: Column, fields: Callable[[Column], dict[str, Column]], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
         """One row per block, in page order, with the page's other columns and `pos`."""
@@ -190,7 +184,7 @@ class _Page:
 def extract_display_cards(pages: DataFrame, rules: DisplayRules = DisplayRules()) -> DataFrame:
     """Cards whose brand, name, price, discount (and rating, review count) are display text."""
     shown = [rules.link, "img", rules.brand, rules.name, rules.price, rules.discount, rules.rating, rules.reviews]
-    page = _Page(pages, [rules.card, *shown])
+    page = _Page(pages, [rules.card, *shown], ("href", "src", "aria-label"))
 
     def label(card: Column, selector: str | None) -> Column:
         if not selector:
@@ -237,13 +231,13 @@ def extract_review_blocks(
         shown = [s for group in lists for s in group] + [ENHANCED_STARS, ENHANCED_RATING, ENHANCED_HELPFUL, ENHANCED_IMAGE]
     else:
         shown = [BASIC_TEXT, BASIC_STARS, BASIC_AUTHOR, BASIC_DATE, BASIC_OPTION]
-    page = _Page(pages, [*selectors, *shown])
+    page = _Page(pages, [*selectors, *shown], ("class",))
 
     def first_text(block: Column, wanted: Sequence[str], longer_than: int) -> Column:
         """Text of the first selector that is long enough, else of the last one that matched."""
-        texts = [page.text(page.first(block, s)) for s in wanted]
-        enough = [F.when(F.length(t) > longer_than, t) for t in texts]
-        return F.coalesce(*enough, *reversed(texts), F.lit(""))
+        texts = F.array_compact(F.array(*[page.text(page.first(block, s)) for s in wanted]))
+        enough = lambda found: F.filter(found, lambda t: F.length(t) > longer_than)
+        return el.let(texts, lambda found: F.coalesce(F.get(enough(found), F.lit(0)), F.try_element_at(found, F.lit(-1)), F.lit("")))
 
     def text(block: Column, selector: str) -> Column:
         return F.coalesce(page.text(page.first(block, selector)), F.lit(""))
@@ -263,9 +257,9 @@ def extract_review_blocks(
         stars = F.when(F.size(icons) > 0, F.size(filled).cast("string"))
         score = F.coalesce(page.text(page.first(block, ENHANCED_RATING), strip=False), F.lit(""))
         helpful = page.text(page.first(block, ENHANCED_HELPFUL), strip=False)
-        long = first_text(block, ENHANCED_TEXT, 10)
         return {
-            "text": F.when(long != "", long).otherwise(F.substring(page.text(block, " "), 1, fallback_chars)),
+            "text": el.let(first_text(block, ENHANCED_TEXT, 10), lambda long: F.when(long != "", long).otherwise(
+                F.substring(page.text(block, " "), 1, fallback_chars))),
             "author": first_text(block, ENHANCED_AUTHOR, 1), "date": first_text(block, ENHANCED_DATE, 0),
             "option": first_text(block, ENHANCED_OPTION, 0),
             "rating": F.coalesce(stars, first_number(score), F.lit("")),

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ def test_empty_lexicon(spark):
 
 def test_lexicon_frame_round_trip(spark):
     assert Lexicon.from_frame(WORDS.to_frame(spark, "w"), "w") == WORDS
+    with pytest.raises(ValueError):
+        Lexicon.from_frame(WORDS.to_frame(spark, "w"), "w", most=3)
 
 
 def test_large_lexicon_equals_the_search_of_every_keyword(spark):

@@ -9,7 +9,7 @@ from shelfscope.operators.collection import dedup_by_link, recent_reviews
 from shelfscope.operators.ordering import cap_per_product
 from shelfscope.operators.sentiment import score_sentiment
 from shelfscope.plans.reports import score_job
-from shelfscope.sources import elements, sinks, tables
+from shelfscope.sources import sinks, tables
 from shelfscope.sources import pages as pg
 from shelfscope.streaming.ingest import ingest_cards_stream
 
@@ -165,12 +165,10 @@ def test_elements_equal_the_tree_on_any_markup(spark):
     draw = random.Random(12)
     pages = ["", None, "plain", "</p></div>", "<p>", DISPLAY, REVIEW, CARDS, "<p>" * 700 + "x" + "</p>" * 300] + [random_page(draw) for _ in range(120)]
     rows = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
-    cut = pg._with_elements(rows)
+    page = pg._Page(rows, SELECTORS)
     shown = [
-        F.transform(pg._Page.select(s), lambda e: F.struct(
-            elements.text_of(F.col("_pieces"), e, pg.unescape, "|").alias("text"),
-            elements.text_of(F.col("_pieces"), e, pg.unescape, "", False).alias("raw"),
-            e["depth"].alias("depth"), e["name"].alias("name"),
+        F.transform(page.names[s], lambda e: F.struct(
+            page.text(e, "|").alias("text"), page.text(e, strip=False).alias("raw"), e["depth"].alias("depth"), e["name"].alias("name"),
         )).alias(f"s{k}")
         for k, s in enumerate(SELECTORS)
     ]
@@ -178,7 +176,7 @@ def test_elements_equal_the_tree_on_any_markup(spark):
     def depth(e):
         return 0 if e.parent is None else 1 + depth(e.parent)
 
-    for row in cut.select("page_id", *shown).collect():
+    for row in page.frame.select("page_id", *shown).collect():
         tree = dom.parse(pages[row.page_id])
         for k, selector in enumerate(SELECTORS):
             want = [(e.text("|"), e.text(strip=False), depth(e), e.tag) for e in tree.select(selector)]
