@@ -10,6 +10,7 @@ What the driver holds is the boundaries and a count per range: `ranges` rows eac
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -91,10 +92,20 @@ def sampled(df: DataFrame, columns: Sequence[str], ranges: int) -> DataFrame:
     return df.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(ranges * SAMPLED)
 
 
-def ranges_of(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, sample: DataFrame | None = None) -> Ranges:
+def in_order(rows: list[Row], keys: Sequence[Key]) -> list[Row]:
+    """A bounded list of rows sorted as Spark sorts: NaN after all numbers, missing values where the key says."""
+    for key in reversed(keys):
+        none = [r for r in rows if r[key.column] is None]
+        some = [r for r in rows if r[key.column] is not None]
+        value = lambda r, c=key.column: (isinstance(r[c], float) and math.isnan(r[c]), r[c])
+        some.sort(key=value, reverse=not key.ascending)
+        rows = some + none if key.nulls_last else none + some
+    return rows
+
+
+def ranges_of(df: DataFrame, keys: Sequence[Key], ranges: int = RANGES, sample: list[Row] | None = None) -> Ranges:
     columns = [k.column for k in keys]
-    picked = sampled(df, columns, ranges) if sample is None else sample
-    rows = picked.distinct().orderBy(*[k.order() for k in keys]).collect()
+    rows = in_order(sampled(df, columns, ranges).collect() if sample is None else sample, keys)
     step = max(1, len(rows) // ranges)
     types = {c: df.schema[c].dataType.simpleString() for c in columns}
     return Ranges(tuple(keys), types, tuple(rows[step::step][: ranges - 1]))
@@ -139,9 +150,8 @@ def ranked(df: DataFrame, ranks: dict[str, Sequence[Key]], ranges: int = RANGES)
     Runs jobs when called.
     """
     columns = list(dict.fromkeys(k.column for keys in ranks.values() for k in keys))
-    spark, schema = df.sparkSession, df.select(*columns).schema
-    sample = spark.createDataFrame(sampled(df, columns, ranges).collect(), schema)
-    cuts = {name: ranges_of(df, keys, ranges, sample.select(*[k.column for k in keys])) for name, keys in ranks.items()}
+    sample = sampled(df, columns, ranges).collect()
+    cuts = {name: ranges_of(df, keys, ranges, sample) for name, keys in ranks.items()}
     cells = F.array(*[F.struct(F.lit(name).alias("_rank"), cut.number().alias("_range")) for name, cut in cuts.items()])
     counted = df.select(F.inline(cells)).groupBy("_rank", "_range").agg(F.count("*").alias("_rows")).collect()
     for name, cut in cuts.items():
