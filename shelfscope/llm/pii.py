@@ -40,6 +40,8 @@ from shelfscope.llm.storage import free_name, stored
 from shelfscope.llm.text import batches_of
 
 BROADCAST_ROWS = 200_000
+#: Bytes of text that a task works on at a time.
+AT_ONCE = 1 << 20
 
 #: Titles by gender, and names for surrogates by script and gender.
 TITLES = {
@@ -368,7 +370,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batches_of(batch, "text"):
+            for part in batches_of(batch, "text", AT_ONCE):
                 rows = {
                     (key, f.kind, f.norm)
                     for key, text in zip(part.column("text_key").to_pylist(), part.column("text").to_pylist(), strict=True) if text
@@ -454,7 +456,7 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in batches_of(batch, "text"):
+            for part in batches_of(batch, "text", AT_ONCE):
                 texts = part.column("text").to_pylist()
                 own = part.column(overrides).to_pylist()
                 done = [(t, []) if not t else rewritten(t, key, dict(o or ()), syllables) for t, o in zip(texts, own, strict=True)]
