@@ -244,7 +244,7 @@ def ingest_stream(spark, sf):
     query = ingest_cards_stream(
         spark, sf, f"{run}/out", f"{run}/state", rules=ANY_ANCHOR, file_name="pages.parquet")
     query.awaitTermination()
-    return spark.read.parquet(f"{run}/out").select("link")
+    return spark.read.schema("link string").parquet(f"{run}/out")
 
 
 @check("str_first_cards", LINKS + f"""

@@ -13,6 +13,12 @@ PAGE_SCHEMA = "page_id bigint, url string, html string"
 FOR_GOOD = None
 
 
+def named(in_dir: str, file_name: str | None) -> str:
+    """The path of the files or folders of that name (a glob). The braces make any name a glob, as a stream
+    takes a path that is none for a folder."""
+    return f"{in_dir}/{{{file_name}}}" if file_name else in_dir
+
+
 def new_cards(
     pages: DataFrame,
     rules: CardRules = CardRules(),
@@ -49,15 +55,14 @@ def ingest_cards_stream(
     """Process the page files that arrived since the last run and append new products.
 
     The checkpoint keeps read files and seen links, so a restart neither repeats nor loses a
-    product. Runs through everything available, then stops. ``file_name`` (a glob) picks files.
+    product. Runs through everything available, then stops. ``file_name`` (a glob) picks files of
+    ``in_dir``, or folders of files, as a table stored by several tasks is one.
     Pages without the event time column count as collected when their file was written.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if file_name:
-        reader = reader.option("pathGlobFilter", file_name)
-    pages = reader.parquet(in_dir)
+    pages = reader.parquet(named(in_dir, file_name))
     if event_time not in pages.columns:
         pages = pages.withColumn(event_time, F.col("_metadata.file_modification_time"))
     cards = new_cards(pages, rules, host, event_time, horizon)
