@@ -254,5 +254,6 @@ def first_cards(spark, sf):
     """The page table as a stream; the snapshot after its last step has the first card of every link."""
     run = shared_folder(spark, "first-cards")
     with rocksdb_state(spark):
-        ingest_first_cards(spark, sf, f"{run}/out", f"{run}/state", rules=HREF_CARD, host=HOST, file_name="pages.parquet").awaitTermination()
+        ingest_first_cards(
+            spark, sf, f"{run}/out", f"{run}/state", rules=HREF_CARD, host=HOST, bytes_per_step=1 << 30, file_name="pages.parquet").awaitTermination()
     return snapshot(spark, f"{run}/out").select("page_id", "pos", "link", "product_id", "name")

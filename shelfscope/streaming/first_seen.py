@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from shelfscope.operators.collection import with_links
 from shelfscope.sources.pages import CardRules, extract_product_cards
+from shelfscope.streaming.ingest import named
 
 # The processor travels to the executors by value, as page parsers do.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -112,6 +113,7 @@ def ingest_first_cards(
     host: str | None = None,
     schema: str = "page_id bigint, url string, html string",
     files_per_step: int = 1,
+    bytes_per_step: int | None = None,
     file_name: str | None = None,
     order: Sequence[str] = ORDER,
     event_time: str = "collected_at",
@@ -122,15 +124,20 @@ def ingest_first_cards(
 ) -> StreamingQuery:
     """Read the page files that arrived since the last run, a step per ``files_per_step``, then stop.
 
+    With ``bytes_per_step`` a step takes files up to that size together, one at least, so the
+    number of steps does not follow the number of files. ``file_name`` (a glob) picks files of ``in_dir``, or
+    folders of files, as a table stored by several tasks is one.
     Changes of each step go to ``out_dir/step=N`` (`snapshot` reads them). With ``quiet_steps``, the run also
     stops once that many steps after the first ``at_least`` brought no new link; the files left are read
     by the next run. Needs the RocksDB state store (`session.build_session`). Pages without the event time
     column count as collected when their file was written.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step)
-    if file_name:
-        reader = reader.option("pathGlobFilter", file_name)
-    pages = reader.parquet(in_dir)
+    reader = spark.readStream.schema(schema)
+    if bytes_per_step is None:
+        reader = reader.option("maxFilesPerTrigger", files_per_step)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_step)
+    pages = reader.parquet(named(in_dir, file_name))
     if event_time not in pages.columns:
         pages = pages.withColumn(event_time, F.col("_metadata.file_modification_time"))
     cards = with_links(extract_product_cards(pages, rules), host)
