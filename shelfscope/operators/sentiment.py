@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,14 @@ def score_sentiment(
     the first ``max_reasons`` entries in lexicon order (None keeps them all). Narrow: no shuffle.
     """
     keywords = unique([*positive.keywords, *negative.keywords])
-    scored = computed_once(
-        with_hits(reviews, keywords),
-        _pos=entries_of(keywords, positive),
-        _neg=entries_of(keywords, negative),
-    )
+    return score_hits(with_hits(reviews, keywords), keywords, positive, negative, max_reasons).drop("_hits")
+
+
+def score_hits(
+    rows: DataFrame, keywords: Sequence[str], positive: Lexicon, negative: Lexicon, max_reasons: int | None = 3
+) -> DataFrame:
+    """`score_sentiment` of rows whose ``_hits`` among ``keywords`` (of both lexicons at least) are known."""
+    scored = computed_once(rows, _pos=entries_of(keywords, positive), _neg=entries_of(keywords, negative))
     pos, neg = F.size("_pos"), F.size("_neg")
 
     def reasons(entries: str) -> Column:
@@ -60,7 +65,7 @@ def score_sentiment(
             "positive_reasons": reasons("_pos"),
             "negative_reasons": reasons("_neg"),
         }
-    ).drop("_hits", "_pos", "_neg")
+    ).drop("_pos", "_neg")
 
 
 def sentiment_counts(scored: DataFrame) -> DataFrame:

@@ -92,3 +92,31 @@ def test_large_lexicon_equals_the_search_of_every_keyword(spark):
     few = spark.createDataFrame(rows_of, table.schema)
     assert show(score_large_lexicon(reviews, few, ["id"])) == show(score_sentiment(reviews, *small))
     assert score_large_lexicon(reviews, table.limit(0), ["id"]).filter("sentiment <> 'neutral'").count() == 0
+
+
+def test_many_keywords_are_found_by_one_walk_whose_entries_follow_the_hits(spark):
+    words = [a + b + c for a in "ab" for b in "cdefg" for c in ("", "a", "hb", "é", "a-", "]", "^x", "dda", "e", "ff")]
+    lexicon = Lexicon.of({"one": words[::2], "two": words[1::2], "both": words[:9]})
+    assert len(lexicon.keywords) > matching.FEW_KEYWORDS
+    texts = ["", "acéacff", "bgehbbgadda", "ac]ad^xaca-", "zz", "agdda" * 3, None, "ace", "bda-bdhb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    hits = matching.with_hits(df, lexicon.keywords)
+    found = hits.select("i", matching.entries_of(lexicon.keywords, lexicon).alias("e"), matching.categories_of(lexicon.keywords, lexicon).alias("c"))
+    for r in found.collect():
+        want = [(c, k) for c, k in lexicon.entries if k in (texts[r.i] or "")]
+        assert [tuple(e) for e in r.e] == want and r.c == [c for c in lexicon.names if any(c == x for x, _ in want)]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in plan and "contains" not in plan.lower().replace("array_contains", "")
+
+
+def test_words_that_are_only_looked_for_do_not_change_counts(spark):
+    counted, others = ["aba", "ab", "ba", "cc"], ["abab", "bac", "ccc", "aba"]
+    keywords = list(dict.fromkeys([*counted, *others]))
+    present_only = frozenset(keywords) - frozenset(counted)
+    texts = ["ababab", "bacccc", "abacc", "", None, "ccccc abab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    hits = df.select("i", F.explode(matching.occurrence_hits(F.col("text"), keywords, present_only)).alias("keyword"))
+    for word in counted:
+        weight = F.expr(matching.occurrence_weight(keywords, [word], present_only=present_only))
+        got = {r.i: r.n for r in hits.groupBy("i").agg(F.sum(weight).alias("n")).collect()}
+        assert all(got.get(i, 0) == (t or "").count(word) for i, t in enumerate(texts))
