@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fv
-from shelfscope.functions.matching import computed_once, occurrence_hits, with_hits
+from shelfscope.functions.matching import computed_once, hit_weight, occurrence_hits, with_hits
 from shelfscope.functions.values import percent_format
 from shelfscope.lexicon import AGE, BODY, FACTOR, NEGATIVE, POSITION, POSITIVE, Lexicon, unique
 from shelfscope.operators.insights import category_examples
 from shelfscope.operators.ranges import Key, ranked
-from shelfscope.operators.sentiment import pct, score_sentiment
+from shelfscope.operators.sentiment import pct, score_hits
 from shelfscope.operators.stats import image_share
 from shelfscope.operators.tally import (
     category_cells,
@@ -277,17 +277,21 @@ def brand_overview(
     reasons all come from the same pass.
     """
     counted = unique([*words.position.keywords, *words.age.keywords, *words.body.keywords])
-    keywords = unique([*counted, *words.factor.keywords])
-    rows = reviews if scored is not None else score_sentiment(reviews, words.positive, words.negative)
-    rows = computed_once(rows, _found=occurrence_hits(F.col("text"), keywords))
+    opinions = [] if scored is not None else [*words.positive.keywords, *words.negative.keywords]
+    keywords = unique([*counted, *words.factor.keywords, *opinions])
+    present_only = frozenset(keywords) - frozenset(counted)
+    rows = computed_once(reviews, _found=occurrence_hits(F.col("text"), keywords, present_only))
     rows = computed_once(rows, _hits=F.array_distinct("_found"))
+    if scored is None:
+        rows = score_hits(rows, keywords, words.positive, words.negative)
     factors = category_cells("factor", keywords, words.factor)
-    cells = [one("review"), hit_cells("hit", F.col("_found")), factors]
+    counting = [k for k in keywords if hit_weight(k, counted, present_only)]
+    cells = [one("review"), hit_cells("hit", F.filter("_found", lambda h: h.isin(counting))), factors]
     aggregates = {
         "reviews": total("review"),
-        "positions": occurrence_scores("hit", keywords, words.position),
-        "ages": occurrence_scores("hit", keywords, words.age),
-        "bodies": occurrence_scores("hit", keywords, words.body),
+        "positions": occurrence_scores("hit", keywords, words.position, present_only),
+        "ages": occurrence_scores("hit", keywords, words.age, present_only),
+        "bodies": occurrence_scores("hit", keywords, words.body, present_only),
         "factors": presences("factor", words.factor),
     }
     if trends:

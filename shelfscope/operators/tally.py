@@ -10,7 +10,7 @@ group; lists in it are bounded by the lexicon.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,11 +126,13 @@ def presences(section: str, lexicon: Lexicon) -> Column:
     return F.array_sort(F.collect_list(F.when(F.col("section") == section, item)))
 
 
-def occurrence_scores(section: str, keywords: Sequence[str], lexicon: Lexicon) -> Column:
+def occurrence_scores(
+    section: str, keywords: Sequence[str], lexicon: Lexicon, present_only: Collection[str] = ()
+) -> Column:
     """All categories by number of occurrences (descending), then lexicon order."""
     items = []
     for i, (category, counted) in enumerate(lexicon.categories):
-        weight = occurrence_weight(keywords, counted)
+        weight = occurrence_weight(keywords, counted, present_only=present_only)
         score = f"coalesce(sum(CASE WHEN section = '{section}' THEN n * ({weight}) END), 0)"
         items.append(
             f"named_struct('order', -{score}, 'cat_ord', {i}, 'category', {quoted(category)}, 'score', {score})"
