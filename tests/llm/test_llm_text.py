@@ -303,3 +303,35 @@ def test_toxicity_without_or_with_one_label(spark):
     df = spark.createDataFrame([(1, "a b", 1, "en"), (2, "c", None, "en"), (3, "d", 5, "en")], "doc_id long, text string, label int, lang string")
     assert {r["score"] for r in toxicity.score(df, toxicity.train(df, df)).collect()} == {1.0}
     assert {r["score"] for r in toxicity.score(df, toxicity.train(df, df.limit(0))).collect()} == {0.0}
+
+
+def test_every_labelled_row_teaches_with_its_whole_text(spark):
+    far = "plain words " * 9000
+    rows = [(k, far + f"scum w{k}" if k % 2 else f"plain words w{k}", k % 2, "en") for k in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int, lang string")
+    model = toxicity.train(df, df)
+    asked = spark.createDataFrame([(1, far + "scum"), (2, far)], "doc_id long, text string")
+    assert {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(asked, model).collect()} == {1: True, 2: False}
+    many = spark.range(6500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), (F.col("id") % 2).cast("int").alias("label"), F.lit("en").alias("lang"))
+    taught = toxicity.taught(many, many, 1000)
+    assert taught.count() == 6500 and taught.rdd.getNumPartitions() == 7
+    assert toxicity.seen_in(taught)[:, : 1 << toxicity.BITS].sum(axis=1).tolist() == [3250, 3250]
+    taught.unpersist()
+
+
+def test_replicas_learn_together_and_reruns_agree(spark):
+    rows = spark.createDataFrame(toxic_rows(700, 1), "doc_id long, text string, label int, lang string")
+    models = [toxicity.train(rows.repartition(n), rows, least_per_language=5, rows_each=150) for n in (1, 4)]
+    assert np.array_equal(models[0].network.embedding, models[1].network.embedding) and models[0].thresholds == models[1].thresholds
+    test = toxic_rows(200, 2)
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(test, "doc_id long, text string, label int, lang string"), models[0]).collect()}
+    assert np.mean([(out[i] >= 0.5) == bool(y) for i, _, y, _ in test]) > 0.95
+
+
+def test_threshold_of_bins_against_every_cut():
+    random_ = np.random.default_rng(5)
+    low = np.sort(random_.normal(size=30))
+    zeros, ones = random_.integers(0, 9, 30), random_.integers(0, 9, 30)
+    f1 = lambda cut: 2 * ones[low >= cut].sum() / ((ones + zeros)[low >= cut].sum() + ones.sum())
+    got = toxicity.best_threshold(low, low, zeros, ones)
+    assert f1(got) == max(f1(cut) for cut in [*low, low[-1] + 1]) and got not in low
