@@ -11,11 +11,13 @@ and index lists are read with set relations:
   bits, so most pairs end there and never leave the task. A component has the sketch of one member and
   the largest distance of the others from it, which the triangle inequality takes off. Long lists are
   read twice: first each set meets only the closest one of a list, which joins what pivots have not; then
-  all pairs that this left apart are read;
+  all pairs that this left apart are read. A pair leaves a task once, however many lists it meets in; which
+  entries met a group is told entry by entry, so rows grow with the entries;
 - answer level: classes of one component need no comparison. Two components that meet are first told apart by
   sketches and distances, then asked by one pair of members per meeting. What a member of a group shares with another set follows
   from what its pivot shares, up to the few shingles in which member and pivot differ; only members for
-  which that leaves the answer open are compared.
+  which that leaves the answer open are compared. Members of components that met are found by reading their lists
+  again, member by member and sorted by component; no table of all pairs of members is made.
 
 The global order is by how often a shingle's hash bucket occurs in all documents, then by hash.
 
@@ -251,8 +253,9 @@ def list_pairs(
     """Index pairs of entries of one list whose sets may link, of different components, and in how many bits
     their sets' sketches differ at least.
 
-    Entries are sorted by list and size. Short lists are taken together, one distance after the other;
-    in longer ones blocks are compared first and skipped as a whole. `sketches` holds a row of 64-bit
+    Entries are sorted by list. Short lists are taken together, one distance after the other;
+    in longer ones blocks are compared first and skipped as a whole, by size, component and the distance of their
+    sketches; the more alike neighbours are, the more are skipped. `sketches` holds a row of 64-bit
     words per entry; the sketches of all sets that an entry stands for differ from it in `radius` bits at
     most.
     """
@@ -281,9 +284,17 @@ def list_pairs(
         edges = np.arange(begin, end, BLOCK)
         b_low, b_high = np.minimum.reduceat(low[:end], edges), np.maximum.reduceat(high[:end], edges)
         first, final = np.minimum.reduceat(label[:end], edges), np.maximum.reduceat(label[:end], edges)
+        if sketches is not None:
+            centre = sketches[edges]
+            own = np.bitwise_count(sketches[begin:end] ^ centre[np.arange(end - begin) // BLOCK]).sum(axis=1, dtype=np.int64)
+            spread = np.maximum.reduceat(own + radius[begin:end], edges - begin)
         for x, at in enumerate(edges):
             others = np.arange(x, len(edges))
-            open_ = (100 * b_high[x] >= PERCENT * b_low[others]) & ((first[x] != final[others]) | (final[x] != first[others]))
+            open_ = (100 * b_high[x] >= PERCENT * b_low[others]) & (100 * b_high[others] >= PERCENT * b_low[x])
+            open_ &= (first[x] != final[others]) | (final[x] != first[others])
+            if sketches is not None:
+                away = np.bitwise_count(centre[x] ^ centre[others]).sum(axis=1, dtype=np.int64) - spread[x] - spread[others]
+                open_ &= (100 + PERCENT) * away <= (100 - PERCENT) * (b_high[x].astype(np.int64) + b_high[others])
             rows = np.arange(at, min(at + BLOCK, end))
             for y in others[open_]:
                 columns = np.arange(edges[y], min(edges[y] + BLOCK, end))
@@ -311,9 +322,16 @@ def whole_lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> It
         yield held
 
 
-def dealt(df: DataFrame) -> DataFrame:
+def dealt(df: DataFrame, order: tuple[str, ...] = ("low", "high", "pos", "label")) -> DataFrame:
     """Entries by list, sorted as they are read."""
-    return df.repartition("token").sortWithinPartitions("token", "low", "high", "pos", "label")
+    return df.repartition("token").sortWithinPartitions("token", *order)
+
+
+def least_tokens(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct pairs of rows (a, b, token), each with its least token."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
 
 
 def read_lists(entries: DataFrame) -> DataFrame:
@@ -345,9 +363,14 @@ def read_lists(entries: DataFrame) -> DataFrame:
     return stored(dealt(entries.select(*ENTRY, "grouped")).mapInArrow(read, schema), "lists")
 
 
-def read_long(entries: DataFrame, closest: bool) -> DataFrame:
-    """Distinct (a, b, token) of labels in lists of `entries` (with sketch, radius and component) that may link and
-    are of different components; with `closest`, only the one of least distance for each entry of a list."""
+def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataFrame:
+    """(a, b, token) of labels in lists of `entries` (with sketch, radius and component) that may link and
+    are of different components, with the least token that a task saw (0: no group takes part); with
+    `closest`, only the one of least distance for each entry of a list.
+
+    Without `closest`, also (label, null, token) for every entry that meets one where a group takes part. With
+    `members`, entries are members of components; then only pairs in which a group takes part are told.
+    """
     words = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,12 +381,18 @@ def read_long(entries: DataFrame, closest: bool) -> DataFrame:
                 names=[*ENTRY, "grouped", "radius", "component", *words],
             )
 
+    def told(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["a", "b", "token"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        held = 0
         for lists in whole_lists(sketched(batches), (*ENTRY, "grouped", "radius", "component", *words)):
             sketches = np.stack([lists[w] for w in words], axis=1)
-            least = np.full(len(lists["token"]), np.iinfo(np.int64).max)
-            partner = np.full(len(least), -1)
-            parts: list[np.ndarray] = []
+            grouped = lists["grouped"].astype(bool)
+            least = np.full(len(grouped), np.iinfo(np.int64).max)
+            partner = np.full(len(grouped), -1)
+            met = np.zeros(len(grouped), dtype=bool)
             apart = (lists[c] for c in ("token", "component", "low", "high", "pos"))
             for i, j, differ in list_pairs(*apart, sketches, lists["radius"].astype(np.int64)):
                 if closest:
@@ -373,17 +402,34 @@ def read_long(entries: DataFrame, closest: bool) -> DataFrame:
                         at, other = x[order][nearer], y[order][nearer]
                         least[at], partner[at] = differ[order][nearer], other
                     continue
+                of_group = grouped[i] | grouped[j]
+                met[i[of_group]] = met[j[of_group]] = True
+                if members:
+                    i, j = i[of_group], j[of_group]
                 parts.append(np.stack(pairs_of(lists, i, j), axis=1))
-                if sum(map(len, parts)) > 1 << 18:
-                    parts = [np.unique(np.concatenate(parts), axis=0)]
+                held += len(i)
+                if held > 1 << 18:
+                    parts = [least_tokens(parts)]
+                    held = len(parts[0])
+                    if held > 1 << 17:
+                        yield told(parts[0])
+                        parts, held = [], 0
             if closest:
-                met = np.flatnonzero(partner >= 0)
-                parts = [np.stack(pairs_of(lists, met, partner[met]), axis=1)] if len(met) else []
-            if parts:
-                rows = np.unique(np.concatenate(parts), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["a", "b", "token"])
+                near = np.flatnonzero(partner >= 0)
+                parts.append(np.stack(pairs_of(lists, near, partner[near]), axis=1))
+                held += len(near)
+                if held > 1 << 18:
+                    yield told(least_tokens(parts))
+                    parts, held = [], 0
+            elif met.any() and not members:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists["label"][met]), pa.nulls(int(met.sum()), pa.int64()), pa.array(lists["token"][met])], names=["a", "b", "token"]
+                )
+        if held:
+            yield told(least_tokens(parts))
 
-    return dealt(entries.select(*ENTRY, "grouped", "sketch", "radius", "component")).mapInArrow(read, "a long, b long, token long").distinct()
+    order = ("component", "low", "label") if members else ("low", "high", "pos", "label")
+    return dealt(entries.select(*ENTRY, "grouped", "sketch", "radius", "component"), order).mapInArrow(read, "a long, b long, token long")
 
 
 def bits_apart(x: str, y: str):
@@ -471,23 +517,27 @@ def classified(docs: DataFrame) -> DataFrame:
     closest = read_long(long.filter("NOT grouped").withColumn("component", F.col("label")), closest=True)
     joined = stored(components(compared(docs, closest.select("a", "b").distinct()).filter(linked())), "joined")
     long = long.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
-    more_pairs = read_long(long, closest=False)
-    meetings = stored(lists.filter("a IS NOT NULL").select("a", "b", "token").unionByName(more_pairs).distinct(), "meetings")
+    met = stored(lists.filter("a IS NOT NULL").select("a", "b", "token").unionByName(read_long(long, closest=False)), "met")
     removed(lists)
+    meetings = stored(met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("token").alias("token")), "meetings")
+    sides = met.filter("token <> 0").select("token", F.explode(F.array("a", "b")).alias("label")).filter("label IS NOT NULL")
+    sides = stored(sides.distinct(), "sides")
+    removed(met)
 
     alone = meetings.filter("token = 0").select("a", "b")
     of_groups = meetings.filter("token <> 0")
-    of_groups = stored(of_groups.join(near_shapes(of_groups.select("a", "b").distinct(), shapes), ["a", "b"], "left_semi"), "group-meetings")
-    one_token = of_groups.groupBy("a", "b").agg(F.min("token").alias("token"))
-    first = compared(docs, alone.unionByName(first_pairs(one_token, members_behind(one_token, grouped, labelled, classes))).distinct()).filter(linked())
+    of_groups = stored(of_groups.join(near_shapes(of_groups.select("a", "b"), shapes), ["a", "b"], "left_semi"), "group-meetings")
+    behind = members_behind(of_groups.select("token", F.explode(F.array("a", "b")).alias("label")).distinct(), grouped, labelled, classes)
+    first = compared(docs, alone.unionByName(first_pairs(of_groups, behind)).distinct()).filter(linked())
     removed(meetings, shapes)
     known = labels.unionByName(joined).select(F.col("node").alias("a"), F.col("component").alias("b"))
     now = stored(components(known.unionByName(first.select("a", "b"))), "components")
     at = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"{x}_now"))
     apart = of_groups.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
-    apart = stored(apart.select("a", "b", "token"), "apart")
-    more = compared(docs, member_pairs(docs, apart, members_behind(apart, grouped, labelled, classes), near)).filter(linked())
-    removed(apart, grouped, of_groups)
+    apart = stored(apart.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "apart")
+    members = members_behind(sides.join(apart, "label", "left_semi").select("token", "label"), grouped, labelled, classes)
+    more = compared(docs, member_pairs(docs, members, now, near)).filter(linked())
+    removed(apart, grouped, of_groups, sides)
     final = components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
 
     by_class = (
@@ -527,44 +577,43 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return alone.unionByName(once).select(*docs.columns)
 
 
-def members_behind(meetings: DataFrame, grouped: DataFrame, labelled: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, label, doc, n, words): the sets that stand behind each side of a meeting."""
-    sides = meetings.select("token", F.col("a").alias("label")).unionByName(meetings.select("token", F.col("b").alias("label"))).distinct()
-    members = grouped.join(sides, ["token", "label"], "left_semi").select("token", "label", "doc")
-    own = sides.join(labelled.filter("NOT grouped"), "label").select("token", "label", "doc")
-    both = members.unionByName(own).distinct()
-    return both.join(classes.select("doc", "n", words_of_sketch("sketch").alias("words")), "doc")
-
-
-def sides_joined(meetings: DataFrame, behind: DataFrame) -> DataFrame:
-    """Pairs of sets behind meetings that sizes and sketches leave possible, with the bits they differ in."""
-    side = lambda x: behind.select("token", F.col("label").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "words")])
-    differ = F.aggregate(F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (
-        meetings.select("token", "a", "b").join(side("a"), ["token", "a"]).join(side("b"), ["token", "b"])
-        .filter((100 * F.col("a_n") >= PERCENT * F.col("b_n")) & (100 * F.col("b_n") >= PERCENT * F.col("a_n")))
-        .withColumn("differ", differ)
-        .filter((100 + PERCENT) * F.col("differ") <= (100 - PERCENT) * (F.col("a_n") + F.col("b_n")))
-    )
+def members_behind(sides: DataFrame, grouped: DataFrame, labelled: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, label, doc, grouped, n, sketch): the sets that stand behind each of the distinct `sides` (token, label)
+    of meetings."""
+    members = grouped.join(sides, ["token", "label"], "left_semi").select("token", "label", "doc", F.lit(True).alias("grouped"))
+    own = sides.join(labelled.filter("NOT grouped"), "label").select("token", "label", "doc", "grouped")
+    return members.unionByName(own).distinct().join(classes.select("doc", "n", "sketch"), "doc")
 
 
 def first_pairs(meetings: DataFrame, behind: DataFrame) -> DataFrame:
-    """(a, b): for every two labels that meet, a pair of one set per side behind the meeting.
+    """(a, b): for every two labels of `meetings` (a row per pair), a pair of one set per side behind the meeting.
 
     Where it links, the two components are one and their other pairs need no comparison.
     """
-    one = behind.groupBy("token", "label").agg(F.min_by(F.struct("doc", "n", "words"), "doc").alias("x")).select("token", "label", "x.*")
-    pairs = sides_joined(meetings, one).groupBy("a", "b").agg(F.min_by(F.struct("a_doc", "b_doc"), "differ").alias("p"))
-    return pairs.select(F.least("p.a_doc", "p.b_doc").alias("a"), F.greatest("p.a_doc", "p.b_doc").alias("b"))
+    one = behind.groupBy("token", "label").agg(F.min_by(F.struct("doc", "n", "sketch"), "doc").alias("x")).select("token", "label", "x.*")
+    side = lambda x: one.select("token", F.col("label").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "sketch")])
+    pairs = (
+        meetings.select("token", "a", "b").join(side("a"), ["token", "a"]).join(side("b"), ["token", "b"])
+        .filter((100 * F.col("a_n") >= PERCENT * F.col("b_n")) & (100 * F.col("b_n") >= PERCENT * F.col("a_n")))
+        .filter((100 + PERCENT) * bits_apart("a_sketch", "b_sketch") <= (100 - PERCENT) * (F.col("a_n") + F.col("b_n")))
+    )
+    return pairs.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
 
 
-def member_pairs(docs: DataFrame, meetings: DataFrame, behind: DataFrame, near: DataFrame) -> DataFrame:
-    """(a, b) of documents behind meetings in which a group takes part, where the answer is open.
+def member_pairs(docs: DataFrame, behind: DataFrame, now: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b) of documents behind meetings in which a group takes part, of different components `now`, where the
+    answer is open.
 
     Sizes and sketches settle most. Then a member's answer follows from its pivot's: with `lost` shingles
     of the member outside the pivot, it shares at most what the pivot shares plus `lost`.
     """
-    open_ = stored(sides_joined(meetings, behind).select("a_doc", "b_doc", "a_n", "b_n").distinct(), "open-pairs")
+    entries = behind.join(now.withColumnRenamed("node", "doc"), "doc", "left").select(
+        "token", F.col("doc").alias("label"), F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).alias("pos"), "grouped", "sketch",
+        F.lit(0).alias("radius"), F.coalesce("component", "doc").alias("component"),
+    )
+    met = read_long(entries, closest=False, members=True).select(F.col("a").alias("a_doc"), F.col("b").alias("b_doc")).distinct()
+    size = lambda x: behind.select(F.col("doc").alias(f"{x}_doc"), F.col("n").alias(f"{x}_n")).distinct()
+    open_ = stored(met.join(size("a"), "a_doc").join(size("b"), "b_doc"), "open-pairs")
     larger = F.col("a") < F.col("b")
     pivot = near.groupBy(F.greatest("a", "b").alias("doc")).agg(
         F.max_by(F.struct(F.least("a", "b").alias("pivot"), F.when(larger, F.col("n_b")).otherwise(F.col("n_a")).alias("size"), "shared"), "shared").alias("p")

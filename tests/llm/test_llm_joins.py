@@ -149,6 +149,45 @@ def test_sketches_never_lose_a_link():
     assert links >= 20
 
 
+def test_pairs_leave_a_task_once(spark):
+    """Groups that meet in every list: before, a row for each pair and list."""
+    n, lists = 40, 60
+    rows = [(t, k, 50, 50, 0, True, bytes(jaccard.SKETCH_BITS // 8), 0, k) for t in range(1, lists + 1) for k in range(n)]
+    df = spark.createDataFrame(rows, "token long, label long, low int, high int, pos int, grouped boolean, sketch binary, radius int, component long")
+    out = [tuple(r) for r in jaccard.read_long(df, closest=False).collect()]
+    pairs = [(a, b) for a, b, _ in out if b is not None]
+    assert set(pairs) == {(a, b) for a in range(n) for b in range(a + 1, n)} and len(pairs) <= 3 * len(set(pairs))
+    assert {(t, a) for a, b, t in out if b is None} == {(r[0], r[1]) for r in rows} and len(out) - len(pairs) == len(rows)
+    alone = df.withColumn("grouped", F.col("label") < 1)
+    assert {(r["a"], r["b"]) for r in jaccard.read_long(alone, closest=False, members=True).collect()} == {(0, b) for b in range(1, n)}
+
+
+def test_members_sorted_by_component_lose_no_link():
+    random = np.random.default_rng(7)
+    entries = []
+    for component in range(12):
+        centre = random.integers(0, 1 << 63, 60, dtype=np.uint64)
+        other = np.concatenate([centre[:56], random.integers(0, 1 << 63, 4, dtype=np.uint64)])
+        for k in range(80):
+            own = (centre if k % 2 else other)[: random.integers(48, 61)]
+            entries.append((2 * component + k % 2, np.unique(own)))
+    entries.sort(key=lambda e: e[0])
+    n = np.array([len(e[1]) for e in entries], np.int32)
+    component = np.array([e[0] for e in entries])
+    sketches = np.stack([np.frombuffer(jaccard.sketch(e[1]), np.uint64) for e in entries])
+    zeros = np.zeros(len(n), np.int64)
+    got = set()
+    for i, j, _ in jaccard.list_pairs(zeros, component, n, n, zeros, sketches, zeros):
+        got |= {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
+    wanted = 0
+    for i in range(len(n)):
+        for j in range(i + 1, len(n)):
+            if component[i] != component[j] and jaccard.links(len(np.intersect1d(entries[i][1], entries[j][1])), n[i], n[j]):
+                wanted += 1
+                assert (i, j) in got
+    assert wanted > 100
+
+
 def test_one_of_each(spark):
     rows = [r for r in near_copies(4) if r[0] != 77]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
