@@ -51,6 +51,8 @@ CHUNK = 1 << 12
 BLOCK = 64
 SHORT = 8
 SKETCH_BITS = 1024
+#: Tokens by which members of components tell whether they met in an earlier list.
+EARLIEST = 8
 #: Rows of ids and small numbers up to which a table is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 SALT_ROWS = 128
@@ -369,16 +371,18 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
     `closest`, only the one of least distance for each entry of a list.
 
     Without `closest`, also (label, null, token) for every entry that meets one where a group takes part. With
-    `members`, entries are members of components; then only pairs in which a group takes part are told.
+    `members`, entries are members of components, alike in all lists but for the token; then only pairs in which a
+    group takes part are told, in the first list that both have among their EARLIEST, else in each.
     """
+    earliest = tuple(f"e{k}" for k in range(EARLIEST)) if members else ()
     words = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U64).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in (*ENTRY, "grouped", "radius", "component")), *(pa.array(raw[:, k]) for k in range(raw.shape[1]))],
-                names=[*ENTRY, "grouped", "radius", "component", *words],
+                [*(batch.column(c) for c in (*ENTRY, "grouped", "radius", "component", *earliest)), *(pa.array(raw[:, k]) for k in range(raw.shape[1]))],
+                names=[*ENTRY, "grouped", "radius", "component", *earliest, *words],
             )
 
     def told(rows: np.ndarray) -> pa.RecordBatch:
@@ -387,7 +391,7 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         held = 0
-        for lists in whole_lists(sketched(batches), (*ENTRY, "grouped", "radius", "component", *words)):
+        for lists in whole_lists(sketched(batches), (*ENTRY, "grouped", "radius", "component", *earliest, *words)):
             sketches = np.stack([lists[w] for w in words], axis=1)
             grouped = lists["grouped"].astype(bool)
             least = np.full(len(grouped), np.iinfo(np.int64).max)
@@ -406,6 +410,11 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
                 met[i[of_group]] = met[j[of_group]] = True
                 if members:
                     i, j = i[of_group], j[of_group]
+                    before = np.zeros(len(i), dtype=bool)
+                    for x in earliest:
+                        mine = lists[x][i]
+                        before |= (mine < lists["token"][i]) & np.any([mine == lists[y][j] for y in earliest], axis=0)
+                    i, j = i[~before], j[~before]
                 parts.append(np.stack(pairs_of(lists, i, j), axis=1))
                 held += len(i)
                 if held > 1 << 18:
@@ -429,7 +438,13 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
             yield told(least_tokens(parts))
 
     order = ("component", "low", "label") if members else ("low", "high", "pos", "label")
-    return dealt(entries.select(*ENTRY, "grouped", "sketch", "radius", "component"), order).mapInArrow(read, "a long, b long, token long")
+    if members:
+        tokens = F.slice(F.array_sort(F.collect_set("token")), 1, EARLIEST)
+        own = entries.groupBy("label").agg(tokens.alias("own"))
+        # Where there are fewer, the last one stands again.
+        own = own.select("label", *[F.element_at("own", F.least(F.lit(k + 1), F.size("own"))).alias(x) for k, x in enumerate(earliest)])
+        entries = entries.join(own, "label")
+    return dealt(entries.select(*ENTRY, "grouped", "sketch", "radius", "component", *earliest), order).mapInArrow(read, "a long, b long, token long")
 
 
 def bits_apart(x: str, y: str):
