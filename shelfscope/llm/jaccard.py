@@ -11,8 +11,8 @@ and index lists are read with set relations:
   bits, so most pairs end there and never leave the task. A component has the sketch of one member and
   the largest distance of the others from it, which the triangle inequality takes off. Long lists are
   read twice: first each set meets only the closest one of a list, which joins what pivots have not; then
-  all pairs that this left apart are read. A pair leaves a task once, however many lists it meets in; which
-  entries met a group is told entry by entry, so rows grow with the entries;
+  all pairs that this left apart are read. A pair is told in the longest list that it meets in, not in each, and
+  leaves a task once; which entries met a group is told entry by entry, so rows grow with the entries;
 - answer level: classes of one component need no comparison. Two components that meet are first told apart by
   sketches and distances, then asked by one pair of members per meeting. What a member of a group shares with another set follows
   from what its pivot shares, up to the few shingles in which member and pivot differ; only members for
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.llm.components import components
@@ -51,7 +51,7 @@ CHUNK = 1 << 12
 BLOCK = 64
 SHORT = 8
 SKETCH_BITS = 1024
-#: Tokens by which members of components tell whether they met in an earlier list.
+#: Long lists, the longest first, by which two entries tell whether they met in an earlier one.
 EARLIEST = 8
 #: Rows of ids and small numbers up to which a table is broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -239,12 +239,14 @@ def prefixes(texts: DataFrame, order: np.ndarray) -> DataFrame:
 
 def may_link(n_low, n_high, pos, m_low, m_high, pos_m) -> np.ndarray:
     """Whether sets of sizes n_low..n_high and m_low..m_high that share a token may link: by size, and, where
-    an entry stands for one set, by what can be shared before and after the token's positions."""
+    an entry stands for one set (its position is not negative), by what can be shared before and after the token's
+    positions."""
     n_low, n_high, m_low, m_high = (np.asarray(x, dtype=np.int64) for x in (n_low, n_high, m_low, m_high))
     pos, pos_m = np.asarray(pos, dtype=np.int64), np.asarray(pos_m, dtype=np.int64)
     sizes = (100 * m_high >= PERCENT * n_low) & (100 * n_high >= PERCENT * m_low)
     around = np.minimum(pos, pos_m) + np.minimum(n_high - pos, m_high - pos_m)
-    most = np.where((n_low == n_high) & (m_low == m_high), around, np.minimum(n_high, m_high))
+    one = (n_low == n_high) & (m_low == m_high) & (pos >= 0) & (pos_m >= 0)
+    most = np.where(one, around, np.minimum(n_high, m_high))
     return sizes & ((100 + PERCENT) * most >= PERCENT * (n_low + m_low))
 
 
@@ -370,11 +372,12 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
     are of different components, with the least token that a task saw (0: no group takes part); with
     `closest`, only the one of least distance for each entry of a list.
 
-    Without `closest`, also (label, null, token) for every entry that meets one where a group takes part. With
-    `members`, entries are members of components, alike in all lists but for the token; then only pairs in which a
-    group takes part are told, in the first list that both have among their EARLIEST, else in each.
+    Without `closest`, a pair is told in the first list that both have among their EARLIEST, else in each, for the
+    entries of a label are alike in all lists but for the token (and the position of a single set, where no link
+    fails in any list); and (label, null, token) for every entry that meets one where a group takes part. With
+    `members`, entries are members of components; then only pairs in which a group takes part are told.
     """
-    earliest = tuple(f"e{k}" for k in range(EARLIEST)) if members else ()
+    earliest = () if closest else tuple(f"e{k}" for k in range(EARLIEST))
     words = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,11 +413,12 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
                 met[i[of_group]] = met[j[of_group]] = True
                 if members:
                     i, j = i[of_group], j[of_group]
-                    before = np.zeros(len(i), dtype=bool)
-                    for x in earliest:
-                        mine = lists[x][i]
-                        before |= (mine < lists["token"][i]) & np.any([mine == lists[y][j] for y in earliest], axis=0)
-                    i, j = i[~before], j[~before]
+                before, ahead = np.zeros(len(i), dtype=bool), np.ones(len(i), dtype=bool)
+                for x in earliest:
+                    mine = lists[x][i]
+                    ahead &= mine != lists["token"][i]
+                    before |= ahead & np.any([mine == lists[y][j] for y in earliest], axis=0)
+                i, j = i[~before], j[~before]
                 parts.append(np.stack(pairs_of(lists, i, j), axis=1))
                 held += len(i)
                 if held > 1 << 18:
@@ -438,27 +442,33 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
             yield told(least_tokens(parts))
 
     order = ("component", "low", "label") if members else ("low", "high", "pos", "label")
-    if members:
-        tokens = F.slice(F.array_sort(F.collect_set("token")), 1, EARLIEST)
-        own = entries.groupBy("label").agg(tokens.alias("own"))
-        # Where there are fewer, the last one stands again.
-        own = own.select("label", *[F.element_at("own", F.least(F.lit(k + 1), F.size("own"))).alias(x) for k, x in enumerate(earliest)])
-        entries = entries.join(own, "label")
+    if not closest:
+        entries = entries.join(earliest_lists(entries, earliest), "label")
     return dealt(entries.select(*ENTRY, "grouped", "sketch", "radius", "component", *earliest), order).mapInArrow(read, "a long, b long, token long")
 
 
+def earliest_lists(entries: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(label, *names): the longest lists of every label, of equal ones the least token first. Entries of many lists
+    have these in common sooner than any other; where there are fewer, the last one stands again."""
+    lengths = entries.groupBy("token").agg(F.count("*").alias("length"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("length"), "token"))
+    first = entries.select("label", "token").distinct().join(lengths, "token").withColumn("place", place).filter(F.col("place") <= len(names))
+    own = first.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("own"))
+    return own.select("label", *[F.element_at("own", F.least(F.lit(k + 1), F.size("own")))["token"].alias(x) for k, x in enumerate(names)])
+
+
 def bits_apart(x: str, y: str):
     return F.aggregate(F.zip_with(words_of_sketch(x), words_of_sketch(y), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def centres(labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """(label, sketch, radius, n) of components (node, component): the sketch of the set that names one, the most
-    bits in which a member's differs from it, and the size of the largest member."""
+    """(label, sketch, radius, least_n, n) of components (node, component): the sketch of the set that names one, the
+    most bits in which a member's differs from it, and the sizes of the smallest and the largest member."""
     member = classes.select(F.col("doc").alias("node"), F.col("sketch").alias("own"), "n")
     centre = classes.select(F.col("doc").alias("component"), "sketch")
     rows = labels.join(member, "node").join(centre, "component").withColumn("differ", bits_apart("own", "sketch"))
     return rows.groupBy(F.col("component").alias("label")).agg(
-        F.first("sketch").alias("sketch"), F.max("differ").cast("int").alias("radius"), F.max("n").alias("n")
+        F.first("sketch").alias("sketch"), F.max("differ").cast("int").alias("radius"), F.min("n").alias("least_n"), F.max("n").alias("n")
     )
 
 
@@ -475,9 +485,9 @@ def words_of_sketch(column: str):
 
 
 def merged(grouped: DataFrame) -> DataFrame:
-    """The entries of components out of those of their members (token, label, doc, n, pos)."""
-    entries = grouped.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
-    return entries.select("token", "label", "low", "high", "pos", F.lit(True).alias("grouped"))
+    """The entries of components out of those of their members (token, label, doc, n, pos), without a position."""
+    entries = grouped.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return entries.select("token", "label", "low", "high", F.lit(-1).alias("pos"), F.lit(True).alias("grouped"))
 
 
 def pairs_of(lists: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -525,19 +535,21 @@ def classified(docs: DataFrame) -> DataFrame:
 
     # Long lists, first the closest pairs, which join what pivots have not.
     shapes = stored(
-        labelled.filter("NOT grouped").select("label").join(classes.withColumnRenamed("doc", "label"), "label").select("label", "sketch", F.lit(0).alias("radius"), "n")
+        labelled.filter("NOT grouped").select("label").join(classes.withColumnRenamed("doc", "label"), "label").select("label", "sketch", F.lit(0).alias("radius"), F.col("n").alias("least_n"), "n")
         .unionByName(centres(labels, classes)), "shapes",
     )
-    long = lists.filter("a IS NULL").select(*ENTRY, "grouped").join(shapes.select("label", "sketch", "radius"), "label")
+    # The sizes are those of all members of a label, so that its entries are alike in all lists.
+    shape = shapes.select("label", "sketch", "radius", F.col("least_n").cast("int").alias("low"), F.col("n").cast("int").alias("high"))
+    long = lists.filter("a IS NULL").select("token", "label", "pos", "grouped").join(shape, "label")
     closest = read_long(long.filter("NOT grouped").withColumn("component", F.col("label")), closest=True)
     joined = stored(components(compared(docs, closest.select("a", "b").distinct()).filter(linked())), "joined")
     long = long.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
     met = stored(lists.filter("a IS NOT NULL").select("a", "b", "token").unionByName(read_long(long, closest=False)), "met")
-    removed(lists)
     meetings = stored(met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("token").alias("token")), "meetings")
-    sides = met.filter("token <> 0").select("token", F.explode(F.array("a", "b")).alias("label")).filter("label IS NOT NULL")
-    sides = stored(sides.distinct(), "sides")
-    removed(met)
+    # Of long lists every entry that met is told by itself.
+    ends = lists.filter("a IS NOT NULL AND token <> 0").select("token", F.explode(F.array("a", "b")).alias("label"))
+    sides = stored(ends.unionByName(met.filter("b IS NULL").select("token", F.col("a").alias("label"))).distinct(), "sides")
+    removed(met, lists)
 
     alone = meetings.filter("token = 0").select("a", "b")
     of_groups = meetings.filter("token <> 0")

@@ -162,6 +162,30 @@ def test_pairs_leave_a_task_once(spark):
     assert sorted((r["a"], r["b"]) for r in jaccard.read_long(alone, closest=False, members=True).collect()) == [(0, b) for b in range(1, n)]
 
 
+def test_pairs_of_many_tasks_are_told_in_one_list(spark):
+    """Every list in a task of its own: before, a row for each pair and task."""
+    n, lists = 30, 40
+    rows = [(t, k, 50, 50, -1 if k % 2 else 0, k % 2 == 1, bytes(jaccard.SKETCH_BITS // 8), 0, k) for t in range(1, lists + 1) for k in range(n) if t == 7 or (t + k) % 3]
+    df = spark.createDataFrame(rows, "token long, label long, low int, high int, pos int, grouped boolean, sketch binary, radius int, component long")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = [tuple(r) for r in jaccard.read_long(df, closest=False).collect()]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    pairs = [(a, b) for a, b, _ in out if b is not None]
+    assert sorted(pairs) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    assert {t for _, b, t in out if b is not None} == {0, 7}
+    assert {(t, a) for a, b, t in out if b is None} == {(r[0], r[1]) for r in rows}
+
+
+def test_entries_of_several_sets_have_no_position():
+    """Sets of 50 at positions 0 and 5 in one entry: the one at 5 may share 47 with a set at position 8, not 42."""
+    assert jaccard.may_link(50, 50, -1, 50, 50, 8) and not jaccard.may_link(50, 50, 0, 50, 50, 8)
+
+
 def test_members_sorted_by_component_lose_no_link():
     random = np.random.default_rng(7)
     entries = []
