@@ -1,12 +1,13 @@
-"""Lexicons of thousands of entries, held as a table: keywords found by anchors instead of one by one.
+"""Lexicons of thousands of entries, held as a table: keywords found together instead of one by one.
 
 `sentiment.score_sentiment` searches every keyword in every text, so its work grows with the lexicon. Here
-each keyword stands under its anchor, the rarest of its q-grams among all keywords (a shorter keyword
-under itself). The distinct q-grams of a text are joined to the anchors, and only keywords under an anchor
-that the text holds are searched in it. Work per text follows its own length and its candidates, not the
-lexicon. The operator is chosen by the caller; both give the same rows.
+a lexicon of up to WALKED entries is found by one walk over the text, whose hits are looked up by number;
+nothing is shuffled. In a larger one each keyword stands under its anchor, the rarest of its q-grams among all
+keywords (a shorter keyword under itself). The distinct q-grams of a text are joined to the anchors, and only
+keywords under an anchor that the text holds are searched in it. Work per text follows its own length and
+its candidates, not the lexicon. The operator is chosen by the caller; all give the same rows.
 
-Only keys and grams are shuffled by the join (or nothing, where the optimizer broadcasts the anchors);
+Only keys and grams are shuffled by that join (or nothing, where the optimizer broadcasts the anchors);
 texts move once, to meet their candidates.
 """
 
@@ -14,12 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscope.functions.matching import computed_once, keyword_hits, quoted
+from shelfscope.lexicon import unique
 from shelfscope.session import stored
 
 Q = 4
+#: Entries up to which a lexicon is one expression.
+WALKED = 10_000
 ENTRY = "struct<lexicon:string,cat_ord:int,kw_ord:int,category:string,keyword:string>"
 
 
@@ -29,11 +37,54 @@ def grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
-def anchors(lexicon: DataFrame, q: int = Q) -> DataFrame:
-    """(gram, size, entries) of a lexicon table (lexicon, category, cat_ord, keyword, kw_ord)."""
-    entries = lexicon.filter(F.length("keyword") > 0).select(
+def entries_of(lexicon: DataFrame) -> DataFrame:
+    """(word, entry) of a lexicon table (lexicon, category, cat_ord, keyword, kw_ord)."""
+    return lexicon.filter(F.length("keyword") > 0).select(
         F.col("keyword").alias("word"), F.struct("lexicon", F.col("cat_ord").cast("int").alias("cat_ord"), F.col("kw_ord").cast("int").alias("kw_ord"), "category", "keyword").alias("entry")
     )
+
+
+def numbers(hits: Column, words: Sequence[str]) -> Column:
+    """The sorted numbers of the entries (of which `words` are the keywords) behind the hits of a row, once each: a
+    hit stands for the keywords it starts with."""
+    own: dict[str, list[int]] = {}
+    for i, word in enumerate(words):
+        own.setdefault(word, []).append(i)
+    known = list(own)
+    behind = [[i for end in range(1, len(word) + 1) for i in own.get(word[:end], ())] for word in known]
+    flat, size = np.array([i for x in behind for i in x], np.int64), max(1, len(words))
+    each = np.array([len(x) for x in behind], np.int64)
+    first = np.cumsum(each) - each
+
+    @F.arrow_udf("array<int>")
+    def looked_up(hits: pa.Array) -> pa.Array:
+        lengths = np.asarray(pc.fill_null(hits.value_lengths(), 0))
+        values = hits.flatten()
+        which = np.asarray(pc.index_in(values, pa.array(known, values.type)))
+        n = each[which]
+        places = flat[np.arange(n.sum()) + np.repeat(first[which] - (np.cumsum(n) - n), n)]
+        rows = np.repeat(np.repeat(np.arange(len(hits)), lengths), n)
+        found = np.unique(rows * size + places)
+        ends = np.searchsorted(found, np.arange(len(hits) + 1) * size)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found % size, pa.int32()))
+
+    return looked_up(hits)
+
+
+def walked(reviews: DataFrame, entries: Sequence, name: str) -> DataFrame:
+    """`reviews` plus the given entries, sorted, whose keyword stands in the text, by one walk over it."""
+    words = [e["keyword"] for e in entries]
+    rows = computed_once(reviews, _hits=F.array_distinct(keyword_hits(F.col("text"), unique(words))))
+    literal = lambda x: "NULL" if x is None else quoted(x) if isinstance(x, str) else str(x)
+    listed = ", ".join(f"struct({', '.join(map(literal, e))})" for e in entries)
+    known = F.expr(f"cast(array({listed}) AS array<{ENTRY}>)")
+    found = rows.withColumn("_numbers", numbers(F.col("_hits"), words))
+    return found.withColumn(name, F.transform("_numbers", lambda i: known[i])).drop("_hits", "_numbers")
+
+
+def anchors(lexicon: DataFrame, q: int = Q) -> DataFrame:
+    """(gram, size, entries) of a lexicon table (lexicon, category, cat_ord, keyword, kw_ord)."""
+    entries = entries_of(lexicon)
     words = entries.groupBy("word").agg(F.collect_set("entry").alias("entries"))
     size = F.least(F.length("word"), F.lit(q))
     cut = words.withColumn("size", size).withColumn(
@@ -44,12 +95,15 @@ def anchors(lexicon: DataFrame, q: int = Q) -> DataFrame:
     return rarest.groupBy(F.col("rarest.gram").alias("gram"), "size").agg(F.flatten(F.collect_list("entries")).alias("entries"))
 
 
-def with_entries(reviews: DataFrame, lexicon: DataFrame, key: Sequence[str], q: int = Q, name: str = "_entries") -> DataFrame:
+def with_entries(reviews: DataFrame, lexicon: DataFrame, key: Sequence[str], q: int = Q, name: str = "_entries", most_walked: int = WALKED) -> DataFrame:
     """`reviews` plus all lexicon entries whose keyword stands in the text, in lexicon order.
 
-    `key` names the columns that tell rows apart; rows of one key share candidates, not results. Writes
-    the anchors when called.
+    `key` names the columns that tell rows apart; rows of one key share candidates, not results. Reads the
+    lexicon when called: up to `most_walked` entries to the driver; of more, the anchors are written.
     """
+    listed = [r["entry"] for r in entries_of(lexicon).select("entry").distinct().orderBy("entry").limit(most_walked + 1).collect()]
+    if len(listed) <= most_walked:
+        return walked(reviews, listed, name)
     index = stored(anchors(lexicon, q), "anchors")
     sizes = [r["size"] for r in index.select("size").distinct().orderBy("size").collect()]  # 1 to q
     own = F.struct(*key)
@@ -58,15 +112,18 @@ def with_entries(reviews: DataFrame, lexicon: DataFrame, key: Sequence[str], q:
     joined = reviews.withColumn("_key", own).join(found.withColumnRenamed("_key", "_found"), F.col("_key").eqNullSafe(F.col("_found")), "left")
     none = F.array().cast(f"array<{ENTRY}>")
     hits = F.filter(F.coalesce("_candidates", none), lambda e: F.contains(F.coalesce("text", F.lit("")), e["keyword"]))
-    return joined.withColumn(name, F.array_sort(F.array_distinct(hits))).drop("_key", "_found", "_candidates")
+    # Neighbours are compared: array_distinct compares every two structs.
+    sorted_ = joined.withColumn("_sorted", F.sort_array(hits))
+    once = F.filter("_sorted", lambda e, i: (i == 0) | (e != F.col("_sorted")[F.greatest(i - 1, F.lit(0))]))
+    return sorted_.withColumn(name, once).drop("_key", "_found", "_candidates", "_sorted")
 
 
 def score_large_lexicon(
     reviews: DataFrame, lexicon: DataFrame, key: Sequence[str], max_reasons: int | None = 3, q: int = Q,
-    positive: str = "positive", negative: str = "negative",
+    positive: str = "positive", negative: str = "negative", most_walked: int = WALKED,
 ) -> DataFrame:
     """As `sentiment.score_sentiment`, with a lexicon table that holds both sides under their names."""
-    rows = with_entries(reviews, lexicon, key, q)
+    rows = with_entries(reviews, lexicon, key, q, most_walked=most_walked)
 
     def side(which: str) -> Column:
         mine = F.filter("_entries", lambda e: e["lexicon"] == which)

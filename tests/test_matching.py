@@ -94,6 +94,25 @@ def test_large_lexicon_equals_the_search_of_every_keyword(spark):
     assert score_large_lexicon(reviews, table.limit(0), ["id"]).filter("sentiment <> 'neutral'").count() == 0
 
 
+def test_large_lexicon_is_one_walk_without_moving_texts_until_it_is_too_large(spark):
+    from shelfscope.operators.large_lexicon import score_large_lexicon
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("abé-]^'\\\n\U0001F600", k=rng.randrange(1, 6))) for _ in range(300)})
+    entries_ = [(side, c, i, k, j) for j, k in enumerate(words) for i, (c, side) in enumerate([("x", "positive"), ("y", "negative"), ("z", "positive")]) if (j + i) % 3]
+    entries_ += [("positive", None, None, "ab", None), ("positive", "x", 0, "", 0), ("positive", "x", 0, None, 0)] + entries_[:3]
+    table = spark.createDataFrame(entries_, "lexicon string, category string, cat_ord int, keyword string, kw_ord int")
+    texts = ["".join(rng.choices("abé-]^'\\\n\U0001F600 ", k=rng.randrange(60))) for _ in range(60)] + [None, ""]
+    reviews = spark.createDataFrame([(i % 55, t) for i, t in enumerate(texts)], "id int, text string")
+    walk, join = (score_large_lexicon(reviews, table, ["id"], max_reasons=None, most_walked=most) for most in (len(entries_), 20))
+    show = lambda df: sorted(map(str, df.select("id", "text", "sentiment", "positive_score", "negative_score", "positive_reasons", "negative_reasons").collect()))
+    assert show(walk) == show(join)
+    held = sum(len({e for e in entries_ if e[3] and e[3] in (t or "")}) for t in texts)
+    assert held == sum(r.positive_score + r.negative_score for r in walk.collect()) > 500
+    plan = walk._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+
+
 def test_many_keywords_are_found_by_one_walk_whose_entries_follow_the_hits(spark):
     words = [a + b + c for a in "ab" for b in "cdefg" for c in ("", "a", "hb", "é", "a-", "]", "^x", "dda", "e", "ff")]
     lexicon = Lexicon.of({"one": words[::2], "two": words[1::2], "both": words[:9]})
