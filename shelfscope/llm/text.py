@@ -15,7 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 STEP = U64(0x9E3779B97F4A7C15)
 STEP_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-PIECE = 1 << 20
+#: Bytes whose hashes are added up at a time; a task holds some 32 bytes for each.
+PIECE = 1 << 16
 SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -122,7 +123,7 @@ def shingles_of(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a record batch with at most `most` bytes of text, a longer text alone."""
     if not batch.num_rows:
         return
