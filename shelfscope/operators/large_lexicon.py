@@ -13,11 +13,9 @@ texts move once, to meet their candidates.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,31 +42,23 @@ def entries_of(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def numbers(hits: Column, words: Sequence[str]) -> Column:
+def numbers(hits: str, words: Sequence[str]) -> Column:
     """The sorted numbers of the entries (of which `words` are the keywords) behind the hits of a row, once each: a
-    hit stands for the keywords it starts with."""
+    hit stands for the keywords it starts with. Hits are looked up in a literal table by their CRC-32, as a
+    literal map is searched key by key."""
     own: dict[str, list[int]] = {}
     for i, word in enumerate(words):
         own.setdefault(word, []).append(i)
-    known = list(own)
-    behind = [[i for end in range(1, len(word) + 1) for i in own.get(word[:end], ())] for word in known]
-    flat, size = np.array([i for x in behind for i in x], np.int64), max(1, len(words))
-    each = np.array([len(x) for x in behind], np.int64)
-    first = np.cumsum(each) - each
-
-    @F.arrow_udf("array<int>")
-    def looked_up(hits: pa.Array) -> pa.Array:
-        lengths = np.asarray(pc.fill_null(hits.value_lengths(), 0))
-        values = hits.flatten()
-        which = np.asarray(pc.index_in(values, pa.array(known, values.type)))
-        n = each[which]
-        places = flat[np.arange(n.sum()) + np.repeat(first[which] - (np.cumsum(n) - n), n)]
-        rows = np.repeat(np.repeat(np.arange(len(hits)), lengths), n)
-        found = np.unique(rows * size + places)
-        ends = np.searchsorted(found, np.arange(len(hits) + 1) * size)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found % size, pa.int32()))
-
-    return looked_up(hits)
+    if not own:
+        return F.array().cast("array<int>")
+    slots: list[list[str]] = [[] for _ in own]
+    for word in own:
+        behind = [str(i) for end in range(1, len(word) + 1) for i in own.get(word[:end], ())]
+        slots[zlib.crc32(word.encode()) % len(own)].append(f"struct({quoted(word)}, array({', '.join(behind)}))")
+    table = ", ".join(f"array({', '.join(slot)})" if slot else "NULL" for slot in slots)
+    known = f"cast(array({table}) AS array<array<struct<word:string,own:array<int>>>>)"
+    one = f"flatten(transform(filter({known}[cast(crc32(h) % {len(own)} AS int)], e -> e.word = h), e -> e.own))"
+    return F.expr(f"sort_array(array_distinct(flatten(transform({hits}, h -> {one}))))")
 
 
 def walked(reviews: DataFrame, entries: Sequence, name: str) -> DataFrame:
@@ -78,7 +68,7 @@ def walked(reviews: DataFrame, entries: Sequence, name: str) -> DataFrame:
     literal = lambda x: "NULL" if x is None else quoted(x) if isinstance(x, str) else str(x)
     listed = ", ".join(f"struct({', '.join(map(literal, e))})" for e in entries)
     known = F.expr(f"cast(array({listed}) AS array<{ENTRY}>)")
-    found = rows.withColumn("_numbers", numbers(F.col("_hits"), words))
+    found = rows.withColumn("_numbers", numbers("_hits", words))
     return found.withColumn(name, F.transform("_numbers", lambda i: known[i])).drop("_hits", "_numbers")
 
 
