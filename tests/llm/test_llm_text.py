@@ -1,9 +1,11 @@
 """Byte hashing helpers, token files, language, perplexity rules and toxicity against plain Python."""
 
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,31 @@ def test_token_files_round_trip(spark):
     assert token_files.read_token_files(spark, token_files.write_token_files(df.limit(0), path, 2)).count() == 0
 
 
+def test_letters_go_straight_to_the_model(monkeypatch, tmp_path):
+    """Before, every new word went through all steps of the tokenizer, most of the time of a task."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    letters = [f"Word{a}{b}nes" for a in "abcXYZ" for b in "defghi"]
+    odd = ["dog's", "'s", "it's,", "a<|endoftext|>", "<|endoftext|>,", "abc<|", "e\u0301t", "\u212aelvin", "\u0130x", "a1b", "...", "x" * 65, "caf\u00e9.", "a.b", "a.\u0301"]
+    texts = [" ".join([*letters, *(x + t for x in letters for t in (".", ",***", "\"", "&%$)"))]), " ".join(odd), None, "\tI'll\n(we) ZEBRA!"]
+    encoder, whole = token_files.WordEncoder(path, "<u2"), token_files.TextEncoder(path, "<u2")
+    sent = []
+    monkeypatch.setattr(encoder, "ids", lambda t, ids=encoder.ids: sent.append(t) or ids(t))
+    for part in (texts[:1], texts):
+        column = pa.array(part, pa.string())
+        for got, wanted in zip(encoder.encode(column), whole.encode(column), strict=True):
+            assert got.tolist() == wanted.tolist()
+        if len(part) == 1:
+            assert sorted(sent) == sorted([".", ",***", "\"", "&%$)"])
+    other = json.loads(Path(path).read_text())
+    other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]
+    (tmp_path / "cased.json").write_text(json.dumps(other))
+    cased = token_files.WordEncoder(str(tmp_path / "cased.json"), "<u2")
+    column = pa.array(texts, pa.string())
+    assert not cased.by_runs and encoder.by_runs
+    assert cased.encode(column)[0].tolist() == token_files.TextEncoder(str(tmp_path / "cased.json"), "<u2").encode(column)[0].tolist()
+
+
 def test_word_encoder_forgets_and_agrees(monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(token_files.WordEncoder, "REMEMBERED", 20)
