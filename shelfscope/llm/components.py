@@ -9,15 +9,16 @@ from shelfscope.llm.storage import removed, stored
 
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Every node's neighbours move to the smallest of them: the larger ones, or the smaller ones and itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    )
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("least"))
-    moved = both.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"), F.col("a").alias("centre"))
+    """Every node's neighbours move to the smallest of them: the larger ones, or the smaller ones and itself.
+
+    `edges` (a, b) have a > b."""
     if large:
-        return moved.filter(F.col("a") > F.col("centre")).select("a", "b").filter("a <> b")
-    return moved.select("a", "b").unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("least")).withColumnRenamed("a", "b")
+        return edges.join(least, "b").select("a", F.col("least").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return moved.unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
 
 
 def settled(edges: DataFrame) -> bool:
@@ -32,13 +33,15 @@ def settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b): the smallest node that it reaches.
 
-    Each round is one large and one small star, written to the shared folder, until the edges are stars
-    with the smallest node in the middle. A node of very many edges meets one row in each join, so adaptive
-    execution can split it; minima are pre-aggregated.
+    Each round is one large and one small star, each written to the shared folder (in one plan the first would stand
+    there for every use in the second, and the driver holds every plan), until the edges are stars with the smallest
+    node in the middle. A node of very many edges meets one row in each join, so adaptive execution can split it;
+    minima are pre-aggregated.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while not settled(edges):
-        before, edges = edges, stored(stars(stars(edges, True), False), "edges")
-        removed(before)
+        for large in (True, False):
+            before, edges = edges, stored(stars(edges, large), "edges")
+            removed(before)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -367,7 +367,7 @@ def read_lists(entries: DataFrame) -> DataFrame:
     return stored(dealt(entries.select(*ENTRY, "grouped")).mapInArrow(read, schema), "lists")
 
 
-def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataFrame:
+def read_long(entries: DataFrame, closest: bool, members: bool = False, narrow: DataFrame | None = None) -> DataFrame:
     """(a, b, token) of labels in lists of `entries` (with sketch, radius and component) that may link and
     are of different components, with the least token that a task saw (0: no group takes part); with
     `closest`, only the one of least distance for each entry of a list.
@@ -375,7 +375,8 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
     Without `closest`, a pair is told in the first list that both have among their EARLIEST, else in each, for the
     entries of a label are alike in all lists but for the token (and the position of a single set, where no link
     fails in any list); and (label, null, token) for every entry that meets one where a group takes part. With
-    `members`, entries are members of components; then only pairs in which a group takes part are told.
+    `members`, entries are members of components; then only pairs in which a group takes part are told. `narrow` is
+    a table of the same (token, label) where `entries` are joined ones, which would be computed again.
     """
     earliest = () if closest else tuple(f"e{k}" for k in range(EARLIEST))
     words = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
@@ -443,7 +444,7 @@ def read_long(entries: DataFrame, closest: bool, members: bool = False) -> DataF
 
     order = ("component", "low", "label") if members else ("low", "high", "pos", "label")
     if not closest:
-        entries = entries.join(earliest_lists(entries, earliest), "label")
+        entries = entries.join(stored(earliest_lists(entries if narrow is None else narrow, earliest), "earliest"), "label")
     return dealt(entries.select(*ENTRY, "grouped", "sketch", "radius", "component", *earliest), order).mapInArrow(read, "a long, b long, token long")
 
 
@@ -540,11 +541,12 @@ def classified(docs: DataFrame) -> DataFrame:
     )
     # The sizes are those of all members of a label, so that its entries are alike in all lists.
     shape = shapes.select("label", "sketch", "radius", F.col("least_n").cast("int").alias("low"), F.col("n").cast("int").alias("high"))
-    long = lists.filter("a IS NULL").select("token", "label", "pos", "grouped").join(shape, "label")
+    narrow = lists.filter("a IS NULL").select("token", "label", "pos", "grouped")
+    long = narrow.join(shape, "label")
     closest = read_long(long.filter("NOT grouped").withColumn("component", F.col("label")), closest=True)
     joined = stored(components(compared(docs, closest.select("a", "b").distinct()).filter(linked())), "joined")
     long = long.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
-    met = stored(lists.filter("a IS NOT NULL").select("a", "b", "token").unionByName(read_long(long, closest=False)), "met")
+    met = stored(lists.filter("a IS NOT NULL").select("a", "b", "token").unionByName(read_long(long, closest=False, narrow=narrow)), "met")
     meetings = stored(met.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min("token").alias("token")), "meetings")
     # Of long lists every entry that met is told by itself.
     ends = lists.filter("a IS NOT NULL AND token <> 0").select("token", F.explode(F.array("a", "b")).alias("label"))
@@ -554,7 +556,8 @@ def classified(docs: DataFrame) -> DataFrame:
     alone = meetings.filter("token = 0").select("a", "b")
     of_groups = meetings.filter("token <> 0")
     of_groups = stored(of_groups.join(near_shapes(of_groups.select("a", "b"), shapes), ["a", "b"], "left_semi"), "group-meetings")
-    behind = members_behind(of_groups.select("token", F.explode(F.array("a", "b")).alias("label")).distinct(), grouped, labelled, classes)
+    behind = sets_behind(of_groups.select("token", F.explode(F.array("a", "b")).alias("label")).distinct(), grouped, labelled)
+    behind = behind.join(classes.select("doc", "n", "sketch"), "doc")
     first = compared(docs, alone.unionByName(first_pairs(of_groups, behind)).distinct()).filter(linked())
     removed(meetings, shapes)
     known = labels.unionByName(joined).select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -562,9 +565,9 @@ def classified(docs: DataFrame) -> DataFrame:
     at = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"{x}_now"))
     apart = of_groups.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
     apart = stored(apart.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "apart")
-    members = members_behind(sides.join(apart, "label", "left_semi").select("token", "label"), grouped, labelled, classes)
-    more = compared(docs, member_pairs(docs, members, now, near)).filter(linked())
-    removed(apart, grouped, of_groups, sides)
+    members = stored(sets_behind(sides.join(apart, "label", "left_semi").select("token", "label"), grouped, labelled), "members")
+    more = compared(docs, member_pairs(docs, members, classes, now, near)).filter(linked())
+    removed(apart, grouped, of_groups, sides, members)
     final = components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
 
     by_class = (
@@ -604,12 +607,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return alone.unionByName(once).select(*docs.columns)
 
 
-def members_behind(sides: DataFrame, grouped: DataFrame, labelled: DataFrame, classes: DataFrame) -> DataFrame:
-    """(token, label, doc, grouped, n, sketch): the sets that stand behind each of the distinct `sides` (token, label)
-    of meetings."""
+def sets_behind(sides: DataFrame, grouped: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(token, label, doc, grouped): the sets that stand behind each of the distinct `sides` (token, label) of meetings."""
     members = grouped.join(sides, ["token", "label"], "left_semi").select("token", "label", "doc", F.lit(True).alias("grouped"))
     own = sides.join(labelled.filter("NOT grouped"), "label").select("token", "label", "doc", "grouped")
-    return members.unionByName(own).distinct().join(classes.select("doc", "n", "sketch"), "doc")
+    return members.unionByName(own).distinct()
 
 
 def first_pairs(meetings: DataFrame, behind: DataFrame) -> DataFrame:
@@ -618,6 +620,7 @@ def first_pairs(meetings: DataFrame, behind: DataFrame) -> DataFrame:
     Where it links, the two components are one and their other pairs need no comparison.
     """
     one = behind.groupBy("token", "label").agg(F.min_by(F.struct("doc", "n", "sketch"), "doc").alias("x")).select("token", "label", "x.*")
+    one = stored(one, "first-sides")
     side = lambda x: one.select("token", F.col("label").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "sketch")])
     pairs = (
         meetings.select("token", "a", "b").join(side("a"), ["token", "a"]).join(side("b"), ["token", "b"])
@@ -627,19 +630,20 @@ def first_pairs(meetings: DataFrame, behind: DataFrame) -> DataFrame:
     return pairs.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
 
 
-def member_pairs(docs: DataFrame, behind: DataFrame, now: DataFrame, near: DataFrame) -> DataFrame:
-    """(a, b) of documents behind meetings in which a group takes part, of different components `now`, where the
+def member_pairs(docs: DataFrame, behind: DataFrame, classes: DataFrame, now: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b) of documents `behind` meetings in which a group takes part, of different components `now`, where the
     answer is open.
 
     Sizes and sketches settle most. Then a member's answer follows from its pivot's: with `lost` shingles
     of the member outside the pivot, it shares at most what the pivot shares plus `lost`.
     """
-    entries = behind.join(now.withColumnRenamed("node", "doc"), "doc", "left").select(
+    entries = behind.join(classes.select("doc", "n", "sketch"), "doc").join(now.withColumnRenamed("node", "doc"), "doc", "left").select(
         "token", F.col("doc").alias("label"), F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).alias("pos"), "grouped", "sketch",
         F.lit(0).alias("radius"), F.coalesce("component", "doc").alias("component"),
     )
-    met = read_long(entries, closest=False, members=True).select(F.col("a").alias("a_doc"), F.col("b").alias("b_doc")).distinct()
-    size = lambda x: behind.select(F.col("doc").alias(f"{x}_doc"), F.col("n").alias(f"{x}_n")).distinct()
+    narrow = behind.select("token", F.col("doc").alias("label"))
+    met = read_long(entries, closest=False, members=True, narrow=narrow).select(F.col("a").alias("a_doc"), F.col("b").alias("b_doc")).distinct()
+    size = lambda x: classes.select(F.col("doc").alias(f"{x}_doc"), F.col("n").alias(f"{x}_n"))
     open_ = stored(met.join(size("a"), "a_doc").join(size("b"), "b_doc"), "open-pairs")
     larger = F.col("a") < F.col("b")
     pivot = near.groupBy(F.greatest("a", "b").alias("doc")).agg(

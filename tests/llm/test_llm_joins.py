@@ -106,6 +106,23 @@ def test_chains_and_groups_meet(spark):
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver holds the plan of every table that is written. Before, one round of components had 4 joins and one
+    table of the join 23; steps that stood in a plan several times were planned and computed for each."""
+    joins = {}
+
+    def counted(df, name, stored=components.stored):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins[name] = max(joins.get(name, 0), len(re.findall(r"\bJoin ", plan)))
+        return stored(df, name)
+
+    monkeypatch.setattr(components, "stored", counted)
+    monkeypatch.setattr(jaccard, "stored", counted)
+    df = spark.createDataFrame(near_copies(0) + chain(12, 5) + [(100 + k, t) for k, t in chain(12, 9)], "doc_id long, text string")
+    jaccard.near_duplicates(df)
+    assert joins["edges"] <= 2 and max(joins.values()) <= 9, joins
+
+
 def test_without_pivots_the_index_finds_all(spark, monkeypatch):
     """The index alone, when no min-hash groups exist and when blocks are tiny."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
